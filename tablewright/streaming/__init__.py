@@ -1,0 +1 @@
+"""Kept empty on purpose: none of the rebuilt capabilities reads a stream."""
