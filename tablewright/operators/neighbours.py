@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.session import ensure_checkpoint_dir
+
 #: known rows up to this many bytes are sent to every task
 SHARED_BYTES = 64_000_000
 #: rows of one block, on either side
@@ -120,7 +122,9 @@ def _against_cells(known: DataFrame, queries: DataFrame, k: int, n: int, block_r
             reach.append(d.min(axis=1))
         return pd.DataFrame({"cell": np.concatenate(cells).astype("int32"), "reach": np.concatenate(reach)})
 
-    placed = known.withColumn("home", home("vector")).select("id", "label", "vector", "home.cell", "home.reach")
+    # read three times below, so written out once
+    ensure_checkpoint_dir(known.sparkSession)
+    placed = known.withColumn("home", home("vector")).select("id", "label", "vector", "home.cell", "home.reach").checkpoint()
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
     ).toPandas()  # one row per pivot
@@ -146,7 +150,7 @@ def _against_cells(known: DataFrame, queries: DataFrame, k: int, n: int, block_r
             out += [facts["cell"][row].astype("int32") for row in open_cells]
         return pd.Series(out)
 
-    visits = queries.select("id", "vector", F.explode(candidates("vector")).alias("cell"))
+    visits = queries.select("id", "vector", F.explode(candidates("vector")).alias("cell")).checkpoint()
     # both sides of a cell are cut into blocks of at most block_rows, by size
     sides = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(
         visits.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell"
@@ -160,25 +164,30 @@ def _against_cells(known: DataFrame, queries: DataFrame, k: int, n: int, block_r
     def part(count: str):
         return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
 
+    # both sides may stem from one table, so their columns get names of their own
     known_blocks = placed.join(plan, "cell").select(
-        "cell", part("cuts").alias("cut"),
-        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "label", "vector",
+        F.col("cell").alias("k_cell"), part("cuts").alias("k_cut"),
+        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("k_share"),
+        F.col("id").alias("k_id"), F.col("label").alias("k_label"), F.col("vector").alias("k_vector"),
     )
     query_blocks = visits.join(plan, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"),
-        part("shares").alias("share"), "id", "vector",
+        F.col("cell").alias("q_cell"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("q_cut"),
+        part("shares").alias("q_share"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "neighbour_id": [], "label": [], "distance": []})
         return _answer(
-            left["id"].to_numpy(), np.stack(left["vector"].to_numpy()), right["id"].to_numpy(),
-            right["label"].to_numpy(dtype=float), np.stack(right["vector"].to_numpy()), k,
+            left["q_id"].to_numpy(), np.stack(left["q_vector"].to_numpy()), right["k_id"].to_numpy(),
+            right["k_label"].to_numpy(dtype=float), np.stack(right["k_vector"].to_numpy()), k,
         )
 
-    keys = ["cell", "cut", "share"]
-    met = query_blocks.groupBy(*keys).cogroup(known_blocks.groupBy(*keys)).applyInPandas(meet, FOUND_SCHEMA)
+    met = (
+        query_blocks.groupBy("q_cell", "q_cut", "q_share")
+        .cogroup(known_blocks.groupBy("k_cell", "k_cut", "k_share"))
+        .applyInPandas(meet, FOUND_SCHEMA)
+    )
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return met.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).drop("_place")
 

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions.columns import col
@@ -250,9 +251,7 @@ def lineage(models: DataFrame, experiments: DataFrame, datasets: DataFrame) -> D
 
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in order, typed; those the frame lacks are NULL."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    fields = _parse_datatype_string(schema).fields
+    fields = T.StructType.fromDDL(schema).fields
     return df.select(
         *[
             (col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)

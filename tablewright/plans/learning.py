@@ -1 +1,357 @@
-"""Placeholder."""
+"""Preparation, model, evaluation and scoring queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tablewright.operators.metrics import (
+    classification_metrics,
+    confusion_counts,
+    confusion_matrix,
+    evaluate_predictions,
+    regression_metrics,
+)
+from tablewright.operators.models import LIGHT, fit_model
+from tablewright.operators.neighbours import average, nearest, vote
+from tablewright.operators.prepare import (
+    LABEL,
+    fit_categories,
+    fit_features,
+    fit_numeric,
+    prepare,
+)
+from tablewright.operators.scoring import external_metrics, preview, score
+from tablewright.operators.split import IS_TEST, assign_split
+from tablewright.operators.training import compare_models, explain_model, recommend_model, train
+from tablewright.plans.registry import LABELLED, facts_sql, labelled_documents, query, table
+from tablewright.session import shared_folder
+from tablewright.sources.models import load_model, save_model
+
+# -- preparation --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH f AS ({facts_sql('customer')})
+SELECT "column", CASE WHEN kind = 'string' AND dist / n > 0.95 THEN 'dropped' WHEN kind = 'numeric' THEN 'numeric' ELSE 'categorical' END AS role,
+'classification' AS task, n AS "rows" FROM f WHERE "column" <> 'c_mktsegment'"""
+)
+def feature_roles(spark, folder):
+    done = prepare(table(spark, folder, "customer"), "c_mktsegment", ["c_custkey"])
+    roles = [(c, "dropped") for c in done.dropped] + [(c, "numeric") for c in done.numeric]
+    roles += [(c, "categorical") for c in done.categorical]
+    return spark.createDataFrame([(c, r, done.task_type, done.rows) for c, r in roles], "column string, role string, task string, rows bigint")
+
+
+@query(
+    """SELECT c_mktsegment AS class, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS code, count(*) AS n
+FROM customer GROUP BY c_mktsegment"""
+)
+def class_codes(spark, folder):
+    done = prepare(table(spark, folder, "customer"), "c_mktsegment", ["c_custkey"])
+    return done.frame.groupBy(F.col("c_mktsegment").alias("class"), F.col(LABEL).alias("code")).agg(F.count("*").alias("n"))
+
+
+_QUOTAS = """WITH c AS (SELECT {label} AS k, count(*) AS n FROM {table} GROUP BY 1),
+t AS (SELECT sum(n) AS total, sum(n) - ceil(sum(n) * 0.2) AS train FROM c),
+i AS (SELECT k, n, n * train / total AS ideal, floor(n * train / total) AS base, train FROM c CROSS JOIN t),
+r AS (SELECT *, row_number() OVER (ORDER BY base - ideal, k) AS place, train - sum(base) OVER () AS spare FROM i)
+SELECT k AS "class", n AS "rows", (n - base - CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS test_rows FROM r"""
+
+
+@query(_QUOTAS.format(label="c_mktsegment", table="customer"))
+def stratified_split(spark, folder):
+    done = prepare(table(spark, folder, "customer"), "c_mktsegment", ["c_custkey"])
+    marked = assign_split(done.frame, 0.2, ["c_custkey"], LABEL, len(done.classes))
+    return marked.groupBy(F.col("c_mktsegment").alias("class")).agg(
+        F.count("*").alias("rows"), F.count_if(F.col(IS_TEST)).alias("test_rows")
+    )
+
+
+@query("SELECT count(*) AS \"rows\", ceil(count(*) * 0.2)::BIGINT AS test_rows FROM lineitem")
+def plain_split(spark, folder):
+    items = table(spark, folder, "lineitem")
+    marked = assign_split(
+        items, 0.2, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    )
+    return marked.agg(F.count("*").alias("rows"), F.count_if(F.col(IS_TEST)).alias("test_rows"))
+
+
+def _fit_sql(columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(m, 4) AS median, round(avg(coalesce({c}, m)), 4) AS mean, round(stddev_pop(coalesce({c}, m)), 4) AS scale
+FROM {LABELLED} AS src, (SELECT median({c})::DOUBLE AS m FROM {LABELLED} AS s2) GROUP BY m"""
+        for c in columns
+    )
+
+
+@query(_fit_sql(["n_chars", "quality", "toxic"]))
+def fill_and_scale(spark, folder):
+    fits = fit_numeric(labelled_documents(spark, folder), ["n_chars", "quality", "toxic"])
+    frame = spark.createDataFrame([(f.name, f.median, f.mean, f.scale) for f in fits], "column string, median double, mean double, scale double")
+    return frame.select("column", *[F.round(c, 4).alias(c) for c in ("median", "mean", "scale")])
+
+
+@query(
+    f"""WITH src AS {LABELLED}, m AS (SELECT median(n_chars)::DOUBLE AS m1, median(toxic)::DOUBLE AS m2 FROM src),
+s AS (SELECT m1, m2, avg(coalesce(n_chars, m1)) AS a1, stddev_pop(coalesce(n_chars, m1)) AS s1,
+avg(coalesce(toxic, m2)) AS a2, stddev_pop(coalesce(toxic, m2)) AS s2 FROM src, m GROUP BY m1, m2),
+l AS (SELECT lang, row_number() OVER (ORDER BY lang) AS p FROM (SELECT DISTINCT lang FROM src))
+SELECT doc_id, round((coalesce(n_chars, m1) - a1) / s1, 4) AS n_chars, round((coalesce(toxic, m2) - a2) / s2, 4) AS toxic, l.p AS lang_place
+FROM src CROSS JOIN s JOIN l ON l.lang = src.lang"""
+)
+def feature_vectors(spark, folder):
+    frame = labelled_documents(spark, folder)
+    fitted = fit_features(frame, ["n_chars", "toxic"], ["lang", "source"])
+    shaped = fitted.model.transform(frame)
+    return shaped.select(
+        "doc_id", F.round("_num_0", 4).alias("n_chars"), F.round("_num_1", 4).alias("toxic"),
+        F.array_position(vector_to_array("_hot_0"), 1.0).alias("lang_place"),
+    )
+
+
+@query(
+    """WITH long AS (SELECT 'lang' AS "column", lang AS v FROM documents UNION ALL SELECT 'source', "source" FROM documents),
+c AS (SELECT "column", v, count(*) AS n FROM long WHERE v IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS p, count(*) OVER (PARTITION BY "column") AS k FROM c)
+SELECT "column", v AS most_frequent, k AS categories FROM r WHERE p = 1"""
+)
+def category_fill(spark, folder):
+    fits = fit_categories(table(spark, folder, "documents"), ["lang", "source"])
+    return spark.createDataFrame([(f.name, f.most_frequent, len(f.categories)) for f in fits], "column string, most_frequent string, categories bigint")
+
+
+# -- linear models against their closed forms -------------------------------------------
+
+
+def _one_feature(spark, folder, algorithm):
+    items = table(spark, folder, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000 + 2 * F.col("l_quantity")).alias(LABEL))
+    features = fit_features(items, ["l_quantity"], [])
+    fitted = fit_model(algorithm, "regression", features.model.transform(items), features, 0)
+    model = fitted.stages[0]
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double").select(
+        F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept")
+    )
+
+
+_ONE_FEATURE = """WITH d AS (SELECT l_quantity AS x, l_extendedprice / 1000 + 2 * l_quantity AS y FROM lineitem),
+s AS (SELECT covar_pop(x, y) / stddev_pop(x) AS b, avg(y) AS a, count(*) AS n FROM d) """
+
+
+@query(_ONE_FEATURE + "SELECT round(b, 3) AS slope, round(a, 3) AS intercept FROM s")
+def linear_fit(spark, folder):
+    return _one_feature(spark, folder, "linear_regression")
+
+
+@query(_ONE_FEATURE + "SELECT round(b * n / (n + 1.0), 3) AS slope, round(a, 3) AS intercept FROM s")
+def ridge_fit(spark, folder):
+    return _one_feature(spark, folder, "ridge")
+
+
+@query(_ONE_FEATURE + "SELECT round(greatest(abs(b) - 0.01, 0) * sign(b), 3) AS slope, round(a, 3) AS intercept FROM s")
+def lasso_fit(spark, folder):
+    return _one_feature(spark, folder, "lasso")
+
+
+# -- evaluation ---------------------------------------------------------------------
+
+
+def _rule(spark, folder):
+    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+        "doc_id", "quality", (F.col("n_chars") > 500).cast("int").alias("guess"),
+        (F.col("n_chars") > 500).cast("int").cast("double").alias("guess_number"),
+    )
+
+
+_RULE = "(SELECT l.doc_id, l.quality, (d.n_chars > 500)::INT AS guess FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+_CLASS_SQL = f"""WITH p AS {_RULE}, k AS (SELECT DISTINCT unnest([quality, guess]) AS c FROM p),
+m AS (SELECT c, (SELECT count(*) FROM p WHERE quality = c) AS s, (SELECT count(*) FROM p WHERE guess = c) AS g,
+(SELECT count(*) FROM p WHERE quality = c AND guess = c) AS h FROM k),
+q AS (SELECT s, h, CASE WHEN g = 0 THEN 0 ELSE h / g END AS pr, CASE WHEN s = 0 THEN 0 ELSE h / s END AS re FROM m)
+SELECT sum(s)::BIGINT AS "rows", round(sum(h) / sum(s), 4) AS accuracy, round(sum(pr * s) / sum(s), 4) AS precision_weighted,
+round(sum(re * s) / sum(s), 4) AS recall_weighted,
+round(sum(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END * s) / sum(s), 4) AS f1_weighted"""
+
+
+@query(_CLASS_SQL + " FROM q")
+def class_metrics(spark, folder):
+    return classification_metrics(confusion_counts(_rule(spark, folder), "quality", "guess"))
+
+
+@query(_CLASS_SQL + ", 0::BIGINT AS skipped FROM q")
+def class_metrics_of_scored(spark, folder):
+    """Actual classes as integers, predicted ones as doubles."""
+    return evaluate_predictions(_rule(spark, folder), "quality", "guess_number", "classification")
+
+
+@query(
+    f"""WITH p AS {_RULE}, k AS (SELECT DISTINCT unnest([quality, guess]) AS c FROM p)
+SELECT a.c::VARCHAR AS actual, b.c::VARCHAR AS predicted, (SELECT count(*) FROM p WHERE quality = a.c AND guess = b.c) AS n
+FROM k a CROSS JOIN k b"""
+)
+def confusion(spark, folder):
+    return confusion_matrix(confusion_counts(_rule(spark, folder), "quality", "guess"))
+
+
+_ERRORS = """SELECT count(*) AS "rows", round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) ** 2)), 4) AS rmse,
+round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) AS r2_score"""
+
+
+@query(_ERRORS + " FROM (SELECT l_extendedprice AS y, l_quantity * 2000.0 AS p FROM lineitem)")
+def regression_quality(spark, folder):
+    items = table(spark, folder, "lineitem").withColumn("guess", F.col("l_quantity") * 2000.0)
+    return regression_metrics(items, "l_extendedprice", "guess")
+
+
+@query(
+    _ERRORS
+    + f""", (SELECT count(*) - count(quality) FROM {LABELLED} AS s2) AS skipped
+FROM (SELECT quality::DOUBLE AS y, toxic * 0.5 AS p FROM {LABELLED} AS s1 WHERE quality IS NOT NULL AND toxic IS NOT NULL)"""
+)
+def regression_quality_of_scored(spark, folder):
+    frame = labelled_documents(spark, folder).withColumn("guess", (F.col("toxic") * 0.5).cast("string"))
+    return evaluate_predictions(frame, "quality", "guess", "regression")
+
+
+@query(
+    _CLASS_SQL.replace("SELECT sum(s)::BIGINT", ", e AS (SELECT sum(s)::BIGINT")
+    + """ FROM q) SELECT 0::INTEGER AS position, 'Algorithm: length rule.' AS statement FROM e
+UNION ALL SELECT 1, 'Accuracy ' || accuracy || ', weighted F1 ' || f1_weighted || '.' FROM e
+UNION ALL SELECT 2, CASE WHEN f1_weighted >= 0.85 THEN 'Performance on this split is strong.'
+WHEN f1_weighted >= 0.65 THEN 'Performance is moderate; more data or tuning may help.'
+ELSE 'Performance is weak; check data quality, balance and features.' END FROM e"""
+)
+def metric_explanation(spark, folder):
+    return explain_model(class_metrics(spark, folder), "classification", "length rule")
+
+
+@query("SELECT CASE WHEN count(*) < 200 THEN 'ridge' ELSE 'random_forest' END AS recommended FROM part")
+def model_recommendation(spark, folder):
+    rows = table(spark, folder, "part").count()
+    return recommend_model(spark, "regression", rows, True, True).select("recommended")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, coalesce(c_mktsegment, '') AS c_mktsegment
+FROM customer ORDER BY customer.c_custkey LIMIT 10"""
+)
+def scored_preview(spark, folder):
+    return preview(table(spark, folder, "customer").drop("c_acctbal"), ["c_custkey"])
+
+
+# -- nearest neighbours -------------------------------------------------------------
+
+
+def _embedded(spark, folder):
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+
+
+_NEAREST = """WITH d AS (SELECT q.vec_id AS q, k.vec_id AS i, k.label AS label,
+list_sum(list_transform(list_zip(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM embeddings q CROSS JOIN embeddings k),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS p FROM d), n AS (SELECT * FROM r WHERE p <= 5) """
+_VOTED = _NEAREST + """, c AS (SELECT q, label, count(*) AS k FROM n GROUP BY ALL)
+SELECT q AS query_id, label::DOUBLE AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY k DESC, label) AS z FROM c) WHERE z = 1"""
+
+
+@query(_VOTED)
+def neighbour_vote(spark, folder):
+    rows = _embedded(spark, folder)
+    return vote(nearest(rows, rows.drop("label")))
+
+
+@query(_VOTED)
+def neighbour_vote_by_cells(spark, folder):
+    """The path for known rows too many to share: cells, blocks and pruning."""
+    rows = _embedded(spark, folder)
+    return vote(nearest(rows, rows.drop("label"), shared_bytes=0, block_rows=1_000))
+
+
+@query(_NEAREST + "SELECT q AS query_id, round(avg(label), 4) AS prediction FROM n GROUP BY q")
+def neighbour_average(spark, folder):
+    rows = _embedded(spark, folder)
+    return average(nearest(rows, rows.drop("label"))).select("query_id", F.round("prediction", 4).alias("prediction"))
+
+
+# -- training, comparison, scoring (rows only: no SQL twin) -------------------------------
+
+
+def _documents(spark, folder):
+    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").drop("toxic")
+
+
+def _trained(df, target, algorithm, key):
+    result = train(df, target, algorithm, key=key, settings=LIGHT)
+    about = df.sparkSession.createDataFrame([(algorithm, result.train_rows, result.test_rows)], "algorithm string, train_rows bigint, test_rows bigint")
+    return about.withColumn("_one", F.lit(1)).join(F.broadcast(result.metrics.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+@query()
+def trained_logistic(spark, folder):
+    return _trained(_documents(spark, folder), "quality", "logistic_regression", ["doc_id"])
+
+
+@query()
+def trained_tree(spark, folder):
+    return _trained(table(spark, folder, "part"), "p_retailprice", "decision_tree", ["p_partkey"])
+
+
+@query()
+def trained_forest(spark, folder):
+    return _trained(table(spark, folder, "part"), "p_retailprice", "random_forest", ["p_partkey"])
+
+
+@query()
+def trained_extra_trees(spark, folder):
+    return _trained(_documents(spark, folder), "quality", "extra_trees", ["doc_id"])
+
+
+@query()
+def trained_kernel_machine(spark, folder):
+    return _trained(_documents(spark, folder), "quality", "svm", ["doc_id"])
+
+
+@query()
+def trained_kernel_regression(spark, folder):
+    return _trained(table(spark, folder, "part"), "p_retailprice", "svm", ["p_partkey"])
+
+
+@query()
+def trained_neighbours(spark, folder):
+    return _trained(_documents(spark, folder), "quality", "knn", ["doc_id"])
+
+
+@query()
+def trained_ridge(spark, folder):
+    return _trained(table(spark, folder, "lineitem").drop("l_shipdate"), "l_extendedprice", "ridge", None)
+
+
+@query()
+def forest_importance(spark, folder):
+    return train(_documents(spark, folder), "quality", "random_forest", key=["doc_id"], settings=LIGHT).importance
+
+
+@query()
+def model_leaderboard(spark, folder):
+    return compare_models(_documents(spark, folder), "quality", key=["doc_id"], max_rows=None).drop("metrics")
+
+
+@query()
+def regression_leaderboard(spark, folder):
+    return compare_models(table(spark, folder, "part"), "p_retailprice", key=["p_partkey"], max_rows=None).drop("metrics")
+
+
+@query()
+def batch_scores(spark, folder):
+    """Train on labelled documents, save, load, score all documents."""
+    result = train(_documents(spark, folder).drop("text"), "quality", "logistic_regression", key=["doc_id"])
+    path = save_model(spark, result.model, f"{shared_folder(spark)}/models")
+    return score(load_model(spark, path), table(spark, folder, "documents").drop("text"))
+
+
+@query()
+def scored_metrics(spark, folder):
+    frame = _documents(spark, folder).drop("text")
+    result = train(frame, "quality", "decision_tree", key=["doc_id"], settings=LIGHT)
+    return external_metrics(result.model, score(result.model, frame))

@@ -9,9 +9,9 @@ import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-
 from tablewright.operators import registry
 from tablewright.operators.quality import table_quality
 from tablewright.sources.fingerprint import dataset_hash, file_hashes
@@ -27,11 +27,12 @@ class Catalogue:
 
     def table(self, name: str) -> DataFrame:
         empty = self.spark.createDataFrame([], self._schemas[name])
-        path = f"{self.folder}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(empty.schema).parquet(path) if files.exists(place) else empty
+        try:
+            return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty  # nothing appended yet
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
