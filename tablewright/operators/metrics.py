@@ -60,14 +60,12 @@ def classification_metrics(counts: DataFrame, digits: int | None = 4) -> DataFra
 def confusion_matrix(counts: DataFrame) -> DataFrame:
     """``actual, predicted, n`` for every pair of labels that occur on either side."""
     counts = counts.select(F.col("actual").cast("string").alias("actual"), F.col("predicted").cast("string").alias("predicted"), "n")
-    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
-    size = labels.count()
-    if size > MAX_LABELS:
-        raise ValueError(f"{size} labels are too many for a matrix; read the confusion counts instead")
-    grid = (
-        labels.agg(F.array_sort(F.collect_list("label")).alias("labels"))
-        .select(F.explode("labels").alias("actual"), "labels")
-        .select("actual", F.explode("labels").alias("predicted"))
+    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct().limit(MAX_LABELS + 1).collect()
+    if len(seen) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels are too many for a matrix; read the confusion counts instead")
+    labels = F.array(*[F.lit(r["label"]) for r in seen]).cast("array<string>")
+    grid = counts.sparkSession.range(1).select(F.explode(labels).alias("actual")).select(
+        "actual", F.explode(labels).alias("predicted")
     )
     return grid.join(counts, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")

@@ -165,7 +165,7 @@ def _kernel_machine(task_type: str, train: DataFrame, common: dict, classes: int
         if task_type == "classification":
             # the default margin column: a reloaded one-vs-rest model looks for no other
             linear = LinearSVC(
-                regParam=1.0 / max(lifted.count(), 1), maxIter=200, standardization=False, **common
+                regParam=1.0 / max(lifted.count(), 1), maxIter=30, standardization=False, **common
             )
             model = linear.fit(lifted) if classes == 2 else OneVsRest(classifier=linear, **common).fit(lifted)
         else:

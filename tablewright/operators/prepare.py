@@ -29,7 +29,7 @@ from tablewright.functions.columns import (
     tidy,
 )
 from tablewright.operators.profile import column_profile
-from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.quantiles import quantiles_and_more
 from tablewright.operators.summary import IN_MEMORY_VALUES
 
 MINIMUM_ROWS = 10
@@ -38,7 +38,7 @@ HIGH_CARDINALITY = 0.95
 #: class labels and one-hot categories are held by the driver and by the model, so
 #: their number is checked and refused above these
 MAX_CLASSES = 10_000
-MAX_CATEGORIES = 1_000_000
+MAX_CATEGORIES = 100_000
 
 LABEL = "_label"
 FEATURES = "_features"
@@ -155,7 +155,9 @@ def fit_numeric(df: DataFrame, names: Sequence[str]) -> list[NumericFit]:
         row = values.agg(*[F.percentile(col(c), F.lit(0.5)).alias(f"q{i}") for i, c in enumerate(names)]).first()
         medians = {c: row[f"q{i}"] for i, c in enumerate(names)}
     else:
-        medians = {c: q[0] for c, q in exact_quantiles(values, names, [0.5]).items()}
+        medians = {
+            c: q[0] for c, q in quantiles_and_more(values, names, [0.5], (), rows=rows)[0].items()
+        }
     out = []
     for i, c in enumerate(names):
         present, median = seen[f"n{i}"], medians[c]

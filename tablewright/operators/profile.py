@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from tablewright.functions.columns import (
     tidy,
     unfold,
 )
+from tablewright.functions.layout import spread
 
 PROFILE_SCHEMA = (
     "column string, position int, kind string, dtype string, rows bigint, "
@@ -84,8 +86,11 @@ def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
     ``"auto"`` takes the sketch above ``EXACT_DISTINCT_ROWS`` rows.
     """
     df = tidy(df)
+    counted = df
     if distinct == "auto":
-        distinct = "sketch" if df.count() > EXACT_DISTINCT_ROWS else "exact"
+        rows = df.count()
+        distinct = "sketch" if rows > EXACT_DISTINCT_ROWS else "exact"
+        counted = spread(df, rows)
     if distinct == "sketch":
         return _sketched_profile(df)
     if distinct != "exact":
@@ -107,7 +112,7 @@ def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
             for i, f in enumerate(df.schema.fields)
         ],
     )
-    counts = F.broadcast(distinct_counts(df).select("position", "distinct"))  # one row per column
+    counts = F.broadcast(distinct_counts(counted).select("position", "distinct"))  # one row per column
     return base.join(counts, "position", "left").select(
         "column", "position", "kind", "dtype", "rows", "missing", "distinct", "avg_length"
     )
@@ -250,10 +255,26 @@ DATE_SHARE = 0.7
 CATEGORY_DISTINCT_SHARE = 0.5
 
 
+_SHAPES = {
+    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
+    "ss": r"\d{2}", "SSSSSS": r"\d{1,6}", "XXX": r"(Z|[+-]\d{2}:\d{2})", "M": r"\d{1,2}", "d": r"\d{1,2}",
+}
+
+
+def _shape(form: str) -> str:
+    """Pattern of the texts a date form can read; most texts fail it far faster than a
+    date parser does."""
+    parts = re.findall(r"'T'|([A-Za-z])(\1*)|([^A-Za-z])", form)
+    out = []
+    for letter, more, other in parts:
+        out.append("T" if not letter and not other else re.escape(other) if other else _SHAPES[letter + more])
+    return "^" + "".join(out) + "$"
+
+
 def parsed_date(name: str):
     """First date form that fits the text; tried only on texts short enough to be one."""
     text = F.trim(col(name))
-    attempts = [F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMATS]
+    attempts = [F.when(text.rlike(_shape(form)), F.try_to_timestamp(text, F.lit(form))) for form in DATE_FORMATS]
     return F.when(F.length(text).between(6, 40) & text.rlike(r"\d"), F.coalesce(*attempts))
 
 

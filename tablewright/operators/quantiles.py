@@ -12,13 +12,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions.columns import col
 
-SKETCH_ACCURACY = 5000
+SKETCH_ACCURACY = 10_000
 #: most distinct values ranked in one window group
 RANKED_VALUES = 500_000
 
@@ -52,15 +52,32 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
+    accuracy: int | None = None,
     ranked_values: int = RANKED_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, missing values left out.
+    """Linearly interpolated quantiles per column; see :func:`quantiles_and_more`."""
+    return quantiles_and_more(df, columns, probabilities, (), accuracy, ranked_values)[0]
+
+
+def quantiles_and_more(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    also: Sequence[Column],
+    accuracy: int | None = None,
+    ranked_values: int = RANKED_VALUES,
+    rows: int | None = None,
+) -> tuple[dict[str, list[float | None]], Row]:
+    """Linearly interpolated quantiles per column, missing values left out, and a row of
+    other aggregates over ``x0``, ``x1``, ... (the columns as doubles) from the first pass.
 
     Runs a sketch pass, a count pass and a ranking pass over the named columns alone;
     each further factor of about ``accuracy / 8`` in rows costs two passes more.
     """
     values = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    if accuracy is None:
+        # just fine enough for the first bracket to be small enough to rank
+        accuracy = SKETCH_ACCURACY if rows is None else min(SKETCH_ACCURACY, max(500, 16 * rows // ranked_values))
     slack = 2.0 / accuracy
     points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
     aggregates = []
@@ -70,7 +87,7 @@ def exact_quantiles(
             F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
             F.percentile_approx(x, points, accuracy).alias(f"s{i}"),
         ]
-    seen = values.agg(*aggregates).first()
+    seen = values.agg(*aggregates, *also).first()
     extent = {i: (seen[f"lo{i}"], seen[f"hi{i}"]) for i in range(len(columns))}
     targets: list[_Target] = []
     for i in range(len(columns)):
@@ -117,7 +134,7 @@ def exact_quantiles(
         share = t.position - math.floor(t.position)
         place = list(probabilities).index(t.probability)
         found[columns[int(t.name[1:])]][place] = lower + (upper - lower) * share if upper != lower else lower
-    return found
+    return found, seen
 
 
 def _count(values: DataFrame, targets: list[_Target]) -> None:

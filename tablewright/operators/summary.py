@@ -16,7 +16,8 @@ from tablewright.functions.columns import (
     tidy,
     unfold,
 )
-from tablewright.operators.quantiles import exact_quantiles
+from tablewright.functions.layout import working_copy
+from tablewright.operators.quantiles import quantiles_and_more
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -43,10 +44,9 @@ def numeric_summary(
     names = list(columns) if columns is not None else numeric_columns(df)
     places = {c: i for i, c in enumerate(df.columns)}
     values = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    rows = df.count() if quantiles in ("auto", "ranked") else 0
     if quantiles == "auto":
-        size = df.count() * max(len(names), 1)
-        quantiles = "memory" if size <= IN_MEMORY_VALUES else "ranked"
-    ranked = exact_quantiles(df, names, QUARTILES) if quantiles == "ranked" and names else {}
+        quantiles = "memory" if rows * len(names) <= IN_MEMORY_VALUES else "ranked"
 
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(names)):
@@ -62,6 +62,21 @@ def numeric_summary(
         if shape:
             aggregates += [F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}")]
 
+    ranked: dict[str, list[float | None]] = {}
+    if quantiles == "ranked" and names:
+        # the moments come with the first of the ranking's passes
+        numbers = [f"x{i}" for i in range(len(names))]
+        with working_copy(values, rows) as copy:
+            found, moments = quantiles_and_more(copy, numbers, QUARTILES, aggregates, rows=rows)
+        ranked = dict(zip(names, found.values()))
+        known = {k: moments[k] for k in ("rows", *[f"{k}{i}" for i in range(len(names)) for k in ("mean", "var", "min", "max")])}
+        known.update({f"n{i}": moments[f"n{i}"] for i in range(len(names))})
+        if shape:
+            known.update({f"{k}{i}": moments[f"{k}{i}"] for i in range(len(names)) for k in ("skew", "kurt")})
+        aggregated = df.sparkSession.range(1).select(*[_constant(v).alias(k) for k, v in known.items()])
+    else:
+        aggregated = values.agg(*aggregates)
+
     spare = F.lit(single_value_spread).cast("double")
     structs = []
     for i, name in enumerate(names):
@@ -87,7 +102,11 @@ def numeric_summary(
         if shape:
             fields += [F.col(f"skew{i}").alias("skewness"), F.col(f"kurt{i}").alias("kurtosis")]
         structs.append(F.struct(*fields))
-    return unfold(values.agg(*aggregates), structs).filter(F.col("count") > 0)
+    return unfold(aggregated, structs).filter(F.col("count") > 0)
+
+
+def _constant(value):
+    return F.lit(value).cast("bigint" if isinstance(value, int) else "double")
 
 
 #: how a missing value reads among the categories
@@ -106,10 +125,10 @@ def _grouped(df: DataFrame, names: list[str], keep_missing: bool) -> DataFrame:
     long = texts.unpivot([], texts.columns, "place", "value")
     if not keep_missing:
         long = long.filter(F.col("value").isNotNull())
-    return long.groupBy(
-        F.expr("int(substring(place, 2))").alias("position"),
-        F.coalesce("value", F.lit(MISSING_CATEGORY)).alias("category"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("present"))
+    counted = long.groupBy("place", F.coalesce("value", F.lit(MISSING_CATEGORY)).alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("present")
+    )
+    return counted.select(F.expr("int(substring(place, 2))").alias("position"), "category", "n", "present")
 
 
 def _top(counted: DataFrame, k: int) -> DataFrame:
@@ -176,7 +195,9 @@ def categorical_summary(
         .groupBy("position")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("rank", "category", F.col("n").alias("count")))
+                # "present" is not shown; with it both sides of the join below need the
+                # same counts, and Spark computes and shuffles them once
+                F.collect_list(F.struct("rank", "category", F.col("n").alias("count"), "present"))
             ).alias("ranked")
         )
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
@@ -12,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import col
+from tablewright.functions.layout import spread, working_copy
 from tablewright.operators.metrics import (
     classification_metrics,
     confusion_counts,
@@ -104,13 +107,28 @@ def new_model_id(algorithm: str, target: str) -> str:
     return name.replace(" ", "_").replace("/", "_").replace("\\", "_")
 
 
+@contextmanager
+def _fixed_rows(prepared: Prepared, number: bool = False) -> Iterator[None]:
+    """Within the block, ``prepared.frame`` holds only columns the model needs, and a key.
+
+    Without a key of their own, or with ``number``, rows are written out once with a
+    fixed id.
+    """
+    columns = dict.fromkeys([*prepared.numeric, *prepared.categorical, LABEL, *(prepared.key or [])])
+    frame = prepared.frame.select(*map(col, columns))
+    if number or not prepared.key:
+        prepared.frame = with_row_id(spread(frame, prepared.rows))
+        prepared.key = prepared.key or [ROW_ID]
+        yield
+        return
+    with working_copy(frame, prepared.rows) as copy:
+        prepared.frame = copy
+        yield
+
+
 def _split(prepared: Prepared, test_size: float) -> tuple[DataFrame, DataFrame]:
-    frame, key = prepared.frame, prepared.key
-    if not key:
-        # without a key of their own, rows are written out once with a fixed id
-        frame, key = with_row_id(frame), [ROW_ID]
     label = LABEL if prepared.classes else None
-    marked = assign_split(frame, test_size, key, label, len(prepared.classes or [0]))
+    marked = assign_split(prepared.frame, test_size, prepared.key, label, len(prepared.classes or [0]))
     return marked.filter(~F.col(IS_TEST)).drop(IS_TEST), marked.filter(F.col(IS_TEST)).drop(IS_TEST)
 
 
@@ -144,39 +162,37 @@ def train(
         raise ValueError("test_size must lie between 0 and 1")
     prepared = prepare(df, target, key, distinct)
     name = check_algorithm(prepared.task_type, algorithm)
-    if name == "knn" and ROW_ID not in prepared.frame.columns:
-        prepared.frame = with_row_id(prepared.frame)
-        prepared.key = prepared.key or [ROW_ID]
-    train_part, test_part = _split(prepared, test_size)
-    features = fit_features(train_part, prepared.numeric, prepared.categorical)
-    classes = len(prepared.classes) if prepared.classes else 0
-    known, importances = None, None
-    if name == "knn":
-        known = _vectors(features, train_part, True)
-        pipeline = features.model
-        guesses = predict_neighbours(known, _vectors(features, test_part, False), prepared.task_type)
-        scored = test_part.select(F.col(ROW_ID).alias("query_id"), LABEL).join(guesses, "query_id")
-        scored = scored.withColumnRenamed("prediction", PREDICTION)
-    else:
-        ensure_checkpoint_dir(df.sparkSession)
-        settings = replace(
-            settings, depth=depth_for(prepared.rows, settings.depth),
-            forest_depth=depth_for(prepared.rows, settings.forest_depth),
-        )
-        shaped = features.model.transform(train_part)
-        fitted = fit_model(name, prepared.task_type, shaped, features, classes, settings)
-        importances = fitted.importances
-        decode = []
-        if prepared.classes:
-            decode = [IndexToString(inputCol=PREDICTION, outputCol=DECODED, labels=prepared.classes)]
-        pipeline = feature_pipeline(features, fitted, decode)
-        scored = pipeline.transform(test_part)
-    scored = scored.select(LABEL, PREDICTION).persist()
-    try:
-        metrics, confusion, row = _measure(scored, prepared)
-        test_rows = scored.count()
-    finally:
-        scored.unpersist()
+    with _fixed_rows(prepared, number=name == "knn"):
+        train_part, test_part = _split(prepared, test_size)
+        features = fit_features(train_part, prepared.numeric, prepared.categorical)
+        classes = len(prepared.classes) if prepared.classes else 0
+        known, importances = None, None
+        if name == "knn":
+            known = _vectors(features, train_part, True)
+            pipeline = features.model
+            guesses = predict_neighbours(known, _vectors(features, test_part, False), prepared.task_type)
+            scored = test_part.select(F.col(ROW_ID).alias("query_id"), LABEL).join(guesses, "query_id")
+            scored = scored.withColumnRenamed("prediction", PREDICTION)
+        else:
+            ensure_checkpoint_dir(df.sparkSession)
+            settings = replace(
+                settings, depth=depth_for(prepared.rows, settings.depth),
+                forest_depth=depth_for(prepared.rows, settings.forest_depth),
+            )
+            shaped = features.model.transform(train_part)
+            fitted = fit_model(name, prepared.task_type, shaped, features, classes, settings)
+            importances = fitted.importances
+            decode = []
+            if prepared.classes:
+                decode = [IndexToString(inputCol=PREDICTION, outputCol=DECODED, labels=prepared.classes)]
+            pipeline = feature_pipeline(features, fitted, decode)
+            scored = pipeline.transform(test_part)
+        scored = scored.select(LABEL, PREDICTION).persist()
+        try:
+            metrics, confusion, row = _measure(scored, prepared)
+            test_rows = scored.count()
+        finally:
+            scored.unpersist()
     model = TrainedModel(
         model_id=new_model_id(name, prepared.target), algorithm=name, task_type=prepared.task_type,
         target=prepared.target, features=prepared.features, numeric=prepared.numeric,
@@ -231,14 +247,19 @@ def compare_models(
     hash; None compares on all rows.
     """
     prepared = prepare(df, target, key, distinct)
-    if not prepared.key:
-        prepared.frame, prepared.key = with_row_id(prepared.frame), [ROW_ID]
+    with _fixed_rows(prepared):
+        return _compare(prepared, test_size, max_rows, settings)
+
+
+def _compare(prepared: Prepared, test_size: float, max_rows: int | None, settings: Settings) -> DataFrame:
+    spark = prepared.frame.sparkSession
     if max_rows is not None and prepared.rows > max_rows:
         prepared.frame = sample_rows(prepared.frame, max_rows, prepared.key)
     train_part, test_part = _split(prepared, test_size)
     features = fit_features(train_part, prepared.numeric, prepared.categorical)
     classes = len(prepared.classes) if prepared.classes else 0
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(spark)
+    settings = replace(settings, forest_depth=depth_for(prepared.rows, settings.forest_depth))
     # one shaped copy serves every model
     shaped = features.model.transform(train_part).select(
         LABEL, FEATURES, *features.scaled_columns, *features.encoded_columns
@@ -263,7 +284,7 @@ def compare_models(
         test_shaped.unpersist()
     rows.sort(key=lambda r: (r[2] is None, -(r[2] if r[2] is not None else 0.0), r[0]))
     total = prepared.rows
-    return df.sparkSession.createDataFrame(
+    return spark.createDataFrame(
         [(i + 1, n, s, f, e, total, *sizes, m) for i, (_, n, s, f, e, m) in enumerate(rows)],
         "rank int, algorithm string, score double, fidelity string, error string, rows bigint, "
         "train_rows bigint, test_rows bigint, metrics map<string,double>",
