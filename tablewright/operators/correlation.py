@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from tablewright.functions.columns import (
 
 #: aggregates of one query; wider tables take several
 PAIRS_PER_PASS = 400
+WIDE_TABLE = 40
 
 
 @dataclass
@@ -148,9 +151,12 @@ def correlation_matrix(
     types = {f.name: f.dataType for f in df.schema.fields}
     values = df.select(*[finite(as_double(c, types[c])).alias(c) for c in names])
     upper = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    found = pair_correlations(values, upper, pairs_per_pass)
+    known = _wide_correlations(values, names) if len(names) > WIDE_TABLE else {}
+    found = {p: PairResult(0, known[p]) for p in upper if p in known}
+    found.update(pair_correlations(values, [p for p in upper if p not in known], pairs_per_pass))
     rows = []
-    for (a, b), result in found.items():
+    for a, b in upper:
+        result = found[(a, b)]
         value = result.correlation or 0.0
         if a == b:
             value = 0.0 if result.correlation is None else 1.0
@@ -158,3 +164,24 @@ def correlation_matrix(
         if a != b:
             rows.append((b, a, value))
     return rows_to_frame(df.sparkSession, rows, schema)
+
+
+def _wide_correlations(values: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
+    """All pairs of the columns without missing values, by one matrix product.
+
+    The number of pairs grows with the square of the width; as one expression each they
+    would take many passes over a wide table.
+    """
+    facts = [e for i, n in enumerate(names) for e in (
+        F.count(col(n)).alias(f"n{i}"), F.min(col(n)).alias(f"lo{i}"), F.max(col(n)).alias(f"hi{i}")
+    )]
+    seen = values.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
+    whole = [n for i, n in enumerate(names) if seen[f"n{i}"] == seen["rows"] and seen[f"lo{i}"] < seen[f"hi{i}"]] if seen["rows"] else []
+    if len(whole) < 2:
+        return {}
+    place = {n: i for i, n in enumerate(whole)}
+    vectors = VectorAssembler(inputCols=[f"v{i}" for i in place.values()], outputCol="v").transform(
+        values.select(*[col(n).alias(f"v{i}") for n, i in place.items()])
+    )
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return {(a, b): float(matrix[i, j]) for a, i in place.items() for b, j in place.items() if i <= j}

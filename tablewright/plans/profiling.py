@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablewright.operators.charts import (
@@ -60,8 +62,8 @@ def _rounded(df, *names, digits=4):
 def csv_types(spark, folder):
     """Orders written as CSV, read back with types inferred."""
     orders = table(spark, folder, "orders")
-    path = f"{shared_folder(spark)}/csv-{spark.sparkContext.applicationId}-{abs(hash(folder))}"
-    write_table(orders, path, "csv", mode="overwrite")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_table(orders, path, "csv")
     back = read_csv(spark, path)
     counts = distinct_counts(back).select("column", "position", F.col("distinct").alias("dist"))
     rows = missing_counts(back).select("column", "missing")

@@ -144,6 +144,18 @@ def test_correlation_matches_pandas(spark):
     assert all(math.isclose(found[k], chunked[k], abs_tol=1e-12) for k in found)
 
 
+def test_wide_table_correlation(spark):
+    draw = np.random.default_rng(9)
+    frame = pd.DataFrame(draw.normal(size=(120, 45)) + 1e4, columns=[f"c.{i}" for i in range(45)])
+    frame["c.1"] = frame["c.0"] * 2
+    frame["c.2"] = 5.0
+    frame.loc[3, "c.4"] = np.nan
+    want = frame.corr().fillna(0)
+    found = {(r["x"], r["y"]): r["value"] for r in correlation_matrix(spark.createDataFrame(frame)).collect()}
+    assert len(found) == 45 * 45
+    assert all(math.isclose(found[(x, y)], want.loc[y, x], abs_tol=1e-9) for x in frame for y in frame)
+
+
 def test_small_charts(spark):
     df = spark.createDataFrame([(3, 1.0, "a"), (1, 2.0, None), (2, None, "b")], "k int, x double, g string")
     assert [(r["index"], r["value"]) for r in line_series(df, ["k"], ["x"]).collect()] == [(0, 2.0), (1, 1.0)]
