@@ -61,7 +61,7 @@ def flat_columns(df: DataFrame) -> list[str]:
 
 
 def trim_names(df: DataFrame) -> DataFrame:
-    names = [c.strip() for c in df.columns]
+    names = [c.lstrip("\ufeff").strip() for c in df.columns]
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
         raise ValueError(f"column names repeat after trimming: {repeated}")

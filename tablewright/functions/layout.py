@@ -15,11 +15,12 @@ SMALL_ROWS = 5_000_000
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """A small table held by fewer files than there are cores, dealt out evenly.
 
-    Such a table is often one row group, and so one task, whatever the cores. A large
-    table comes in many splits and is left as it is.
+    Such a table is often one row group, and so one task, whatever the cores. Dealing it
+    out pays where several passes follow. A large table comes in many splits and is left
+    as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 10_000 <= rows <= SMALL_ROWS or len(df.inputFiles()) >= cores:
+    if not 10_000 <= rows <= SMALL_ROWS or df.is_cached or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
 

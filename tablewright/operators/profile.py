@@ -22,7 +22,6 @@ from tablewright.functions.columns import (
     tidy,
     unfold,
 )
-from tablewright.functions.layout import spread
 
 PROFILE_SCHEMA = (
     "column string, position int, kind string, dtype string, rows bigint, "
@@ -85,16 +84,11 @@ def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
     lies near a value a rule compares with, so the rules decide as with exact counts.
     ``"auto"`` takes the sketch above ``EXACT_DISTINCT_ROWS`` rows.
     """
+    if distinct not in ("auto", "exact", "sketch"):
+        raise ValueError("distinct must be 'auto', 'exact' or 'sketch'")
     df = tidy(df)
-    counted = df
-    if distinct == "auto":
-        rows = df.count()
-        distinct = "sketch" if rows > EXACT_DISTINCT_ROWS else "exact"
-        counted = spread(df, rows)
-    if distinct == "sketch":
+    if distinct == "sketch" or (distinct == "auto" and df.count() > EXACT_DISTINCT_ROWS):
         return _sketched_profile(df)
-    if distinct != "exact":
-        raise ValueError("distinct must be 'auto', 'exact' or 'sketch'")
     # kept apart from the distinct counts: one aggregate over both would send every
     # value through the rows that the distinct counts multiply
     base = unfold(
@@ -112,7 +106,7 @@ def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
             for i, f in enumerate(df.schema.fields)
         ],
     )
-    counts = F.broadcast(distinct_counts(counted).select("position", "distinct"))  # one row per column
+    counts = F.broadcast(distinct_counts(df).select("position", "distinct"))  # one row per column
     return base.join(counts, "position", "left").select(
         "column", "position", "kind", "dtype", "rows", "missing", "distinct", "avg_length"
     )

@@ -23,6 +23,8 @@ MISSING_TOKENS = [
 TRUE_TEXTS = ["True", "TRUE", "true"]
 FALSE_TEXTS = ["False", "FALSE", "false"]
 
+#: holds a row's first field beyond the header
+OVERFLOW = "_beyond_header"
 #: stands for bytes that are not valid in the encoding a file was read with
 REPLACEMENT_CHARACTER = "�"
 
@@ -37,18 +39,21 @@ def read_csv(
     """CSV with a header row, missing tokens as NULL, and types found in one pass.
 
     ``encoding="auto"`` reads UTF-8 and, where that meets undecodable bytes, reads
-    again as Latin-1. ``multi_line`` allows line breaks inside quotes; it is off by
+    again as Latin-1. Short rows are filled with NULL, rows with more fields than the
+    header are an error. ``multi_line`` allows line breaks inside quotes; it is off by
     default because such files cannot be split over tasks.
     """
     reader = "UTF-8" if encoding == "auto" else encoding
     raw = _strings(spark, path, reader, multi_line)
     if not infer_types and encoding != "auto":
-        return raw
+        return raw.drop(OVERFLOW)
     facts = _text_facts(raw)
     if encoding == "auto" and facts["_undecodable"]:
         raw = _strings(spark, path, "ISO-8859-1", multi_line)
         facts = _text_facts(raw)
-    return _typed(raw, facts) if infer_types else raw
+    if facts["_overflowing"]:
+        raise ValueError(f"{facts['_overflowing']} rows have more fields than the header")
+    return _typed(raw, facts) if infer_types else raw.drop(OVERFLOW)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -70,23 +75,27 @@ def infer_types(raw: DataFrame) -> DataFrame:
 
 
 def _strings(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .csv(path)
     )
-    raw = trim_names(raw)
+    header = trim_names(reader.csv(path)).columns
+    fields = [T.StructField(c, T.StringType()) for c in (*header, OVERFLOW)]
+    # without the extra field, the parser would drop what a row has beyond the header
+    raw = reader.schema(T.StructType(fields)).csv(path)
     return raw.select(
         *[F.when(~col(c).isin(MISSING_TOKENS), col(c)).alias(c) for c in raw.columns]
     )
 
 
 def _text_facts(raw: DataFrame) -> dict:
-    checks = []
-    for i, name in enumerate(raw.columns):
+    names = [c for c in raw.columns if c != OVERFLOW]
+    over = F.count(col(OVERFLOW)) if OVERFLOW in raw.columns else F.lit(0)
+    checks = [over.alias("_overflowing")]
+    for i, name in enumerate(names):
         value, text = col(name), F.trim(col(name))
         is_integer = text.rlike(INTEGER_PATTERN) & text.try_cast("bigint").isNotNull()
         checks += [
@@ -97,13 +106,13 @@ def _text_facts(raw: DataFrame) -> dict:
             F.count_if(value.contains(REPLACEMENT_CHARACTER)).alias(f"u{i}"),
         ]
     row = raw.agg(*checks).first().asDict()
-    row["_undecodable"] = sum(row[f"u{i}"] for i in range(len(raw.columns)))
+    row["_undecodable"] = sum(row[f"u{i}"] for i in range(len(names)))
     return row
 
 
 def _typed(raw: DataFrame, facts: dict) -> DataFrame:
     out = []
-    for i, name in enumerate(raw.columns):
+    for i, name in enumerate(c for c in raw.columns if c != OVERFLOW):
         value, text, present = col(name), F.trim(col(name)), facts[f"n{i}"]
         if facts[f"i{i}"] == present and present > 0:
             typed = text.try_cast("bigint")

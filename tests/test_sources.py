@@ -44,6 +44,12 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert read_csv(spark, path, multi_line=True).collect() == [("x\ny", 1)]
 
 
+def test_short_and_long_rows(spark, tmp_path):
+    assert read_csv(spark, _csv(tmp_path, "\ufeffa,b\n1\n2,3\n")).collect() == [(1, None), (2, 3)]
+    with pytest.raises(ValueError, match="more fields"):
+        read_csv(spark, _csv(tmp_path, "a,b\n1,2\n3,4,5\n"))
+
+
 def test_names_repeating_after_trimming(spark):
     with pytest.raises(ValueError, match="repeat"):
         trim_names(spark.createDataFrame([(1, 2)], ["a", " a "]))
