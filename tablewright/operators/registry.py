@@ -142,12 +142,9 @@ def primary_metric(metrics: Column) -> Column:
 # -- models -------------------------------------------------------------------------
 
 
-def registration(spark, model_id: str, metadata: Mapping[str, str], at) -> tuple[DataFrame, DataFrame]:
-    """Log rows of one registration: its metadata, and its first version. Registering
-    again adds metadata and leaves stages alone, since an existing version keeps its
-    latest stage only if nothing newer is logged; see :func:`first_versions`."""
-    log = spark.createDataFrame([(model_id, at, {**metadata, "model_id": model_id})], MODEL_LOG_SCHEMA)
-    return log, log.select("model_id", F.lit(FIRST_VERSION).alias("version"), F.lit("development").alias("stage"), "at")
+def registration(spark, model_id: str, metadata: Mapping[str, str], at) -> DataFrame:
+    """The log row of one registration. Registering again adds to the metadata."""
+    return spark.createDataFrame([(model_id, at, {**metadata, "model_id": model_id})], MODEL_LOG_SCHEMA)
 
 
 def first_versions(stage_log: DataFrame, model_log: DataFrame) -> DataFrame:

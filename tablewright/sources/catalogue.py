@@ -81,7 +81,7 @@ class Catalogue:
 
     def register_model(self, model_id: str, metadata: Mapping[str, object]) -> None:
         texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in metadata.items()}
-        log, _ = registry.registration(self.spark, model_id, texts, dt.datetime.now())
+        log = registry.registration(self.spark, model_id, texts, dt.datetime.now())
         stages = registry.first_versions(self.table("stage_log"), log)
         self._append("stage_log", stages.coalesce(1))
         self._append("model_log", log)
