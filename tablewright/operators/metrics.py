@@ -11,31 +11,45 @@ from tablewright.functions.columns import as_double, category_text, col, tidy
 MAX_LABELS = 2_000
 
 
-def confusion_counts(df: DataFrame, actual: Column | str, predicted: Column | str) -> DataFrame:
-    """``actual, predicted, n`` for the pairs that occur."""
+def confusion_counts(
+    df: DataFrame, actual: Column | str, predicted: Column | str, keep_missing: bool = False
+) -> DataFrame:
+    """``actual, predicted, n`` for the pairs that occur; those with a missing side only
+    with ``keep_missing``."""
     a = actual if isinstance(actual, Column) else col(actual)
     p = predicted if isinstance(predicted, Column) else col(predicted)
-    return (
-        df.select(a.alias("actual"), p.alias("predicted"))
-        .filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
-        .groupBy("actual", "predicted")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    pairs = df.select(a.alias("actual"), p.alias("predicted"))
+    if not keep_missing:
+        pairs = pairs.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+    return pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def classification_metrics(counts: DataFrame, digits: int | None = 4) -> DataFrame:
     """One row: accuracy and support-weighted precision, recall and F1; 0 for 0 / 0."""
+    return _classification(counts, digits).drop("skipped")
+
+
+def _classification(counts: DataFrame, digits: int | None) -> DataFrame:
+    """The metrics and ``skipped``, the rows whose pair has a missing side, in one go."""
     none = F.lit(0).cast("bigint")
+    whole = F.col("actual").isNotNull() & F.col("predicted").isNotNull()
+    kept = F.when(whole, F.col("n")).otherwise(none)
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(none)
     sides = counts.select(
         F.inline(
             F.array(
-                F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), none.alias("chosen"), hit.alias("hits")),
-                F.struct(F.col("predicted").alias("label"), none.alias("support"), F.col("n").alias("chosen"), none.alias("hits")),
+                F.struct(
+                    F.col("actual").alias("label"), kept.alias("support"), none.alias("chosen"), hit.alias("hits"),
+                    (F.col("n") - kept).alias("skipped"),
+                ),
+                F.struct(
+                    F.col("predicted").alias("label"), none.alias("support"), kept.alias("chosen"), none.alias("hits"),
+                    none.alias("skipped"),
+                ),
             )
         )
     )
-    per_label = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("chosen").alias("chosen"), F.sum("hits").alias("hits"))
+    per_label = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("chosen").alias("chosen"), F.sum("hits").alias("hits"), F.sum("skipped").alias("skipped"))
     precision = F.coalesce(F.try_divide("hits", "chosen"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hits", "support"), F.lit(0.0))
     scored = per_label.withColumn("precision", precision).withColumn("recall", recall)
@@ -53,6 +67,7 @@ def classification_metrics(counts: DataFrame, digits: int | None = 4) -> DataFra
         weighted(F.col("precision")).alias("precision_weighted"),
         weighted(F.col("recall")).alias("recall_weighted"),
         weighted(f1).alias("f1_weighted"),
+        F.coalesce(F.sum("skipped"), none).alias("skipped"),
     )
     return _rounded(out, digits)
 
@@ -75,18 +90,23 @@ def confusion_matrix(counts: DataFrame) -> DataFrame:
 def regression_metrics(df: DataFrame, actual: Column | str, predicted: Column | str, digits: int | None = 4) -> DataFrame:
     """One row: rows, mae, rmse, r2_score. For a constant actual, R² is 1 if all is right
     and 0 otherwise; under two rows it is undefined."""
+    return _regression(df, actual, predicted, digits).drop("skipped")
+
+
+def _regression(df: DataFrame, actual: Column | str, predicted: Column | str, digits: int | None) -> DataFrame:
+    """The metrics and ``skipped``, the rows where a side is no number, in one go."""
     a = actual if isinstance(actual, Column) else col(actual)
     p = predicted if isinstance(predicted, Column) else col(predicted)
-    pairs = df.select(a.cast("double").alias("y"), p.cast("double").alias("p")).filter(
-        F.col("y").isNotNull() & F.col("p").isNotNull() & ~F.isnan("y") & ~F.isnan("p")
-    )
-    error = F.col("y") - F.col("p")
+    nothing = F.lit(None).cast("double")
+    sides = df.select(F.nanvl(a.cast("double"), nothing).alias("a"), F.nanvl(p.cast("double"), nothing).alias("p"))
+    pairs = sides.select(F.when(F.col("p").isNotNull(), F.col("a")).alias("y"), (F.col("a") - F.col("p")).alias("e"))
     sums = pairs.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.avg(error * error).alias("mse"),
+        F.count("y").alias("rows"),
+        F.avg(F.abs("e")).alias("mae"),
+        F.avg(F.col("e") * F.col("e")).alias("mse"),
         F.var_pop("y").alias("spread"),
         (F.min("y") == F.max("y")).alias("constant"),
+        F.count_if(F.col("y").isNull()).alias("skipped"),
     )
     r2 = (
         F.when(F.col("rows") < 2, F.lit(None).cast("double"))
@@ -94,13 +114,14 @@ def regression_metrics(df: DataFrame, actual: Column | str, predicted: Column |
         .when(F.col("constant"), 0.0)
         .otherwise(1 - F.try_divide("mse", "spread"))
     )
-    return _rounded(sums.select("rows", "mae", F.sqrt("mse").alias("rmse"), r2.alias("r2_score")), digits)
+    return _rounded(sums.select("rows", "mae", F.sqrt("mse").alias("rmse"), r2.alias("r2_score"), "skipped"), digits)
 
 
 def _rounded(df: DataFrame, digits: int | None) -> DataFrame:
     if digits is None:
         return df
-    return df.select("rows", *[F.round(c, digits).alias(c) for c in df.columns if c != "rows"])
+    counts = ("rows", "skipped")
+    return df.select(*[c if c in counts else F.round(c, digits).alias(c) for c in df.columns])
 
 
 def evaluate_predictions(df: DataFrame, actual: str, predicted: str, task_type: str) -> DataFrame:
@@ -114,14 +135,7 @@ def evaluate_predictions(df: DataFrame, actual: str, predicted: str, task_type:
     types = {f.name: f.dataType for f in df.schema.fields}
     if task_type == "classification":
         a, p = category_text(actual, types[actual]), category_text(predicted, types[predicted])
-        out = classification_metrics(confusion_counts(df, a, p))
+        out = _classification(confusion_counts(df, a, p, keep_missing=True), 4)
     else:
-        a, p = as_double(actual, types[actual]), as_double(predicted, types[predicted])
-        out = regression_metrics(df, a, p)
-    skipped = df.agg(F.count_if(a.isNull() | p.isNull()).alias("skipped")).withColumn("_one", F.lit(1))
-    return (
-        out.filter(F.coalesce(F.col("rows"), F.lit(0)) > 0)
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(skipped), "_one")  # one row
-        .drop("_one")
-    )
+        out = _regression(df, as_double(actual, types[actual]), as_double(predicted, types[predicted]), 4)
+    return out.filter(F.coalesce(F.col("rows"), F.lit(0)) > 0)

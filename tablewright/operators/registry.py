@@ -237,12 +237,16 @@ def lineage(models: DataFrame, experiments: DataFrame, datasets: DataFrame) -> D
     runs = experiments.select("model_id", F.col("id").alias("experiment_id"), F.col("dataset_id").alias("run_dataset"))
     named = datasets.select(F.col("id").alias("dataset_id"), F.col("original_filename").alias("filename"))
     noted = F.col("metadata")["dataset_id"].try_cast("bigint")
-    return (
-        models.select("model_id", noted.alias("noted"))
-        .join(runs, "model_id", "left")
-        .withColumn("dataset_id", F.coalesce("run_dataset", "noted"))
-        .join(named, "dataset_id", "left")
-        .select("model_id", "experiment_id", "dataset_id", "filename")
+    noted_models = models.select("model_id", noted.alias("noted"))
+    # an inner join, whose hot keys Spark can split on either side, and the rest apart
+    with_runs = noted_models.join(runs, "model_id").select(
+        "model_id", "experiment_id", F.coalesce("run_dataset", "noted").alias("dataset_id")
+    )
+    without = noted_models.join(runs.select("model_id").distinct(), "model_id", "left_anti").select(
+        "model_id", F.lit(None).cast("bigint").alias("experiment_id"), F.col("noted").alias("dataset_id")
+    )
+    return with_runs.unionByName(without).join(named, "dataset_id", "left").select(
+        "model_id", "experiment_id", "dataset_id", "filename"
     )
 
 

@@ -32,9 +32,13 @@ def dataset_hash(hashes: DataFrame, buckets: int = 4096) -> str:
         raise ValueError("no files found")
     if count == 1:
         return hashes.first()["content_hash"]
-    bucket = F.pmod(F.xxhash64("content_hash"), F.lit(buckets))
-    folded = hashes.groupBy(bucket.alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("content_hash")), ""), 256).alias("part")
+    # copies of a file are counted first, so that they make up one entry of a bucket
+    entries = hashes.groupBy("content_hash").count().select(
+        F.pmod(F.xxhash64("content_hash"), F.lit(buckets)).alias("bucket"),
+        F.concat_ws(":", "content_hash", F.col("count").cast("string")).alias("entry"),
+    )
+    folded = entries.groupBy("bucket").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), ""), 256).alias("part")
     )
     return folded.agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256)
