@@ -156,8 +156,10 @@ def leakage_checks(spark, folder):
 
 @query(
     _FINDINGS
-    + """SELECT count(*) AS findings, least(100, sum(CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 ELSE 5 END))::BIGINT AS risk_score,
-CASE WHEN least(100, sum(CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 ELSE 5 END)) >= 70 THEN 'Critical' ELSE 'other' END AS risk_level FROM found"""
+    + """, scored AS (SELECT count(*) AS findings,
+least(100, sum(CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 ELSE 5 END))::BIGINT AS risk_score FROM found)
+SELECT findings, risk_score, CASE WHEN risk_score >= 70 THEN 'Critical' WHEN risk_score >= 40 THEN 'High'
+WHEN risk_score >= 20 THEN 'Medium' ELSE 'Low' END AS risk_level FROM scored"""
 )
 def leakage_score(spark, folder):
     return leakage_risk(leakage_findings(_items(spark, folder), "gross", distinct="sketch"))
