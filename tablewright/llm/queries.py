@@ -29,3 +29,26 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.secrets import secret_digest
 
     return secret_digest(read_table(spark, folder, "documents"))
+
+
+@query
+def op1_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.mixing import mix_digest
+
+    return mix_digest(read_table(spark, folder, "documents"))
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.languages import language_digest
+
+    return language_digest(read_table(spark, folder, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablewright.llm.tokens import count_tokens
+
+    return count_tokens(read_table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
