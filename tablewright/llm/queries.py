@@ -52,3 +52,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.tokens import count_tokens
 
     return count_tokens(read_table(spark, folder, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.neardup import similar_groups
+
+    return similar_groups(read_table(spark, folder, "documents"))
