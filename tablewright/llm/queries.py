@@ -59,3 +59,10 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.neardup import similar_groups
 
     return similar_groups(read_table(spark, folder, "documents"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
