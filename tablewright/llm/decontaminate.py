@@ -97,8 +97,18 @@ class Index:
         term, self.entry, self.weight = term[order], entry[order].astype("i4"), weight[order]
         self.start = np.searchsorted(term, np.arange(len(names) + 1))
         self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if len(names) else np.zeros(0)
+        self.read: dict[int, tuple[list[int], list[float], float, list[float]]] = {}
         self._split(term)
 
+    def postings(self, t: int) -> tuple[list[int], list[float], float, list[float]]:
+        """Entries, weights, the largest weight of all and of each block of a term's list."""
+        if t not in self.read:
+            a, b = int(self.start[t]), int(self.start[t + 1])
+            weights = self.weight[a:b].tolist()
+            tops = [max(weights[i : i + POSTING_BLOCK]) for i in range(0, b - a, POSTING_BLOCK)]
+            self.read[t] = (self.entry[a:b].tolist(), weights, float(self.top[t]), tops)
+        return self.read[t]
+
     def _term(self, word: str) -> int:
         return self.terms.setdefault(word, len(self.terms))
 
@@ -156,12 +166,7 @@ def promising(ids: np.ndarray, half: np.ndarray, last: np.ndarray, index: Index)
 
 def block_max_wand(terms: list[int], index: Index, least: float) -> list[tuple[int, float]]:
     """All entries that score at least ``least``, with their scores."""
-    lists = []
-    for t in terms:
-        a, b = int(index.start[t]), int(index.start[t + 1])
-        weights = index.weight[a:b]
-        tops = [float(weights[i : i + POSTING_BLOCK].max()) for i in range(0, b - a, POSTING_BLOCK)]
-        lists.append([int(index.entry[a]), 0, index.entry[a:b].tolist(), weights.tolist(), float(index.top[t]), tops])
+    lists = [[p[0][0], 0, *p] for p in map(index.postings, terms)]
     found = []
     while lists:
         lists.sort(key=lambda x: x[0])
