@@ -66,3 +66,19 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     from tablewright.llm.decontaminate import find_leaks
 
     return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.topk import topk_digest
+
+    return topk_digest(read_table(spark, folder, "embeddings"))
+
+
+def _oracles() -> dict[str, str]:
+    from tablewright.llm import topk
+
+    return {"op6_exact_top_k": topk.ORACLE}
+
+
+ORACLES.update(_oracles())
