@@ -82,3 +82,10 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLES.update(_oracles())
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.lm import lm_digest
+
+    return lm_digest(read_table(spark, folder, "documents"))
