@@ -18,7 +18,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import remainder
+from tablewright.llm.common import remainder, stored
 
 ROWS_PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 256
@@ -36,7 +38,9 @@ SMOOTHING = 0.5
 #: a language is written in the scripts that hold at least this share of its letters
 SCRIPT_SHARE = 0.02
 #: words remembered per task
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: words that are held as texts before they are looked up
+WAITING = 400_000
 #: words times languages that step through Viterbi together
 AT_ONCE = 24_000_000
 
@@ -51,46 +55,51 @@ SCRIPTS = [
 NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
 _STARTS = np.array([start for _, start, _ in sorted(SCRIPTS, key=lambda s: s[1])])
 _SORTED = sorted(SCRIPTS, key=lambda s: s[1])
-LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M} ]+")
 NO_EVIDENCE = -1e4
+#: code points to an integer of three
+STEP = 21
+_NUMBERS = np.array([NAMES.index(name) for name, _, _ in _SORTED])
+_ENDS = np.array([end for _, _, end in _SORTED])
 
 
-def script_of(letter: str) -> int:
-    """Position in ``NAMES``."""
-    code = ord(letter)
-    i = int(np.searchsorted(_STARTS, code, side="right")) - 1
-    return NAMES.index(_SORTED[i][0] if i >= 0 and code <= _SORTED[i][2] else "other")
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Position in ``NAMES`` of the script of each letter."""
+    at = np.searchsorted(_STARTS, codes, side="right") - 1
+    inside = (at >= 0) & (codes <= _ENDS[np.maximum(at, 0)])
+    return np.where(inside, _NUMBERS[np.maximum(at, 0)], NAMES.index("other"))
 
 
-def letters_of(word: str) -> str:
-    return "".join(LETTERS.findall(word)).lower()
-
-
-def grams_of(letters: str) -> list[str]:
-    framed = f" {letters} "
-    return [framed[i : i + 3] for i in range(len(framed) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every letter of the words, in order: the word's number, the letter, and the trigram
+    around it (a space standing beside first and last letters)."""
+    line = NOT_LETTERS.sub("", f" {' '.join(words)} ".lower())
+    codes = np.frombuffer(line.encode("utf-32-le"), "u4").astype("i8")
+    blank = codes == 32
+    at = np.flatnonzero(~blank)
+    return np.cumsum(blank)[at] - 1, codes[at], (codes[at - 1] << 2 * STEP) | (codes[at] << STEP) | codes[at + 1]
 
 
 def _training_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, gram, n): trigrams, and single letters (as grams of length one)."""
+    """(lang, gram, n): trigrams, and single letters by their code."""
     for batch in batches:
-        counts: dict[tuple[str, str], int] = {}
-        for lang, text in zip(batch["lang"], batch["text"]):
-            words: dict[str, int] = {}
-            for word in text.split():
-                words[word] = words.get(word, 0) + 1
-            for word, n in words.items():
-                letters = letters_of(word)
-                for gram in [*grams_of(letters), *letters] if letters else ():
-                    counts[lang, gram] = counts.get((lang, gram), 0) + n
-        yield pd.DataFrame([(a, g, n) for (a, g), n in counts.items()], columns=["lang", "gram", "n"])
+        for lang, texts in batch.groupby("lang")["text"]:
+            found = []
+            for text in texts:
+                _, letters, grams = trigrams(text.split())
+                found += [np.unique(letters, return_counts=True), np.unique(grams, return_counts=True)]
+            grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([n for _, n in found]), len(grams)).astype("i8")
+            yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
 
 
 class Model:
-    """What the tasks need: languages, the score of each trigram in each, scripts of each."""
+    """What the tasks need: languages, trigrams in order, their scores in each language, the
+    score of other trigrams, and the scripts of each language."""
 
-    def __init__(self, langs: list[str], grams: dict[str, int], scores: np.ndarray, unseen: np.ndarray, scripts: np.ndarray):
+    def __init__(self, langs: list[str], grams: np.ndarray, scores: np.ndarray, unseen: np.ndarray, scripts: np.ndarray):
         self.langs, self.grams, self.scores, self.unseen, self.scripts = langs, grams, scores, unseen, scripts
+        self.name = uuid.uuid4().hex
 
 
 def fit_languages(
@@ -100,33 +109,29 @@ def fit_languages(
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
-        return Model([], {}, np.zeros((0, 0), "f4"), np.zeros(0, "f4"), np.zeros((0, len(NAMES)), bool))
+        return Model([], np.zeros(0, "i8"), np.zeros((0, 0), "f4"), np.zeros(0, "f4"), np.zeros((0, len(NAMES)), bool))
     rates = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], min(1.0, rows_per_language / row["count"]))])
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.where(uniform < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0)))
-    counts = (
+    counts = stored(
         chosen.select("lang", "text")
-        .mapInPandas(_training_grams, "lang string, gram string, n long")
+        .mapInPandas(_training_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    single = counts.where(F.length("gram") == 1)
-    frequent = (
-        counts.where(F.length("gram") == 3).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram")
-    )
-    triples = counts.where(F.length("gram") == 3).join(frequent, "gram").toPandas()
-    letters = single.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    single = F.col("gram") < 1 << STEP
+    frequent = counts.where(~single).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(max_grams)
+    triples = counts.where(~single).join(frequent.select("gram"), "gram").toPandas()
+    letters = counts.where(single).toPandas()
     langs = sorted({r["lang"] for r in sizes} & set(triples["lang"]))
     place = {lang: i for i, lang in enumerate(langs)}
-    grams = {g: i for i, g in enumerate(sorted(set(triples["gram"])))}
+    grams = np.unique(triples["gram"].to_numpy("i8"))
     table = np.zeros((len(grams), len(langs)))
-    triples = triples[triples["lang"].isin(place)]
-    table[triples["gram"].map(grams).to_numpy(int), triples["lang"].map(place).to_numpy(int)] = triples["n"]
+    table[np.searchsorted(grams, triples["gram"].to_numpy("i8")), triples["lang"].map(place).to_numpy(int)] = triples["n"]
     total = table.sum(0) + SMOOTHING * (len(grams) + 1)
     scripts = np.zeros((len(langs), len(NAMES)))
-    for lang, letter, n in zip(letters["lang"], letters["gram"], letters["n"]):
-        if lang in place:
-            scripts[place[lang], script_of(letter)] += n
+    letters = letters[letters["lang"].isin(place)]
+    np.add.at(scripts, (letters["lang"].map(place).to_numpy(int), scripts_of(letters["gram"].to_numpy("i8"))), letters["n"].to_numpy())
     scripts /= np.maximum(scripts.sum(1, keepdims=True), 1)
     return Model(
         langs, grams, np.log((table + SMOOTHING) / total).astype("f4"), np.log(SMOOTHING / total).astype("f4"), scripts >= SCRIPT_SHARE
@@ -134,31 +139,38 @@ def fit_languages(
 
 
 class Words(dict):
-    """Row of each word in a growing matrix of scores; rows are made when a word is first met."""
+    """Row of each word in a growing matrix of scores."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.scores = np.zeros((1024, len(model.langs)), "f4")
-        self.letters = np.zeros(1024, "i4")
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        letters = letters_of(word)
-        self.letters[row] = len(letters)
-        if letters:
-            model = self.model
-            candidates = model.scripts[:, script_of(letters[0])]
-            if candidates.any():
-                found = [model.grams.get(g, -1) for g in grams_of(letters)]
-                known = [g for g in found if g >= 0]
-                score = model.scores[known].sum(0) + model.unseen * (len(found) - len(known))
-                self.scores[row] = np.where(candidates, score - score[candidates].max(), NO_EVIDENCE)
-        self[word] = row
-        return row
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.scores = np.zeros((0, len(self.model.langs)), "f4")
+        self.letters = np.zeros(0, "i4")
+
+    def learn(self, words: list[str]) -> None:
+        """Scores of words not yet met. The best candidate has 0; languages that are not written
+        in the word's script are no candidates; a word without candidates is no evidence."""
+        model = self.model
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        owner, letters, grams = trigrams(words)
+        at = np.minimum(np.searchsorted(model.grams, grams), len(model.grams) - 1)
+        each = np.where((model.grams[at] == grams)[:, None], model.scores[at], model.unseen)
+        count = np.bincount(owner, minlength=len(words)).astype("i4")
+        scores = np.stack([np.bincount(owner, column, len(words)) for column in each.T], 1)
+        some = np.flatnonzero(count)
+        first = (np.cumsum(count) - count)[some]
+        candidates = np.zeros(scores.shape, bool)
+        candidates[some] = model.scripts[:, scripts_of(letters[first])].T
+        top = np.where(candidates, scores, -np.inf).max(1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            scores = np.where(candidates, scores - top, NO_EVIDENCE)
+        scores[~candidates.any(1)] = 0
+        self.scores = np.concatenate([self.scores, scores.astype("f4")])
+        self.letters = np.concatenate([self.letters, count])
 
 
 def best_paths(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, switch: float) -> np.ndarray:
@@ -191,7 +203,26 @@ def best_paths(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
     return path
 
 
-_words: dict[int, Words] = {}
+def settled(each: np.ndarray, starts: np.ndarray, owner: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best single language of every text, and whether no switch can better it.
+
+    A stretch in another language pays for the switch only if that language leads by more
+    than the penalty over some stretch; where none does in any language, the best path stays
+    in one. ``each``: scores of all words, text by text.
+    """
+    best = np.add.reduceat(each, starts, 0).argmax(1)
+    own = each[np.arange(len(each)), best[owner]]
+    fixed = np.ones(len(starts), bool)
+    for lang in range(each.shape[1]):
+        lead = np.clip(each[:, lang] - own, -switch, None)  # a loss of the penalty ends a stretch
+        running = np.concatenate([[0.0], np.cumsum(lead, dtype="f8")])
+        apart = (2 * np.abs(running).max() + 1) * owner  # sums of each text lie below those before
+        before = np.minimum.accumulate(running[:-1] - apart)
+        fixed &= np.maximum.reduceat(running[1:] - apart - before, starts) <= switch
+    return best, fixed
+
+
+_words: dict[str, Words] = {}
 
 
 def _label(texts: list[str | None], words: Words, switch: float) -> list[tuple[str, float, list[dict]]]:
@@ -199,16 +230,21 @@ def _label(texts: list[str | None], words: Words, switch: float) -> list[tuple[s
     out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(texts)
     if not langs:
         return out
-    todo: list[tuple[int, list[int]]] = []
+    todo: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def run() -> None:
         lengths = np.array([len(i) for _, i in todo])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
-        ids = np.concatenate([np.asarray(i, dtype="i4") for _, i in todo])
-        path = best_paths(ids, starts, lengths, words.scores, switch)
-        letters = words.letters[ids]
+        ids = np.concatenate([i for _, i in todo])
         owner = np.repeat(np.arange(len(todo)), lengths)
+        best, fixed = settled(words.scores[ids], starts, owner, switch)
+        path = best[owner].astype("i4")
+        if not fixed.all():
+            open_words = ~fixed[owner]
+            own = lengths[~fixed]
+            path[open_words] = best_paths(ids[open_words], np.cumsum(own) - own, own, words.scores, switch)
+        letters = words.letters[ids]
         mass = np.bincount(owner * len(langs) + path, weights=letters, minlength=len(todo) * len(langs)).reshape(len(todo), -1)
         turns = np.flatnonzero((path[1:] != path[:-1]) | (owner[1:] != owner[:-1])) + 1
         begins = np.concatenate([[0], turns])
@@ -224,23 +260,37 @@ def _label(texts: list[str | None], words: Words, switch: float) -> list[tuple[s
                 out[row] = (langs[top], float(mass[k, top] / total), spans[k])
         todo.clear()
 
+    part: list[tuple[int, list[str]]] = []
+    waiting = 0
+
+    def take() -> None:
+        """The words of the texts read so far become rows of the matrix."""
+        words.learn([w for w in set(chain.from_iterable(p for _, p in part)) if w not in words])
+        todo.extend((row, np.fromiter(map(words.__getitem__, p), "i4", len(p))) for row, p in part)
+        part.clear()
+
     for row, text in enumerate(texts):
-        if text is None:
-            continue
-        ids = list(map(words.__getitem__, text.split()))
-        if not ids:
+        found = text.split() if text is not None else []
+        if not found:
             continue
-        todo.append((row, ids))
-        size += len(ids) * len(langs)
+        part.append((row, found))
+        waiting += len(found)
+        size += len(found) * len(langs)
+        if waiting >= WAITING:
+            take()
+            waiting = 0
         if size >= AT_ONCE:
+            take()
             run()
-            size = 0
-        if not todo and len(words) > REMEMBERED:
-            words.__init__(words.model)
+            size = waiting = 0
+            if len(words) > REMEMBERED:
+                words.forget()
+    if part:
+        take()
     if todo:
         run()
     if len(words) > REMEMBERED:
-        words.__init__(words.model)
+        words.forget()
     return out
 
 
@@ -251,7 +301,7 @@ def label_languages(docs: DataFrame, model: Model, switch: float = SWITCH, text:
 
     @F.pandas_udf("lang string, score double, spans array<struct<first:int,stop:int,lang:string>>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = id(shared.value)
+        key = shared.value.name
         if key not in _words:
             _words.clear()
             _words[key] = Words(shared.value)
