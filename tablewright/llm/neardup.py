@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,22 +49,18 @@ PAIRWISE = 64
 DEEPEST = 3
 #: ids up to this many are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 500_000
+#: bytes of text that are hashed together
+AT_ONCE = 1 << 20
 
 _ORDERS = np.stack([np.random.RandomState(i).permutation(BUCKETS) for i in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype="u8") << np.uint64(64 - BUCKET_BITS)
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = [np.ones(1, "u8"), np.ones(1, "u8")]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,19 +69,73 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a UTF-8 text."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, "u8")
-    each = np.fromiter(map(_hashes.__getitem__, words), "u8", n)
-    size = min(n, SHINGLE)
-    value = np.full(n - size + 1, size, "u8")
-    for k in range(size):
-        value = (value * _MULTIPLIERS[0]) ^ each[k : k + n - size + 1]
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(1 << max(n - 1, 1).bit_length(), base, "u8")
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a lower-cased text, and where it begins: the polynomial of its
+    bytes, as a difference of running sums, moved to the word's beginning."""
+    codes = np.frombuffer(raw, "u1")
+    blank = _BLANK[codes]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    begin, end = edges[::2], edges[1::2]
+    up, down = _powers_to(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, "u8")
+    np.cumsum(np.where(blank, 0, codes.astype("u8") + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    return _mixed((sums[end] - sums[begin]) * down[begin]), begin
+
+
+def _long_hashes(raw: bytes) -> np.ndarray:
+    """As :func:`_word_hashes` for texts too long to be read at once."""
+    parts = []
+    while raw:
+        cut = AT_ONCE
+        while cut < len(raw) and not _BLANK[raw[cut]]:
+            cut += 1
+        parts.append(_word_hashes(raw[:cut])[0])
+        raw = raw[cut:]
+    return np.concatenate(parts)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _combined(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    n = len(words) - size + 1
+    value = np.full(max(n, 0), size, "u8")
+    for k in range(size if n > 0 else 0):
+        value = (value * _MULTIPLIERS[0]) ^ words[k : k + n]
         value = value ^ (value >> np.uint64(29))
-    return np.unique(_mixed(value))
+    return _mixed(value)
+
+
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the shingles of UTF-8 texts, read about a megabyte at a time."""
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and (not part or size + len(texts[at] or b"") <= AT_ONCE):
+            part.append((texts[at] or b"").lower())
+            size += len(part[-1]) + 1
+            at += 1
+        if size > 2 * AT_ONCE:  # one long text
+            words, first = _long_hashes(part[0]), np.zeros(1, int)
+        else:
+            words, begin = _word_hashes(b" ".join(part))
+            first = np.searchsorted(begin, np.cumsum([0] + [len(x) + 1 for x in part[:-1]]))
+        each = _combined(words, SHINGLE)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(words)]):
+            yield _distinct(each[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _combined(words[a:b], b - a) if b > a else each[:0]
 
 
 def registers(least: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -116,34 +166,41 @@ def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.169919487159739093975 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA_BITS)
 
 
-def _sketches(with_set: bool):
-    kind = "n_shingles long, digest binary, bands array<long>" + ", hashes array<long>" * with_set
+def _digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        least = np.zeros((len(texts), BUCKETS), "u8")
+        filled = np.zeros((len(texts), BUCKETS), bool)
+        sizes, digests = [], []
+        for row, found in enumerate(shingle_sets(texts.tolist())):
+            sizes.append(len(found))
+            digests.append(_digest(found))
+            if len(found):
+                at = np.searchsorted(found, _EDGES)
+                filled[row] = np.diff(at, append=len(found)) > 0
+                least[row] = found[np.minimum(at, len(found) - 1)]
+        yield pd.DataFrame({"n_shingles": sizes, "digest": digests, "bands": list(band_keys(registers(least, filled)))})
 
-    @F.pandas_udf(kind)
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            least = np.zeros((len(texts), BUCKETS), "u8")
-            filled = np.zeros((len(texts), BUCKETS), bool)
-            sizes, digests, sets = [], [], []
-            for row, text in enumerate(texts):
-                found = shingles(text) if text is not None else np.zeros(0, "u8")
-                sizes.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                if with_set:
-                    sets.append(found.view("i8"))
-                if len(found):
-                    at = np.searchsorted(found, _EDGES)
-                    filled[row] = np.diff(at, append=len(found)) > 0
-                    least[row] = found[np.minimum(at, len(found) - 1)]
-            out = {"n_shingles": sizes, "digest": digests, "bands": list(band_keys(registers(least, filled)))}
-            yield pd.DataFrame(out | ({"hashes": sets} if with_set else {}))
 
-    return sketch
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, hashes) of texts, some at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            sets = list(shingle_sets(batch.column(0)[start : start + 256].to_pylist()))
+            offsets = np.cumsum([0] + [len(x) for x in sets])
+            values = np.concatenate(sets).view("i8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
+                ["digest", "hashes"],
+            )
 
 
 def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: ``doc_id``, ``n_shingles``, ``digest`` of its set, ``bands``."""
-    sketch = _sketches(False)
+    sketch = F.pandas_udf(_sketch, "n_shingles long, digest binary, bands array<long>")
     return docs.select(F.col(id).alias("doc_id"), sketch(F.col(text).cast("binary")).alias("s")).select("doc_id", "s.*")
 
 
@@ -206,9 +263,8 @@ class Verifier:
         needed = stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id", "digest"), "node"))
         rows = needed.count()
         ids = needed.select(F.col("doc_id").alias("_id"))
-        sketch = _sketches(True)
         chosen = among(self.docs.select(self.id, self.text), ids, "left_semi", rows, self.id)
-        sets = chosen.select(sketch(F.col(self.text).cast("binary")).alias("s")).select("s.digest", "s.hashes")
+        sets = chosen.select(F.col(self.text).cast("binary")).mapInArrow(_sets, "digest binary, hashes array<long>")
         sets = stored(needed.select("node", "digest").join(sets, "digest").select("node", "hashes").dropDuplicates(["node"]))
         shared = F.size(F.array_intersect("ha", "hb"))
         return (

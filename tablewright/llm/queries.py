@@ -89,3 +89,10 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.lm import lm_digest
 
     return lm_digest(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
