@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +98,7 @@ class Index:
         term, self.entry, self.weight = term[order], entry[order].astype("i4"), weight[order]
         self.start = np.searchsorted(term, np.arange(len(names) + 1))
         self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if len(names) else np.zeros(0)
+        self.name = uuid.uuid4().hex
         self.read: dict[int, tuple[list[int], list[float], float, list[float]]] = {}
         self._split(term)
 
@@ -236,14 +238,14 @@ def overlaps(ids: np.ndarray, item: np.ndarray, asked: int, terms: int) -> tuple
     return float(covered.mean()), float(covered[:asked].mean()), float(covered[asked:].mean()) if asked < len(item) else 1.0
 
 
-_terms: dict[int, Terms] = {}
+_terms: dict[str, Terms] = {}
 
 
 def _search(texts: list[bytes | None], index: Index) -> list[list[dict]]:
-    if id(index) not in _terms:
+    if index.name not in _terms:
         _terms.clear()
-        _terms[id(index)] = Terms(index)
-    terms = _terms[id(index)]
+        _terms[index.name] = Terms(index)
+    terms = _terms[index.name]
     out: list[list[dict]] = [[] for _ in texts]
     todo: list[tuple[int, np.ndarray]] = []
 
@@ -321,18 +323,21 @@ def indexes(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> It
             yield Index(rows, counts, entries, words / entries)
 
 
+def _searching(shared):
+    @F.pandas_udf(HIT)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(_search(texts.tolist(), shared.value))
+
+    return search
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``leaks``: an array of the items that are verified in each text."""
     found = []
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(HIT)
-        def search(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series(_search(texts.tolist(), shared.value))
-
-        found.append(search(F.col(text).cast("binary")))
+        found.append(_searching(shared)(F.col(text).cast("binary")))
     if not found:
         return docs.withColumn("leaks", F.array().cast(HIT))
     return docs.withColumn("leaks", F.concat(*found) if len(found) > 1 else found[0])
