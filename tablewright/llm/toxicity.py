@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import remainder, text_of
 from tablewright.llm.languages import NOT_LETTERS
 
-FIT_ROWS, FIT_BYTES = 3_000, 32_768
+FIT_ROWS, FIT_BYTES = 2_000, 32_768
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, GRAM_DIM = 8, 6, 6
 WORD_PLACES, GRAM_PLACES = 1 << 16, 1 << 17
@@ -45,7 +45,7 @@ PRIOR = 3.0
 PASSES, STEPS, BATCH, RATE = 8, 60, 128, 0.02
 THRESHOLD = 0.7
 AT_ONCE = 8192
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,18 +129,18 @@ class Network:
         mean = np.stack([np.bincount(owner, self.p["gram"][gram, k], len(word)) for k in range(GRAM_DIM)], 1) / many
         return np.concatenate([evidence, self.p["word"][word], mean], 1).astype("f4")
 
-    def projected(self, words: list[str]) -> np.ndarray:
-        """What each word adds to both layers' gates."""
-        return self.vectors(self.inputs(words)) @ self.p["in"] + self.p["bias"]
+    def projected(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each word adds to the gates of either layer."""
+        both = (vectors @ self.p["in"] + self.p["bias"]).astype("f4")
+        return np.ascontiguousarray(both[:, : 3 * HIDDEN]), np.ascontiguousarray(both[:, 3 * HIDDEN :])
 
     def _layer(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray, name: str, keep: list | None):
-        half = slice(0, 3 * HIDDEN) if name == "forth" else slice(3 * HIDDEN, 6 * HIDDEN)
         steps = range(ids.shape[1]) if name == "forth" else range(ids.shape[1] - 1, -1, -1)
-        own, weights = np.ascontiguousarray(table[:, half]), self.p[name]
+        own, weights = table, self.p[name]
         state = np.zeros((len(ids), HIDDEN), "f4")
         states = np.zeros((ids.shape[1], len(ids), HIDDEN), "f4")
         for t in steps:
-            given, known = own[ids[:, t]], state @ weights
+            given, known = own[ids[:, t]] if len(own) else np.zeros((len(ids), 3 * HIDDEN), "f4"), state @ weights
             gates = sigmoid(given[:, : 2 * HIDDEN] + known[:, : 2 * HIDDEN])
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             fresh = np.tanh(given[:, 2 * HIDDEN :] + r * known[:, 2 * HIDDEN :])
@@ -151,11 +151,11 @@ class Network:
             states[t] = state
         return states
 
-    def forward(self, table: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows; ``ids``: rows of ``table``, its last row being no word."""
-        mask = (ids < len(table) - 1).astype("f4")
+    def forward(self, tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Logits of windows; ``ids``: rows of ``tables``, -1 for no word."""
+        mask = (ids >= 0).astype("f4")
         trace: dict[str, list] = {"forth": [], "back": []}
-        layers = [self._layer(table, ids, mask, n, trace[n] if keep is not None else None) for n in ("forth", "back")]
+        layers = [self._layer(t, ids, mask, n, trace[n] if keep is not None else None) for t, n in zip(tables, ("forth", "back"))]
         states = np.concatenate(layers, 2)
         looks = np.tanh(states @ self.p["attend"])
         marks = looks @ self.p["focus"]
@@ -170,9 +170,8 @@ class Network:
 
     def gradients(self, inputs, ids: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         vectors = self.vectors(inputs)
-        table = np.concatenate([vectors @ self.p["in"] + self.p["bias"], np.zeros((1, 6 * HIDDEN), "f4")])
         kept: dict = {}
-        logits = self.forward(table, ids, kept)
+        logits = self.forward(self.projected(vectors), ids, kept)
         g = {name: np.zeros_like(value) for name, value in self.p.items()}
         off = ((sigmoid(logits) - labels) / len(ids)).astype("f4")
         g["out"], g["shift"] = kept["pooled"].T @ off, off.sum(keepdims=True)
@@ -185,7 +184,7 @@ class Network:
         to_looks = to_marks[:, :, None] * self.p["focus"] * (1 - looks**2)
         g["attend"] = np.tensordot(states, to_looks, ([0, 1], [0, 1]))
         to_states = to_states + to_looks @ self.p["attend"].T
-        to_table = np.zeros_like(table)
+        to_gates = np.zeros((ids.shape[1], len(ids), 6 * HIDDEN), "f4")
         for name, half in (("forth", 0), ("back", 1)):
             weights, carried = self.p[name], np.zeros((len(ids), HIDDEN), "f4")
             for t, before, z, r, fresh, known, m in reversed(kept["trace"][name]):
@@ -197,14 +196,19 @@ class Network:
                 gates = np.concatenate([to_z, to_r, to_fresh * r], 1)
                 g[name] += before.T @ gates
                 carried = kept_on + here * z + gates @ weights.T
-                np.add.at(to_table[:, half * 3 * HIDDEN : (half + 1) * 3 * HIDDEN], ids[:, t], np.concatenate([to_z, to_r, to_fresh], 1))
-        to_table = to_table[:-1]
+                to_gates[t, :, half * 3 * HIDDEN : (half + 1) * 3 * HIDDEN] = np.concatenate([to_z, to_r, to_fresh], 1)
+        flat = ids.T.ravel()
+        order = np.argsort(flat, kind="stable")[np.count_nonzero(flat < 0) :]
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        to_table = np.zeros((len(vectors), 6 * HIDDEN), "f4")
+        if len(first):
+            to_table[flat[order][first]] = np.add.reduceat(to_gates.reshape(len(flat), -1)[order], first)
         g["in"], g["bias"] = vectors.T @ to_table, to_table.sum(0)
         to_vectors = to_table @ self.p["in"].T
         _, word, owner, gram = inputs
-        np.add.at(g["word"], word, to_vectors[:, EVIDENCE : EVIDENCE + WORD_DIM])
         many = np.maximum(np.bincount(owner, minlength=len(word)), 1)[:, None]
-        np.add.at(g["gram"], gram, (to_vectors[:, EVIDENCE + WORD_DIM :] / many)[owner])
+        for name, place, each in (("word", word, to_vectors[:, EVIDENCE : EVIDENCE + WORD_DIM]), ("gram", gram, (to_vectors[:, EVIDENCE + WORD_DIM :] / many)[owner])):
+            g[name] = np.stack([np.bincount(place, column, TRAINED_PLACES) for column in each.T], 1).astype("f4")
         return g
 
 
@@ -213,8 +217,8 @@ def windows_of(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
-def window_ids(texts: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
-    """A row of word numbers for each window of all texts, and the text of each."""
+def window_ids(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of word numbers (-1: none) for each window of all texts, and the text of each."""
     starts = [windows_of(len(t)) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     flat = np.concatenate([*texts, np.zeros(0, "i4")]).astype("i4")
@@ -222,7 +226,8 @@ def window_ids(texts: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarr
     begin = (np.cumsum(lengths) - lengths)[owner][:, None]
     at = np.concatenate(starts)[:, None] + np.arange(WINDOW)
     inside = at < lengths[owner][:, None]
-    return np.where(inside, flat[np.minimum(begin + at, max(len(flat) - 1, 0))] if len(flat) else none, none), owner
+    found = flat[np.minimum(begin + at, len(flat) - 1)] if len(flat) else -1
+    return np.where(inside, found, -1).astype("i4"), owner
 
 
 def train(texts: list[str], labels: list[int], passes: int = PASSES, seed: int = 7) -> Network | float:
@@ -252,7 +257,7 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, seed: int =
     )
     network = Network(evidence, seed)
     inputs = network.inputs(words)
-    ids, owner_of = window_ids(docs, len(words))
+    ids, owner_of = window_ids(docs)
     y = np.array(labels, "f4")
     hint = np.append(inputs[0][:, 0] + inputs[0][:, 1], 0)
     score = np.sort(hint[ids], 1)[:, -3:].sum(1)  # before the network knows anything
@@ -261,8 +266,8 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, seed: int =
     step = 0
     for turn in range(passes):
         if turn:
-            table = np.concatenate([network.vectors(inputs) @ network.p["in"] + network.p["bias"], np.zeros((1, 6 * HIDDEN), "f4")])
-            score = np.concatenate([network.forward(table, ids[a : a + AT_ONCE]) for a in range(0, len(ids), AT_ONCE)])
+            tables = network.projected(network.vectors(inputs))
+            score = np.concatenate([network.forward(tables, ids[a : a + AT_ONCE]) for a in range(0, len(ids), AT_ONCE)])
         # the highest window of each text, and the second of texts that are not toxic
         ranked = np.lexsort((-score, owner_of))
         rank = np.arange(len(ranked)) - np.searchsorted(owner_of[ranked], owner_of[ranked])
@@ -271,9 +276,8 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, seed: int =
         for _ in range(STEPS):  # as many windows of either class
             part = np.concatenate([draw.choice(side, BATCH // 2) for side in sides])
             used, local = np.unique(ids[part], return_inverse=True)
-            real = used < len(words)
-            used = used[real]
-            local = np.where(ids[part] < len(words), local.reshape(len(part), WINDOW), len(used))
+            none = int(len(used) > 0 and used[0] < 0)
+            used, local = used[none:], local.reshape(len(part), WINDOW) - none
             g = network.gradients(_some(inputs, used, bounds, order), local, y[owner_of[part]])
             step += 1
             for name, value_ in network.p.items():
@@ -302,11 +306,12 @@ class Words(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.table = np.zeros((0, 6 * HIDDEN), "f4")
+        self.tables = tuple(np.zeros((0, 3 * HIDDEN), "f4") for _ in range(2))
 
     def learn(self, words: list[str]) -> None:
         self.update(zip(words, range(len(self), len(self) + len(words))))
-        self.table = np.concatenate([self.table, self.network.projected(words).astype("f4")])
+        fresh = self.network.projected(self.network.vectors(self.network.inputs(words)))
+        self.tables = tuple(np.concatenate(x) for x in zip(self.tables, fresh))
 
 
 _words: dict[str, Words] = {}
@@ -324,9 +329,8 @@ def score_texts(texts: list[str], words: Words) -> np.ndarray:
             end += 1
         words.learn([w for w in set().union(*parts) if w not in words])
         docs = [np.fromiter(map(words.__getitem__, p), "i4", len(p)) for p in parts]
-        table = np.concatenate([words.table, np.zeros((1, 6 * HIDDEN), "f4")])
-        ids, owner = window_ids(docs, len(table) - 1)
-        logits = np.concatenate([words.network.forward(table, ids[a : a + AT_ONCE]) for a in range(0, len(ids), AT_ONCE)])
+        ids, owner = window_ids(docs)
+        logits = np.concatenate([words.network.forward(words.tables, ids[a : a + AT_ONCE]) for a in range(0, len(ids), AT_ONCE)])
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, owner, logits)
         out[begin:end] = sigmoid(best)
