@@ -332,15 +332,15 @@ def _searching(shared):
     return search
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``leaks``: an array of the items that are verified in each text."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks") -> DataFrame:
+    """``docs`` with a column ``name``: an array of the items that are verified in each text."""
     found = []
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         found.append(_searching(shared)(F.col(text).cast("binary")))
     if not found:
-        return docs.withColumn("leaks", F.array().cast(HIT))
-    return docs.withColumn("leaks", F.concat(*found) if len(found) > 1 else found[0])
+        return docs.withColumn(name, F.array().cast(HIT))
+    return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -352,4 +352,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a test item."""
-    return with_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    return with_leaks(docs, benchmark, name="_tw_leaks").where(F.size("_tw_leaks") == 0).select(*docs.columns)

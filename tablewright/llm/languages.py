@@ -294,8 +294,8 @@ def _label(texts: list[str | None], words: Words, switch: float) -> list[tuple[s
     return out
 
 
-def label_languages(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language``: ``lang``, ``score`` (the language's share of
+def label_languages(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text", name: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``name``: ``lang``, ``score`` (the language's share of
     the letters) and ``spans`` (first word, stop, language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -308,7 +308,7 @@ def label_languages(docs: DataFrame, model: Model, switch: float = SWITCH, text:
         for texts in batches:
             yield pd.DataFrame(_label(texts.tolist(), _words[key], switch), columns=["lang", "score", "spans"])
 
-    return docs.withColumn("language", label(F.col(text).cast("string")))
+    return docs.withColumn(name, label(F.col(text).cast("string")))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -327,5 +327,5 @@ def keep_languages(docs: DataFrame, least: float = 0.5, model: Model | None = No
     if model is None:
         fold = remainder(4)
         model = fit_languages(docs.where((fold != 2) & (fold >= 0)).select("doc_id", "text", "lang"))
-    labelled = label_languages(docs, model)
-    return labelled.where((F.col("language.lang") != "und") & (F.col("language.score") >= least)).select(*docs.columns)
+    labelled = label_languages(docs, model, name="_tw_language")
+    return labelled.where((F.col("_tw_language.lang") != "und") & (F.col("_tw_language.score") >= least)).select(*docs.columns)

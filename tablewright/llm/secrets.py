@@ -70,27 +70,27 @@ def _mixed(text: Column) -> Column:
 
 def _with_spans(docs: DataFrame, text: str, source: str) -> DataFrame:
     """``docs`` with ``_body``, ``_repository``, and the ``_base`` and ``_added`` candidates."""
-    looks = lambda m: F.substring(F.col("_body"), m["start"] + 1, m["stop"] - m["start"])
-    body = F.col("_body")
+    looks = lambda m: F.substring(F.col("_tw_body"), m["start"] + 1, m["stop"] - m["start"])
+    body = F.col("_tw_body")
     return (
-        docs.withColumn("_body", text_of(text))
-        .withColumn("_repository", F.coalesce(F.col(source).cast("string"), F.lit("")))
+        docs.withColumn("_tw_body", text_of(text))
+        .withColumn("_tw_repository", F.coalesce(F.col(source).cast("string"), F.lit("")))
         .withColumn(
-            "_base",
+            "_tw_base",
             F.array_sort(
                 F.concat(_found(body, ASSIGN, "assign", 2, 8), _found(body, ACCESS, "access"), _found(body, HEX, "hex"))
             ),
         )
-        .withColumn("_mixed", _mixed(body))
+        .withColumn("_tw_mixed", _mixed(body))
         .withColumn(
-            "_added",
+            "_tw_added",
             F.filter(
-                "_mixed",
+                "_tw_mixed",
                 lambda m: looks(m).rlike("[0-9]") & looks(m).rlike("[A-Z]") & looks(m).rlike("[a-z]")
-                & ~F.exists("_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])),
+                & ~F.exists("_tw_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])),
             ),
         )
-        .drop("_mixed")
+        .drop("_tw_mixed")
     )
 
 
@@ -98,7 +98,7 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     """A row per document: id, repository, ``base`` and ``added`` candidate spans."""
     only = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     return _with_spans(only, "text", "source").select(
-        "doc_id", F.col("_repository").alias("repository"), F.col("_base").alias("base"), F.col("_added").alias("added")
+        "doc_id", F.col("_tw_repository").alias("repository"), F.col("_tw_base").alias("base"), F.col("_tw_added").alias("added")
     )
 
 
@@ -194,29 +194,29 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", **limits: int) -> Da
     unshuffled; only those with some are joined, by id, with the examples among theirs.
     """
     marked = _with_spans(docs, "text", "source")
-    some = F.size(F.concat("_base", "_added")) > 0
+    some = F.size(F.concat("_tw_base", "_tw_added")) > 0
     found = kept(
         marked.where(some).select(
-            "doc_id", F.col("_repository").alias("repository"), F.col("_base").alias("base"), F.col("_added").alias("added")
+            "doc_id", F.col("_tw_repository").alias("repository"), F.col("_tw_base").alias("base"), F.col("_tw_added").alias("added")
         )
     )
     examples = stored(example_hashes(found, **limits))
     per_id = (
-        found.select(F.col("doc_id").alias("_id"), F.explode(F.concat("base", "added")).alias("span"))
+        found.select(F.col("doc_id").alias("_tw_id"), F.explode(F.concat("base", "added")).alias("span"))
         .join(examples, F.col("span.hash") == F.col("hash"))
-        .groupBy("_id")
-        .agg(F.collect_set("hash").alias("_examples"))
+        .groupBy("_tw_id")
+        .agg(F.collect_set("hash").alias("_tw_examples"))
     )
     live = F.array_sort(
         F.filter(
-            F.concat("_base", "_added"),
-            lambda s: ~F.array_contains(F.coalesce("_examples", F.array().cast("array<string>")), s["hash"]),
+            F.concat("_tw_base", "_tw_added"),
+            lambda s: ~F.array_contains(F.coalesce("_tw_examples", F.array().cast("array<string>")), s["hash"]),
         )
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cut(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("_body"), acc["at"] + 1, s["start"] - acc["at"])
+        before = F.substring(F.col("_tw_body"), acc["at"] + 1, s["start"] - acc["at"])
         fresh = F.concat(acc["parts"], F.array(before, F.lit(mark)))
         return F.struct(
             F.greatest(acc["at"], s["stop"]).alias("at"),
@@ -224,15 +224,15 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", **limits: int) -> Da
         )
 
     def rest(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("_body"), acc["at"] + 1, F.length("_body")))
+        return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("_tw_body"), acc["at"] + 1, F.length("_tw_body")))
 
     suspects = (
         marked.where(some)
-        .join(per_id, marked["doc_id"].eqNullSafe(F.col("_id")), "left")
-        .withColumn("_live", live)
-        .withColumn("text", F.when(F.size("_live") > 0, F.aggregate("_live", start, cut, rest)).otherwise(F.col("text")))
+        .join(per_id, marked["doc_id"].eqNullSafe(F.col("_tw_id")), "left")
+        .withColumn("_tw_live", live)
+        .withColumn("text", F.when(F.size("_tw_live") > 0, F.aggregate("_tw_live", start, cut, rest)).otherwise(F.col("text")))
     )
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        suspects = suspects.withColumn("n_chars", F.when(F.size("_live") > 0, length).otherwise(F.col("n_chars")))
+        suspects = suspects.withColumn("n_chars", F.when(F.size("_tw_live") > 0, length).otherwise(F.col("n_chars")))
     return suspects.select(*docs.columns).unionByName(marked.where(~some).select(*docs.columns))
