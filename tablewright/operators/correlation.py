@@ -1,18 +1,19 @@
 """Pearson correlation over pairs of columns, pairwise complete.
 
-Two passes: means and null counts per column, then sums of products of centred values.
-Centring first keeps plain sums accurate, and plain sums are cheap to combine. Pairs
-of columns without NULLs share their squares; only a pair with NULLs needs its own.
+Two passes: a mean per column, then one fold over all pairs together. Of each batch, with
+``X`` the centred values (0 where missing) and ``M`` whether they are there, the products
+``M'M``, ``X'M``, ``(X^2)'M`` and ``X'X`` hold every pair's count and sums, whatever is
+missing. Tasks add up their own; what they send grows with the pairs, not with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
@@ -24,9 +25,8 @@ from tablewright.functions.columns import (
     tidy,
 )
 
-#: aggregates of one query; wider tables take several
-PAIRS_PER_PASS = 400
-WIDE_TABLE = 40
+#: a column whose variance within a pair is this small beside its square is constant there
+CONSTANT = 1e-13
 
 
 @dataclass
@@ -35,9 +35,7 @@ class PairResult:
     correlation: float | None
 
 
-def pair_correlations(
-    values: DataFrame, pairs: Iterable[tuple[str, str]], pairs_per_pass: int = PAIRS_PER_PASS
-) -> dict[tuple[str, str], PairResult]:
+def pair_correlations(values: DataFrame, pairs: Iterable[tuple[str, str]]) -> dict[tuple[str, str], PairResult]:
     """Correlation and number of complete rows for pairs of double columns.
 
     Infinite values make a pair's correlation undefined. Undefined is None, as is a
@@ -48,85 +46,71 @@ def pair_correlations(
     if not names:
         return {}
     index = {n: i for i, n in enumerate(names)}
+    inf = float("inf")
     facts = []
     for i, n in enumerate(names):
-        x = col(n)
-        facts += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-            F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-        ]
-    seen = values.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
-    rows = seen["rows"]
-    inf = float("inf")
-
-    def complete(n: str) -> bool:
-        return seen[f"n{index[n]}"] == rows
-
-    def varies(n: str) -> bool:
-        i = index[n]
-        low, high = seen[f"lo{i}"], seen[f"hi{i}"]
-        return low is not None and low < high
-
-    def unbounded(n: str) -> bool:
-        i = index[n]
-        return seen[f"lo{i}"] == -inf or seen[f"hi{i}"] == inf
-
-    def centred(n: str) -> Column:
-        x = F.when(F.abs(col(n)) < inf, col(n)) if unbounded(n) else col(n)
-        mean = seen[f"m{index[n]}"]
-        return x - F.lit(0.0 if mean is None or mean != mean or abs(mean) == inf else mean)
-
-    out: dict[tuple[str, str], PairResult] = {}
-    for start in range(0, len(pairs), pairs_per_pass):
-        chunk = pairs[start : start + pairs_per_pass]
-        wanted: dict[str, Column] = {}
-        for a, b in chunk:
-            i, j = index[a], index[b]
-            x, y = centred(a), centred(b)
-            if complete(a) and complete(b) and not unbounded(a) and not unbounded(b):
-                if varies(a) and varies(b):
-                    wanted[f"xy_{i}_{j}"] = F.sum(x * y)
-                    wanted[f"xx_{i}"] = F.sum(x * x)
-                    wanted[f"xx_{j}"] = F.sum(y * y)
-                continue
-            both = col(a).isNotNull() & col(b).isNotNull()
-            wanted[f"n_{i}_{j}"] = F.count_if(both)
-            if unbounded(a) or unbounded(b):
-                wanted[f"inf_{i}_{j}"] = F.count_if(both & ((F.abs(col(a)) == inf) | (F.abs(col(b)) == inf)))
-            x, y = F.when(both, x), F.when(both, y)
-            wanted[f"p_{i}_{j}"] = F.sum(x * y)
-            for side, v in (("x", x), ("y", y)):
-                wanted[f"{side}_{i}_{j}"] = F.sum(v)
-                wanted[f"{side}{side}_{i}_{j}"] = F.sum(v * v)
-                wanted[f"{side}lo_{i}_{j}"] = F.min(v)
-                wanted[f"{side}hi_{i}_{j}"] = F.max(v)
-        sums = (
-            values.agg(*[e.alias(k) for k, e in wanted.items()]).first().asDict() if wanted else {}
-        )
-        for a, b in chunk:
-            out[(a, b)] = _resolve(index[a], index[b], sums, rows)
+        bounded = F.when(F.abs(col(n)) < inf, col(n))
+        facts += [F.avg(bounded).alias(f"m{i}"), F.min(bounded).alias(f"lo{i}"), F.max(bounded).alias(f"hi{i}")]
+    seen = values.agg(*facts).first()
+    means = np.array([seen[f"m{i}"] or 0.0 for i in range(len(names))])
+    # whole columns of one value are known exactly
+    constant = [seen[f"lo{i}"] is None or seen[f"lo{i}"] == seen[f"hi{i}"] for i in range(len(names))]
+    wanted = np.unique([sorted((index[a], index[b])) for a, b in pairs], axis=0)
+    folded = values.select(*[col(n).alias(f"v{i}") for i, n in enumerate(names)]).mapInPandas(
+        _fold(means, wanted), "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)
+    )
+    sums = {(r["i"], r["j"]): r for r in folded.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()}
+    out = {}
+    for a, b in pairs:
+        i, j = index[a], index[b]
+        row = sums.get((min(i, j), max(i, j)))
+        out[(a, b)] = PairResult(0, None) if row is None else PairResult(int(row["n"]), None if constant[i] or constant[j] else _resolve(row))
     return out
 
 
-def _resolve(i: int, j: int, sums: dict, rows: int) -> PairResult:
-    if f"xy_{i}_{j}" in sums:
-        return PairResult(rows, _ratio(sums[f"xy_{i}_{j}"], sums[f"xx_{i}"], sums[f"xx_{j}"]))
-    if f"n_{i}_{j}" not in sums:
-        return PairResult(rows, None)
-    n = sums[f"n_{i}_{j}"]
-    if n == 0 or sums.get(f"inf_{i}_{j}"):
-        return PairResult(n, None)
-    if any(sums[f"{s}lo_{i}_{j}"] == sums[f"{s}hi_{i}_{j}"] for s in "xy"):
-        return PairResult(n, None)
-    sx, sy = sums[f"x_{i}_{j}"], sums[f"y_{i}_{j}"]
-    return PairResult(
-        n,
-        _ratio(
-            sums[f"p_{i}_{j}"] - sx * sy / n,
-            sums[f"xx_{i}_{j}"] - sx * sx / n,
-            sums[f"yy_{i}_{j}"] - sy * sy / n,
-        ),
-    )
+SUMS = ["n", "unbounded", "x", "y", "xx", "yy", "xy"]
+
+
+def _fold(means: np.ndarray, wanted: np.ndarray):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = len(means)
+        total = {c: np.zeros((width, width)) for c in ("n", "unbounded", "x", "xx", "xy")}
+        some = False
+        for batch in batches:
+            some |= len(batch) > 0
+            raw = batch.to_numpy(dtype="f8", na_value=np.nan)
+            there = ~np.isnan(raw)
+            endless = np.isinf(raw)
+            x = np.where(there & ~endless, raw - means, 0.0)
+            m = there.astype("f8")
+            total["n"] += m.T @ m
+            if endless.any():
+                e = endless.astype("f8")
+                total["unbounded"] += e.T @ m + m.T @ e
+            total["x"] += x.T @ m
+            total["xx"] += (x * x).T @ m
+            total["xy"] += x.T @ x
+        if some:
+            i, j = wanted[:, 0], wanted[:, 1]
+            yield pd.DataFrame(
+                {
+                    "i": i, "j": j, "n": total["n"][i, j], "unbounded": total["unbounded"][i, j],
+                    "x": total["x"][i, j], "y": total["x"][j, i], "xx": total["xx"][i, j], "yy": total["xx"][j, i],
+                    "xy": total["xy"][i, j],
+                }
+            )
+
+    return fold
+
+
+def _resolve(row) -> float | None:
+    n = row["n"]
+    if n == 0 or row["unbounded"]:
+        return None
+    xx, yy = row["xx"] - row["x"] ** 2 / n, row["yy"] - row["y"] ** 2 / n
+    if xx <= CONSTANT * row["xx"] or yy <= CONSTANT * row["yy"]:
+        return None
+    return _ratio(row["xy"] - row["x"] * row["y"] / n, xx, yy)
 
 
 def _ratio(product: float, square_a: float, square_b: float) -> float | None:
@@ -136,9 +120,7 @@ def _ratio(product: float, square_a: float, square_b: float) -> float | None:
     return max(-1.0, min(1.0, product / bottom))
 
 
-def correlation_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, pairs_per_pass: int = PAIRS_PER_PASS
-) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``x, y, value`` for every ordered pair of numeric columns; undefined is 0.
 
     Fewer than two columns give no rows. Infinite values count as missing.
@@ -151,9 +133,7 @@ def correlation_matrix(
     types = {f.name: f.dataType for f in df.schema.fields}
     values = df.select(*[finite(as_double(c, types[c])).alias(c) for c in names])
     upper = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    known = _wide_correlations(values, names) if len(names) > WIDE_TABLE else {}
-    found = {p: PairResult(0, known[p]) for p in upper if p in known}
-    found.update(pair_correlations(values, [p for p in upper if p not in known], pairs_per_pass))
+    found = pair_correlations(values, upper)
     rows = []
     for a, b in upper:
         result = found[(a, b)]
@@ -164,24 +144,3 @@ def correlation_matrix(
         if a != b:
             rows.append((b, a, value))
     return rows_to_frame(df.sparkSession, rows, schema)
-
-
-def _wide_correlations(values: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
-    """All pairs of the columns without missing values, by one matrix product.
-
-    The number of pairs grows with the square of the width; as one expression each they
-    would take many passes over a wide table.
-    """
-    facts = [e for i, n in enumerate(names) for e in (
-        F.count(col(n)).alias(f"n{i}"), F.min(col(n)).alias(f"lo{i}"), F.max(col(n)).alias(f"hi{i}")
-    )]
-    seen = values.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
-    whole = [n for i, n in enumerate(names) if seen[f"n{i}"] == seen["rows"] and seen[f"lo{i}"] < seen[f"hi{i}"]] if seen["rows"] else []
-    if len(whole) < 2:
-        return {}
-    place = {n: i for i, n in enumerate(whole)}
-    vectors = VectorAssembler(inputCols=[f"v{i}" for i in place.values()], outputCol="v").transform(
-        values.select(*[col(n).alias(f"v{i}") for n, i in place.items()])
-    )
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return {(a, b): float(matrix[i, j]) for a, i in place.items() for b, j in place.items() if i <= j}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -14,8 +16,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: the map is a dense matrix of width times components held by every task
-MAX_WIDTH = 5_000
 
 
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -37,20 +37,20 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         width = self.getOrDefault(self.width)
-        if width > MAX_WIDTH:
-            raise ValueError(f"{width} features are over {MAX_WIDTH}; use fewer categories with this model")
         components, gamma = self.getOrDefault(self.components), self.getOrDefault(self.gamma)
         seed = self.getOrDefault(self.seed)
 
         @F.pandas_udf("array<double>")
-        def mapped(rows: pd.Series) -> pd.Series:
-            draw = np.random.default_rng(seed)
+        def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            draw = np.random.default_rng(seed)  # once per task
             weights = draw.normal(0.0, np.sqrt(2.0 * gamma), (width, components))
             phase = draw.uniform(0.0, 2.0 * np.pi, components)
-            if rows.empty:
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
-            return pd.Series(list(np.sqrt(2.0 / components) * np.cos(x @ weights + phase)))
+            for rows in batches:
+                if rows.empty:
+                    yield pd.Series([], dtype=object)
+                    continue
+                x = np.stack(rows.to_numpy())
+                yield pd.Series(list(np.sqrt(2.0 / components) * np.cos(x @ weights + phase)))
 
         source = vector_to_array(F.col(self.getInputCol()))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(source)))

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, category_text, col, tidy
 
-#: a confusion matrix lists every pair of labels
-MAX_LABELS = 2_000
-
-
 def confusion_counts(
     df: DataFrame, actual: Column | str, predicted: Column | str, keep_missing: bool = False
 ) -> DataFrame:
@@ -73,14 +69,12 @@ def _classification(counts: DataFrame, digits: int | None) -> DataFrame:
 
 
 def confusion_matrix(counts: DataFrame) -> DataFrame:
-    """``actual, predicted, n`` for every pair of labels that occur on either side."""
+    """``actual, predicted, n`` for every pair of labels that occur on either side: labels
+    squared rows, for few labels. The counts themselves hold only the pairs that occur."""
     counts = counts.select(F.col("actual").cast("string").alias("actual"), F.col("predicted").cast("string").alias("predicted"), "n")
-    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct().limit(MAX_LABELS + 1).collect()
-    if len(seen) > MAX_LABELS:
-        raise ValueError(f"over {MAX_LABELS} labels are too many for a matrix; read the confusion counts instead")
-    labels = F.array(*[F.lit(r["label"]) for r in seen]).cast("array<string>")
-    grid = counts.sparkSession.range(1).select(F.explode(labels).alias("actual")).select(
-        "actual", F.explode(labels).alias("predicted")
+    seen = counts.agg(F.collect_set("actual").alias("a"), F.collect_set("predicted").alias("p"))
+    grid = seen.select(F.array_union("a", "p").alias("labels")).select("labels", F.explode("labels").alias("actual")).select(
+        "actual", F.explode("labels").alias("predicted")
     )
     return grid.join(counts, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")

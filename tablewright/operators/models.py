@@ -41,8 +41,6 @@ SEED = 42
 TREES = 120
 FAST_TREES = 40
 DEEPEST = 30  # Spark's limit; a full tree elsewhere
-FULL_DEPTH_ROWS = 100_000
-CUT_DRAWS = 4
 CUTS_PER_COLUMN = 31
 
 ALGORITHMS = {
@@ -67,12 +65,16 @@ def check_algorithm(task_type: str, algorithm: str) -> str:
 
 @dataclass
 class Settings:
-    """What the full and the light variants of a family differ in."""
+    """What the full and the light variants of a family differ in; the same at every size of
+    the data. Trees live on the driver, so very large data may call for a smaller depth."""
 
     trees: int = TREES
     depth: int = DEEPEST
     forest_depth: int = DEEPEST
     iterations: int = 1000
+    cut_draws: int = 4  # forests of extra trees, each over its own cuts
+    components: int = 256  # of a kernel machine
+    kernel_iterations: int = 30
 
 
 FULL = Settings()
@@ -98,7 +100,7 @@ def fit_model(
     if name in ("logistic_regression", "linear_regression", "ridge", "lasso"):
         return Fitted([_linear(name, train, common, settings)])
     if name == "svm":
-        return Fitted(_kernel_machine(task_type, train, common, classes))
+        return Fitted(_kernel_machine(task_type, train, common, classes, settings))
     if name == "extra_trees":
         return _random_cut_forest(task_type, train, features, settings)
     growth = _growth()
@@ -122,12 +124,6 @@ def _growth() -> dict:
     return {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
-def depth_for(rows: int, depth: int) -> int:
-    """Trees live on the driver and in the saved model, so on large data their depth is
-    bounded: full depth up to 100,000 rows, 2^16 leaves a tree beyond."""
-    return depth if rows <= FULL_DEPTH_ROWS else min(depth, 16)
-
-
 def _importances(model: Model) -> list[float]:
     return [float(v) for v in model.featureImportances.toArray()]
 
@@ -153,11 +149,11 @@ def _linear(name: str, train: DataFrame, common: dict, settings: Settings) -> Mo
     ).fit(train)
 
 
-def _kernel_machine(task_type: str, train: DataFrame, common: dict, classes: int) -> list[Transformer]:
+def _kernel_machine(task_type: str, train: DataFrame, common: dict, classes: int, settings: Settings) -> list[Transformer]:
     """RBF machine as a linear one over random Fourier features."""
     gamma, width = kernel_width(train, FEATURES)
     mapped = RandomFourierFeatures(
-        inputCol=FEATURES, outputCol="_fourier", gamma=gamma, width=width, components=256, seed=SEED
+        inputCol=FEATURES, outputCol="_fourier", gamma=gamma, width=width, components=settings.components, seed=SEED
     )
     lifted = mapped.transform(train).select("_fourier", LABEL).persist()
     try:
@@ -165,7 +161,7 @@ def _kernel_machine(task_type: str, train: DataFrame, common: dict, classes: int
         if task_type == "classification":
             # the default margin column: a reloaded one-vs-rest model looks for no other
             linear = LinearSVC(
-                regParam=1.0 / max(lifted.count(), 1), maxIter=30, standardization=False, **common
+                regParam=1.0 / max(lifted.count(), 1), maxIter=settings.kernel_iterations, standardization=False, **common
             )
             model = linear.fit(lifted) if classes == 2 else OneVsRest(classifier=linear, **common).fit(lifted)
         else:
@@ -205,7 +201,7 @@ def _random_cut_forest(task_type: str, train: DataFrame, features: FeatureMap, s
     """Trees that split at random cut points: several forests without row sampling, each
     over its own draw of cuts per numeric column, averaged."""
     stages: list[Transformer] = []
-    groups = min(CUT_DRAWS, settings.trees)
+    groups = min(settings.cut_draws, settings.trees)
     frame = train
     totals = np.zeros(len(features.names))
     for g in range(groups):

@@ -37,7 +37,6 @@ HIGH_CARDINALITY = 0.95
 
 #: class labels and one-hot categories are held by the driver and by the model, so
 #: their number is checked and refused above these
-MAX_CLASSES = 10_000
 MAX_CATEGORIES = 100_000
 
 LABEL = "_label"
@@ -94,14 +93,13 @@ def prepare(
     types = {f.name: f.dataType for f in df.schema.fields}
     classes = None
     if task == "classification":
-        if goal["distinct"] > MAX_CLASSES:
-            raise ValueError(f"target has {goal['distinct']} classes, over {MAX_CLASSES}")
         text = category_text(target, types[target])
         classes = sorted(r[0] for r in labelled.select(text.alias("c")).distinct().collect())
         if len(classes) < 2:
             raise ValueError("classification needs at least 2 target classes")
-        place = F.array_position(F.array(*map(F.lit, classes)), text)
-        encoded = labelled.withColumn(LABEL, (place - 1).cast("double"))
+        # the label carries its classes, also those that a part of the rows lacks
+        place = StringIndexerModel.from_labels(classes, inputCol="_label_text", outputCol=LABEL, handleInvalid="error")
+        encoded = place.transform(labelled.withColumn("_label_text", text)).drop("_label_text")
     else:
         encoded = labelled.withColumn(LABEL, as_double(target, types[target])).filter(F.col(LABEL).isNotNull())
         if kind_of(types[target]) != NUMERIC:

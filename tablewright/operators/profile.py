@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
@@ -28,9 +28,6 @@ PROFILE_SCHEMA = (
     "missing bigint, distinct bigint, avg_length double"
 )
 
-#: above this many rows, distinct counts that only feed a rule come from sketches
-EXACT_DISTINCT_ROWS = 50_000_000
-
 #: HLL with 2^16 registers has a relative standard error of about 0.4 percent
 SKETCH_BITS = 16
 SKETCH_MARGIN = 0.025
@@ -60,7 +57,8 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     """``column, position, distinct``: exact, NULL not counted."""
     df = tidy(df)
     names = flat_columns(df)
-    aggregated = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)])
+    types = dict(df.dtypes)
+    aggregated = df.agg(*[F.count_distinct(_identity(c, types[c])).alias(f"d{i}") for i, c in enumerate(names)])
     places = {c: i for i, c in enumerate(df.columns)}
     return unfold(
         aggregated,
@@ -75,6 +73,13 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def _identity(name: str, dtype: str):
+    """What stands for a value among distinct ones: long texts by a digest, as whole texts
+    would be shuffled otherwise."""
+    value = col(name)
+    return F.when(F.length(value) > 32, F.md5(value)).otherwise(value) if dtype == "string" else value
+
+
 def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
     """The facts every rule of the advisor, leakage and schema operators reads.
 
@@ -82,12 +87,12 @@ def column_profile(df: DataFrame, distinct: str = "auto") -> DataFrame:
     shuffles every distinct value once. ``"sketch"`` estimates them in the same pass as
     the null counts (no data shuffle) and recounts exactly the columns whose estimate
     lies near a value a rule compares with, so the rules decide as with exact counts.
-    ``"auto"`` takes the sketch above ``EXACT_DISTINCT_ROWS`` rows.
+    ``"auto"`` counts exactly, at every size.
     """
     if distinct not in ("auto", "exact", "sketch"):
         raise ValueError("distinct must be 'auto', 'exact' or 'sketch'")
     df = tidy(df)
-    if distinct == "sketch" or (distinct == "auto" and df.count() > EXACT_DISTINCT_ROWS):
+    if distinct == "sketch":
         return _sketched_profile(df)
     # kept apart from the distinct counts: one aggregate over both would send every
     # value through the rows that the distinct counts multiply
@@ -218,22 +223,14 @@ def column_classes(
 
 
 def _first_lengths(df: DataFrame, strings: list[str], order_by: list[str]) -> DataFrame:
-    # a top-30 per column, each of which Spark takes with a bounded heap per task
-    parts = []
-    keys = [F.asc(col(k)) for k in order_by]
-    for name in strings:
-        head = (
-            df.filter(col(name).isNotNull())
-            .orderBy(*keys)
-            .limit(TEXT_SAMPLE)
-            .agg(F.avg(F.length(col(name))).alias("first_length"))
-            .select(F.lit(name).alias("column"), "first_length")
-        )
-        parts.append(head)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # one scan for all columns; Spark cuts each task's rows to 30 per column before the shuffle
+    keys = [col(k).alias(f"_key{i}") for i, k in enumerate(order_by)]
+    each = df.select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.length(col(n)).alias("n")) for n in strings])).alias("s")
+    ).select(*[f"_key{i}" for i in range(len(keys))], "s.column", "s.n").where("n IS NOT NULL")
+    order = Window.partitionBy("column").orderBy(*[F.asc(f"_key{i}") for i in range(len(keys))])
+    first = each.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= TEXT_SAMPLE)
+    return first.groupBy("column").agg(F.avg("n").alias("first_length"))
 
 
 # Date forms tried on text columns, most specific first.

@@ -133,10 +133,17 @@ def quantiles_and_more(
         lower, upper = picked
         share = t.position - math.floor(t.position)
         place = list(probabilities).index(t.probability)
-        found[columns[int(t.name[1:])]][place] = lower + (upper - lower) * share if upper != lower else lower
+        found[columns[int(t.name[1:])]][place] = _between(lower, upper, share)
     return found, seen
 
 
+def _between(lower: float, upper: float, share: float) -> float:
+    """Linear interpolation; a side without weight does not count, even if infinite."""
+    if upper == lower or share == 0:
+        return lower
+    return lower * (1 - share) + upper * share if abs(lower) == math.inf or abs(upper) == math.inf else lower + (upper - lower) * share
+
+
 def _count(values: DataFrame, targets: list[_Target]) -> None:
     aggregates = []
     for j, t in enumerate(targets):

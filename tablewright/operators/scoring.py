@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, kind_of, tidy
-from tablewright.operators.metrics import evaluate_predictions
+from tablewright.functions.columns import category_text, col, kind_of, tidy
+from tablewright.operators.metrics import confusion_counts, evaluate_predictions
 from tablewright.operators.models import PREDICTION
 from tablewright.operators.split import ROW_ID, with_row_id
 from tablewright.operators.training import DECODED, TrainedModel, predict_neighbours
@@ -37,7 +38,8 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
     guesses = predict_neighbours(model.known, queries, model.task_type)
     guess = F.col("prediction")
     if model.classes:
-        guess = F.get(F.array(*map(F.lit, model.classes)), guess.cast("int"))
+        guesses = IndexToString(inputCol="prediction", outputCol="_named", labels=model.classes).transform(guesses)
+        guess = F.col("_named")
     return (
         numbered.join(guesses.withColumnRenamed("query_id", ROW_ID), ROW_ID, "left")
         .select(*columns, guess.alias(model.prediction_column))
@@ -51,6 +53,16 @@ def external_metrics(model: TrainedModel, scored: DataFrame) -> DataFrame | None
     return evaluate_predictions(scored, model.target, model.prediction_column, model.task_type)
 
 
+def external_confusion(model: TrainedModel, scored: DataFrame) -> DataFrame | None:
+    """``actual, predicted, n`` of a classification whose table holds the actual target too,
+    compared as text as in the metrics; else None."""
+    if model.target not in scored.columns or model.task_type != "classification":
+        return None
+    df = tidy(scored)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return confusion_counts(df, *[category_text(c, types[c]) for c in (model.target, model.prediction_column)])
+
+
 def preview(scored: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """First n rows in key order as text; missing and infinite values are empty."""
     types = {f.name: f.dataType for f in scored.schema.fields}

@@ -113,6 +113,20 @@ def _constant(value):
 MISSING_CATEGORY = "nan"
 
 
+def _category_columns(df: DataFrame) -> list[str]:
+    """The columns of labels, without those that hold texts: whole texts are no categories."""
+    from tablewright.operators.profile import TEXT_LENGTH, column_classes
+
+    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    lengths = df.agg(*[F.avg(F.length(col(c))).alias(f"l{i}") for i, c in enumerate(strings)]).first() if strings else []
+    long = [c for c, n in zip(strings, lengths) if n is not None and n > TEXT_LENGTH]
+    texts = set()
+    if long:  # only these can be texts, so only they are counted
+        classes = column_classes(df.select(*map(col, long)))
+        texts = {r["column"] for r in classes.where("column_class = 'text'").collect()}
+    return [c for c in label_columns(df) if c not in texts]
+
+
 def _grouped(df: DataFrame, names: list[str], keep_missing: bool) -> DataFrame:
     """``position, category, n, present``: every category of every column, counted.
 
@@ -152,7 +166,7 @@ def category_counts(
     """``column, position, rank, category, count, share``: the k most frequent
     categories per column, ties by category. ``share`` is of all counted rows."""
     df = tidy(df)
-    names = list(columns) if columns is not None else label_columns(df)
+    names = list(columns) if columns is not None else _category_columns(df)
     counted = _grouped(df, names, keep_missing)
     totals = counted.groupBy("position").agg(F.sum("n").alias("total"))
     return (
@@ -182,7 +196,7 @@ def categorical_summary(
     left out, and so are columns that hold nothing else.
     """
     df = tidy(df)
-    names = list(columns) if columns is not None else label_columns(df)
+    names = list(columns) if columns is not None else _category_columns(df)
     counted = _grouped(df, names, True)
     totals = counted.groupBy("position").agg(
         F.count_if(F.col("present") > 0).alias("distinct"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
@@ -18,7 +18,6 @@ from tablewright.functions.layout import spread, working_copy
 from tablewright.operators.metrics import (
     classification_metrics,
     confusion_counts,
-    confusion_matrix,
     regression_metrics,
 )
 from tablewright.operators.models import (
@@ -28,7 +27,6 @@ from tablewright.operators.models import (
     PREDICTION,
     Settings,
     check_algorithm,
-    depth_for,
     feature_pipeline,
     fit_model,
     importance_frame,
@@ -46,7 +44,6 @@ from tablewright.session import ensure_checkpoint_dir
 
 SMALL_ROWS = 100
 BASELINE_ROWS = 200
-COMPARE_ROWS = 800
 NEIGHBOURS = 5
 DECODED = "_decoded"
 
@@ -73,6 +70,7 @@ class TrainedModel:
     pipeline: PipelineModel
     known: DataFrame | None = None  # rows of a nearest-neighbour model
     metrics: dict = field(default_factory=dict)
+    settings: Settings = FULL
 
     @property
     def prediction_column(self) -> str:
@@ -83,7 +81,7 @@ class TrainedModel:
             "model_id": self.model_id, "algorithm": self.algorithm, "task_type": self.task_type,
             "target_column": self.target, "features_used": self.features, "numeric_features": self.numeric,
             "categorical_features": self.categorical, "classes": self.classes, "test_size": self.test_size,
-            "fidelity": FIDELITY[self.algorithm], "metrics": self.metrics,
+            "fidelity": FIDELITY[self.algorithm], "metrics": self.metrics, "settings": asdict(self.settings),
         }
 
 
@@ -175,10 +173,6 @@ def train(
             scored = scored.withColumnRenamed("prediction", PREDICTION)
         else:
             ensure_checkpoint_dir(df.sparkSession)
-            settings = replace(
-                settings, depth=depth_for(prepared.rows, settings.depth),
-                forest_depth=depth_for(prepared.rows, settings.forest_depth),
-            )
             shaped = features.model.transform(train_part)
             fitted = fit_model(name, prepared.task_type, shaped, features, classes, settings)
             importances = fitted.importances
@@ -197,7 +191,7 @@ def train(
         model_id=new_model_id(name, prepared.target), algorithm=name, task_type=prepared.task_type,
         target=prepared.target, features=prepared.features, numeric=prepared.numeric,
         categorical=prepared.categorical, classes=prepared.classes, test_size=test_size, pipeline=pipeline,
-        known=known, metrics=row,
+        known=known, metrics=row, settings=settings,
     )
     warnings = ["The data set is small; metrics may be unreliable."] if prepared.rows < SMALL_ROWS else []
     spark = df.sparkSession
@@ -214,16 +208,18 @@ def train(
 
 
 def _measure(scored: DataFrame, prepared: Prepared) -> tuple[DataFrame, DataFrame | None, dict]:
-    """Metrics as a frame detached from the scoring, the confusion matrix, and the values."""
+    """Metrics as a frame detached from the scoring, the confusion counts (of the pairs that
+    occur), and the values."""
     spark = scored.sparkSession
     if prepared.classes:
-        counted = confusion_counts(scored, LABEL, PREDICTION)
-        pairs = [(int(r["actual"]), int(r["predicted"]), r["n"]) for r in counted.collect()]
-        names = prepared.classes
-        counts = spark.createDataFrame(
-            [(names[a], names[p], n) for a, p, n in pairs], "actual string, predicted string, n bigint"
-        )
-        metrics, confusion = classification_metrics(counts), confusion_matrix(counts)
+        ensure_checkpoint_dir(spark)
+        counts = confusion_counts(scored, LABEL, PREDICTION).checkpoint()
+        metrics = classification_metrics(counts)
+        decoded = counts
+        for side in ("actual", "predicted"):
+            decode = IndexToString(inputCol=side, outputCol=f"_{side}", labels=prepared.classes)
+            decoded = decode.transform(decoded)
+        confusion = decoded.select(F.col("_actual").alias("actual"), F.col("_predicted").alias("predicted"), "n")
     else:
         metrics, confusion = regression_metrics(scored, LABEL, PREDICTION), None
     row = metrics.first()
@@ -236,15 +232,15 @@ def compare_models(
     target: str,
     test_size: float = 0.2,
     key: Sequence[str] | None = None,
-    max_rows: int | None = COMPARE_ROWS,
+    max_rows: int | None = None,
     settings: Settings = LIGHT,
     distinct: str = "auto",
 ) -> DataFrame:
     """``rank, algorithm, score, fidelity, error, rows, train_rows, test_rows, metrics``: light
     models on one split, best first, failed ones last.
 
-    The comparison is a quick look, so it takes a sample of ``max_rows`` rows by key
-    hash; None compares on all rows.
+    All rows are compared on. ``max_rows`` bounds the rows that classifiers are fitted on, a
+    sample of the training part by key hash; every test row is scored in any case.
     """
     prepared = prepare(df, target, key, distinct)
     with _fixed_rows(prepared):
@@ -253,13 +249,12 @@ def compare_models(
 
 def _compare(prepared: Prepared, test_size: float, max_rows: int | None, settings: Settings) -> DataFrame:
     spark = prepared.frame.sparkSession
-    if max_rows is not None and prepared.rows > max_rows:
-        prepared.frame = sample_rows(prepared.frame, max_rows, prepared.key)
     train_part, test_part = _split(prepared, test_size)
+    if max_rows is not None and prepared.classes and prepared.rows > max_rows:
+        train_part = sample_rows(train_part, max_rows, prepared.key)
     features = fit_features(train_part, prepared.numeric, prepared.categorical)
     classes = len(prepared.classes) if prepared.classes else 0
     ensure_checkpoint_dir(spark)
-    settings = replace(settings, forest_depth=depth_for(prepared.rows, settings.forest_depth))
     # one shaped copy serves every model
     shaped = features.model.transform(train_part).select(
         LABEL, FEATURES, *features.scaled_columns, *features.encoded_columns

@@ -25,8 +25,8 @@ FALSE_TEXTS = ["False", "FALSE", "false"]
 
 #: holds a row's first field beyond the header
 OVERFLOW = "_beyond_header"
-#: stands for bytes that are not valid in the encoding a file was read with
-REPLACEMENT_CHARACTER = "�"
+#: an encoding in which every byte is a character
+BYTES = "ISO-8859-1"
 
 
 def read_csv(
@@ -38,24 +38,40 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row, missing tokens as NULL, and types found in one pass.
 
-    ``encoding="auto"`` reads UTF-8 and, where that meets undecodable bytes, reads
-    again as Latin-1. Short rows are filled with NULL, rows with more fields than the
-    header are an error. ``multi_line`` allows line breaks inside quotes; it is off by
-    default because such files cannot be split over tasks.
+    ``encoding="auto"`` reads the bytes once and takes them as UTF-8 if every value is
+    valid as such, else as Latin-1. Short rows are filled with NULL, rows with more fields
+    than the header are an error. Line breaks inside quotes are looked for first: a file
+    that has some is read with ``multi_line``, as it cannot be split over tasks.
     """
-    reader = "UTF-8" if encoding == "auto" else encoding
-    raw = _strings(spark, path, reader, multi_line)
+    multi_line = multi_line or _breaks_in_quotes(spark, path)
+    raw = _strings(spark, path, BYTES if encoding == "auto" else encoding, multi_line)
     if not infer_types and encoding != "auto":
         return raw.drop(OVERFLOW)
     facts = _text_facts(raw)
-    if encoding == "auto" and facts["_undecodable"]:
-        raw = _strings(spark, path, "ISO-8859-1", multi_line)
-        facts = _text_facts(raw)
     if facts["_overflowing"]:
         raise ValueError(f"{facts['_overflowing']} rows have more fields than the header")
+    if encoding == "auto" and not facts["_not_utf8"]:
+        # the types were found in plain digits and letters, which decoding does not change
+        places = {c: f"_c{i}" for i, c in enumerate(raw.columns)}
+        raw = raw.toDF(*places.values()).select(
+            *[F.decode(F.encode(F.col(p), BYTES), "UTF-8").alias(_decoded(c)) for c, p in places.items()]
+        )
     return _typed(raw, facts) if infer_types else raw.drop(OVERFLOW)
 
 
+def _decoded(name: str) -> str:
+    try:
+        return name.encode(BYTES).decode("UTF-8").removeprefix("\ufeff").strip()
+    except (UnicodeDecodeError, UnicodeEncodeError):
+        return name
+
+
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a value goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(F.pmod(quotes, F.lit(2)) == 1).isEmpty()
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return tidy(spark.read.parquet(path))
 
@@ -103,10 +119,10 @@ def _text_facts(raw: DataFrame) -> dict:
             F.count_if(is_integer).alias(f"i{i}"),
             F.count_if(text.rlike(NUMBER_PATTERN)).alias(f"f{i}"),
             F.count_if(value.isin(TRUE_TEXTS + FALSE_TEXTS)).alias(f"b{i}"),
-            F.count_if(value.contains(REPLACEMENT_CHARACTER)).alias(f"u{i}"),
+            F.count_if(~F.is_valid_utf8(F.encode(value, BYTES).cast("string"))).alias(f"u{i}"),
         ]
     row = raw.agg(*checks).first().asDict()
-    row["_undecodable"] = sum(row[f"u{i}"] for i in range(len(names)))
+    row["_not_utf8"] = sum(row[f"u{i}"] for i in range(len(names)))
     return row
 
 

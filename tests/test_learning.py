@@ -10,7 +10,7 @@ from tablewright.operators.metrics import (
     evaluate_predictions,
     regression_metrics,
 )
-from tablewright.operators.models import LIGHT, check_algorithm, depth_for, fit_model
+from tablewright.operators.models import LIGHT, check_algorithm, fit_model
 from tablewright.operators.neighbours import average, nearest, vote
 from tablewright.operators.prepare import FEATURES, LABEL, fit_features, fit_numeric, prepare
 from tablewright.operators.scoring import external_metrics, preview, score
@@ -170,7 +170,6 @@ def test_algorithm_names():
     assert check_algorithm("regression", " Ridge ") == "ridge"
     with pytest.raises(ValueError, match="choose from"):
         check_algorithm("classification", "ridge")
-    assert depth_for(1000, 30) == 30 and depth_for(10**9, 30) == 16 and depth_for(10**9, 8) == 8
 
 
 # -- metrics ------------------------------------------------------------------------

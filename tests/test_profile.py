@@ -140,8 +140,6 @@ def test_correlation_matches_pandas(spark):
     for x in frame:
         for y in frame:
             assert math.isclose(found[(x, y)], want.loc[y, x], abs_tol=1e-9), (x, y)
-    chunked = {(r["x"], r["y"]): r["value"] for r in correlation_matrix(df, pairs_per_pass=2).collect()}
-    assert all(math.isclose(found[k], chunked[k], abs_tol=1e-12) for k in found)
 
 
 def test_wide_table_correlation(spark):
@@ -173,3 +171,25 @@ def test_results_do_not_depend_on_partitions(spark):
             sorted(map(str, histogram(frame).collect())),
         )
     assert facts(df.repartition(1)) == facts(df.repartition(13))
+
+
+def test_wide_table_with_gaps(spark):
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame(draw.normal(size=(300, 60)), columns=[f"c{i}" for i in range(60)])
+    frame = frame.mask(draw.random(frame.shape) < 0.1)
+    want = frame.corr()
+    found = correlation_matrix(spark.createDataFrame(frame)).collect()
+    assert len(found) == 3600
+    assert all(math.isclose(r["value"], want.loc[r["x"], r["y"]], abs_tol=1e-9) for r in found)
+
+
+def test_quartiles_with_infinite_ends(spark):
+    df = spark.createDataFrame([(float("-inf"),), (float("-inf"),), (1.0,), (2.0,)], "x double")
+    ways = [numeric_summary(df, quantiles=q).select("q1", "median", "q3").first() for q in ("memory", "ranked")]
+    assert ways[0] == ways[1]
+
+
+def test_texts_are_no_categories(spark):
+    rows = [(f"a long text that nobody would take for a category, number {i}", "ab"[i % 2]) for i in range(20)]
+    found = {r["column"] for r in categorical_summary(spark.createDataFrame(rows, "t string, c string")).collect()}
+    assert found == {"c"}

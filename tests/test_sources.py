@@ -82,3 +82,14 @@ def test_csv_sink_round_trip(spark, tmp_path):
 def test_regression_without_pairs_has_no_row(spark):
     df = spark.createDataFrame([("a", 1.0)], "y string, p double")
     assert evaluate_predictions(df, "y", "p", "regression").count() == 0
+
+
+def test_line_breaks_in_quotes_are_found(spark, tmp_path):
+    path = _csv(tmp_path, 'k,t,n\n1,"two\nlines",5\n2,plain,6\n')
+    assert sorted(read_csv(spark, path).collect()) == [(1, "two\nlines", 5), (2, "plain", 6)]
+
+
+def test_replacement_character_in_utf8(spark, tmp_path):
+    path = _csv(tmp_path, "né,b\ncafé \ufffd,1\n")
+    assert [tuple(r) for r in read_csv(spark, path).collect()] == [("café \ufffd", 1)]
+    assert read_csv(spark, path).columns == ["né", "b"]
