@@ -63,7 +63,7 @@ def check_algorithm(task_type: str, algorithm: str) -> str:
     return name
 
 
-@dataclass
+@dataclass(frozen=True)
 class Settings:
     """What the full and the light variants of a family differ in; the same at every size of
     the data. Trees live on the driver, so very large data may call for a smaller depth."""
