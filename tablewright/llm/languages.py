@@ -38,11 +38,11 @@ SMOOTHING = 0.5
 #: a language is written in the scripts that hold at least this share of its letters
 SCRIPT_SHARE = 0.02
 #: words remembered per task
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: words that are held as texts before they are looked up
-WAITING = 400_000
+WAITING = 200_000
 #: words times languages that step through Viterbi together
-AT_ONCE = 24_000_000
+AT_ONCE = 4_000_000
 
 #: fixed values: first and last code point of scripts' main ranges
 SCRIPTS = [
