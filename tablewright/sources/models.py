@@ -7,6 +7,7 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tablewright.operators.models import Settings
 from tablewright.operators.training import TrainedModel
 
 
@@ -29,4 +30,5 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
         target=about["target_column"], features=about["features_used"], numeric=about["numeric_features"],
         categorical=about["categorical_features"], classes=about["classes"], test_size=about["test_size"],
         pipeline=PipelineModel.load(f"{path}/pipeline"), known=known, metrics=about["metrics"],
+        settings=Settings(**about.get("settings", {})),
     )

@@ -10,7 +10,7 @@ from tablewright.operators.metrics import (
     evaluate_predictions,
     regression_metrics,
 )
-from tablewright.operators.models import LIGHT, check_algorithm, fit_model
+from tablewright.operators.models import LIGHT, Settings, check_algorithm, fit_model
 from tablewright.operators.neighbours import average, nearest, vote
 from tablewright.operators.prepare import FEATURES, LABEL, fit_features, fit_numeric, prepare
 from tablewright.operators.scoring import external_metrics, preview, score
@@ -256,6 +256,15 @@ def test_train_save_load_score(spark, shop, tmp_path, target, algorithm):
         score(back, new.drop("size"))
 
 
+def test_forest_of_many_classes(spark):
+    df = spark.range(3000).selectExpr("id AS k", "id % 150 AS code", "id % 150 + 0.5 AS near", "id % 7 AS other")
+    df = df.withColumn("code", F.concat(F.lit("c"), "code"))
+    few = Settings(trees=5, depth=12, forest_depth=12)
+    result = train(df, "code", "random_forest", key=["k"], settings=few)
+    assert len(result.model.classes) == 150 and result.metrics.first()["accuracy"] > 3 / 150
+    assert result.confusion.agg(F.sum("n")).first()[0] == result.test_rows
+
+
 def test_train_without_key(shop):
     result = train(shop, "spent", "ridge")
     assert (result.train_rows, result.test_rows) == (96, 24)
@@ -264,9 +273,9 @@ def test_train_without_key(shop):
 
 
 def test_compare(shop):
-    board = compare_models(shop, "bought", key=["k"], max_rows=100).orderBy("rank").collect()
+    board = compare_models(shop, "bought", key=["k"], max_rows=50).orderBy("rank").collect()
     assert [r["rank"] for r in board] == [1, 2, 3, 4]
-    assert (board[0]["rows"], board[0]["train_rows"], board[0]["test_rows"]) == (120, 80, 20)
+    assert (board[0]["rows"], board[0]["train_rows"], board[0]["test_rows"]) == (120, 50, 24)
     scores = [r["score"] for r in board]
     assert scores == sorted(scores, reverse=True) and all(r["error"] is None for r in board)
 
