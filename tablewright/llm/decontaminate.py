@@ -46,9 +46,9 @@ CONTAINED, QUESTION = 0.75, 0.5
 K1, B = 1.2, 0.75
 ENTRY_BLOCK, POSTING_BLOCK = 2, 8
 SHARD_WORDS = 4_000_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: half passages times entry blocks that are summed together
-AT_ONCE = 16_000_000
+AT_ONCE = 2_000_000
 
 HIT = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,first_word:int>>"
 
