@@ -44,8 +44,8 @@ EVIDENCE = 4
 PRIOR = 3.0
 PASSES, STEPS, BATCH, RATE = 8, 60, 128, 0.02
 THRESHOLD = 0.7
-AT_ONCE = 8192
-REMEMBERED = 300_000
+AT_ONCE = 4096
+REMEMBERED = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -323,7 +323,7 @@ def score_texts(texts: list[str], words: Words) -> np.ndarray:
     begin = 0
     while begin < len(texts):
         end, held, parts = begin, 0, []
-        while end < len(texts) and (held < 400_000 or end == begin):
+        while end < len(texts) and (held < 200_000 or end == begin):
             parts.append(texts[end].split())
             held += len(parts[-1])
             end += 1
