@@ -169,11 +169,11 @@ def top_groups(df: DataFrame, group: str, value: str, n: int = 10) -> DataFrame:
 
 # Which chart suits which column classes.
 CHART_REASONS = {
-    "bar_chart": "compare a number across categories",
-    "line_chart": "show a number over time",
-    "histogram": "show how a number is distributed",
-    "scatter_plot": "relate two numbers",
-    "correlation_heatmap": "find correlated numbers",
+    "bar_chart": "comparison",
+    "line_chart": "course",
+    "histogram": "distribution",
+    "scatter_plot": "relation",
+    "correlation_heatmap": "correlation",
 }
 
 

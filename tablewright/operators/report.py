@@ -13,13 +13,6 @@ from tablewright.functions.columns import col
 FINDINGS_SHOWN = 15
 PREVIEW_SHOWN = 12
 
-CLOSING_ADVICE = [
-    "Check the leakage findings before trusting high performance.",
-    "Metrics on separate data count for more than those of the split.",
-    "Drop identifier-like columns unless they carry meaning.",
-    "Use the report together with knowledge of the field.",
-]
-
 
 def _pairs(section: str, frame: DataFrame, offset: int = 0) -> DataFrame:
     """Columns of a one-row frame as key and value lines."""
@@ -120,6 +113,4 @@ def report_tables(
         parts.append(_pairs("prediction", external))
     if scored_preview is not None:
         parts.append(_table("prediction", "row", _head(scored_preview, preview_order or scored_preview.columns[:1], PREVIEW_SHOWN), 100))
-    advice = spark.range(1).select(F.posexplode(F.array(*map(F.lit, CLOSING_ADVICE))).alias("position", "statement"))
-    parts.append(_lines("advice", "advice", advice, 0))
     return reduce(DataFrame.unionByName, parts)

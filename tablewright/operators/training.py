@@ -286,6 +286,19 @@ def _compare(prepared: Prepared, test_size: float, max_rows: int | None, setting
     )
 
 
+def comparison_result(board: DataFrame, task_type: str) -> DataFrame:
+    """One row about a leaderboard: ``best`` algorithm, ``ranked_by`` which measure, its
+    ``score``, and ``warnings`` (families that failed, a small table)."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.concat(F.lit("failed="), "algorithm"))))
+    small = F.when(F.max("rows") < SMALL_ROWS, F.array(F.lit(f"rows<{SMALL_ROWS}"))).otherwise(F.array().cast("array<string>"))
+    return board.agg(
+        F.max(F.when((F.col("rank") == 1) & F.col("score").isNotNull(), F.col("algorithm"))).alias("best"),
+        F.lit(RANKING[task_type]).alias("ranked_by"),
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"),
+        F.concat(failed, small).alias("warnings"),
+    )
+
+
 def recommend_model(spark, task_type: str, rows: int, has_numeric: bool, has_categorical: bool) -> DataFrame:
     """One row: ``recommended, reasons``; a plain baseline under 200 rows, a forest above."""
     few = F.col("rows") < BASELINE_ROWS
@@ -294,34 +307,27 @@ def recommend_model(spark, task_type: str, rows: int, has_numeric: bool, has_cat
         F.when(few, baseline).otherwise("random_forest").alias("recommended"),
         F.array_compact(
             F.array(
-                F.when(few, "few rows call for a plain, regularised baseline").otherwise(
-                    "a random forest is robust on tables of this size"
-                ),
-                F.lit("categories are one-hot encoded" if has_categorical else None),
-                F.lit("numbers are filled and standardised" if has_numeric else None),
+                F.concat_ws("", F.lit("rows"), F.when(few, "<").otherwise(">="), F.lit(BASELINE_ROWS)),
+                F.lit("categorical_features" if has_categorical else None),
+                F.lit("numeric_features" if has_numeric else None),
             )
         ).alias("reasons"),
     )
 
 
+# Least measure of each band.
+BANDS = {"classification": ("f1_weighted", 0.85, 0.65), "regression": ("r2_score", 0.8, 0.5)}
+
+
 def explain_model(metrics: DataFrame, task_type: str, algorithm: str) -> DataFrame:
-    """``position, statement`` from a metrics row."""
-    if task_type == "classification":
-        figures = F.format_string("Accuracy %s, weighted F1 %s.", F.col("accuracy").cast("string"), F.col("f1_weighted").cast("string"))
-        verdict = (
-            F.when(F.col("f1_weighted") >= 0.85, "Performance on this split is strong.")
-            .when(F.col("f1_weighted") >= 0.65, "Performance is moderate; more data or tuning may help.")
-            .when(F.col("f1_weighted").isNotNull(), "Performance is weak; check data quality, balance and features.")
-        )
-    else:
-        figures = F.format_string("R2 %s, RMSE %s.", F.col("r2_score").cast("string"), F.col("rmse").cast("string"))
-        verdict = (
-            F.when(F.col("r2_score") >= 0.8, "The model explains much of the variance.")
-            .when(F.col("r2_score") >= 0.5, "The model explains part of the variance.")
-            .when(F.col("r2_score").isNotNull(), "The model explains little on this split.")
-        )
+    """``position, statement`` from a metrics row: algorithm, its two main measures, and the
+    band (strong, moderate, weak) in which the deciding one lies."""
+    measure, strong, moderate = BANDS[task_type]
+    shown = ("accuracy", "f1_weighted") if task_type == "classification" else ("r2_score", "rmse")
+    figures = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in shown])
+    band = F.when(F.col(measure) >= strong, "strong").when(F.col(measure) >= moderate, "moderate").when(F.col(measure).isNotNull(), "weak")
     return metrics.select(
-        F.posexplode(F.array_compact(F.array(F.lit(f"Algorithm: {algorithm}."), figures, verdict))).alias(
+        F.posexplode(F.array_compact(F.array(F.lit(f"algorithm={algorithm}"), figures, F.concat(F.lit("band="), band)))).alias(
             "position", "statement"
         )
     )

@@ -215,11 +215,9 @@ def regression_quality_of_scored(spark, folder):
 
 @query(
     _CLASS_SQL.replace("SELECT sum(s)::BIGINT", ", e AS (SELECT sum(s)::BIGINT")
-    + """ FROM q) SELECT 0::INTEGER AS position, 'Algorithm: length rule.' AS statement FROM e
-UNION ALL SELECT 1, 'Accuracy ' || accuracy || ', weighted F1 ' || f1_weighted || '.' FROM e
-UNION ALL SELECT 2, CASE WHEN f1_weighted >= 0.85 THEN 'Performance on this split is strong.'
-WHEN f1_weighted >= 0.65 THEN 'Performance is moderate; more data or tuning may help.'
-ELSE 'Performance is weak; check data quality, balance and features.' END FROM e"""
+    + """ FROM q) SELECT 0::INTEGER AS position, 'algorithm=length rule' AS statement FROM e
+UNION ALL SELECT 1, 'accuracy=' || accuracy || ' f1_weighted=' || f1_weighted FROM e
+UNION ALL SELECT 2, 'band=' || CASE WHEN f1_weighted >= 0.85 THEN 'strong' WHEN f1_weighted >= 0.65 THEN 'moderate' ELSE 'weak' END FROM e"""
 )
 def metric_explanation(spark, folder):
     return explain_model(class_metrics(spark, folder), "classification", "length rule")

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: a file is hashed as one value, which Spark limits to 2 GiB
-MAX_FILE_BYTES = 2_000_000_000
+#: a file up to this size is one value of Spark's reader, which allows 2 GiB
+ONE_VALUE = 256 << 20
+CHUNK = 8 << 20
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, content_hash``: SHA-256 of every file's bytes, read in parallel."""
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
-    too_large = listed.filter(F.col("length") > MAX_FILE_BYTES).limit(1).collect()
-    if too_large:
-        raise ValueError(f"{too_large[0]['path']} is over {MAX_FILE_BYTES} bytes; write the dataset as more files")
-    return (
-        spark.read.format("binaryFile").load(path)
-        .select("path", "length", F.sha2("content", 256).alias("content_hash"))
-    )
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash of each file, read in chunks by the task that holds its name."""
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            # Spark writes file:/x where the standard has file:///x
+            system, place = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield batch.assign(content_hash=found)
+
+
+def file_hashes(spark: SparkSession, path: str, one_value: int = ONE_VALUE) -> DataFrame:
+    """``path, length, content_hash``: SHA-256 of every file's bytes, files in parallel. Files of
+    over ``one_value`` bytes are read in chunks, so that no task holds one whole."""
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.where(F.col("length") <= one_value).select("path", "length", F.sha2("content", 256).alias("content_hash"))
+    large = listed.where(F.col("length") > one_value).select("path", "length")
+    return small.unionByName(large.mapInPandas(_streamed, "path string, length long, content_hash string"))
 
 
 def dataset_hash(hashes: DataFrame, buckets: int = 4096) -> str:

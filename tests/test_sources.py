@@ -93,3 +93,10 @@ def test_replacement_character_in_utf8(spark, tmp_path):
     path = _csv(tmp_path, "né,b\ncafé \ufffd,1\n")
     assert [tuple(r) for r in read_csv(spark, path).collect()] == [("café \ufffd", 1)]
     assert read_csv(spark, path).columns == ["né", "b"]
+
+
+def test_large_files_are_hashed_in_chunks(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 100)
+    (tmp_path / "b.bin").write_bytes(b"x")
+    ways = [{(r["length"], r["content_hash"]) for r in file_hashes(spark, str(tmp_path), n).collect()} for n in (10, 1 << 20)]
+    assert ways[0] == ways[1] and len(ways[0]) == 2
