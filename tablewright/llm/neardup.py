@@ -373,3 +373,24 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         return stay
     once = among(stay, again, "left_semi", repeated).dropDuplicates(["doc_id", "text"])
     return among(stay, again, "left_anti", repeated).unionByName(once)
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {SHINGLE} + 2), lambda i: array_to_string(words[i:i+{SHINGLE}-1], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS doc, doc_id AS other FROM w UNION SELECT r.doc, e.b FROM reach r JOIN edges e ON e.a = r.other
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(other) AS component_id, w.doc_id = min(other) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON doc = w.doc_id GROUP BY w.doc_id, n.n
+"""

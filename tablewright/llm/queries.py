@@ -76,9 +76,11 @@ def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from tablewright.llm import topk
+    from tablewright.llm import neardup, secrets, topk
 
-    return {"op6_exact_top_k": topk.ORACLE}
+    return {
+        "op5_secret_scans": secrets.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_minhash_near_dedup": neardup.ORACLE,
+    }
 
 
 ORACLES.update(_oracles())

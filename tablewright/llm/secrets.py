@@ -236,3 +236,42 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", **limits: int) -> Da
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         suspects = suspects.withColumn("n_chars", F.when(F.size("_tw_live") > 0, length).otherwise(F.col("n_chars")))
     return suspects.select(*docs.columns).unionByName(marked.where(~some).select(*docs.columns))
+
+
+def _matches_sql(kind: str, pattern: str, group: int = 0) -> str:
+    value = f"regexp_extract(m[i], '{pattern}', {group})" if group else "m[i]"
+    return f"""SELECT r, {KINDS.index(kind)} AS rank, {value} AS val, length(m[i]) AS n,
+      list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start
+    FROM (SELECT r, m, p, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d))"""
+
+
+_SQL_ASSIGN = ASSIGN.replace("'", "''")
+ORACLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT r, rank, val, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop FROM (
+    SELECT * FROM ({_matches_sql("assign", _SQL_ASSIGN, 2)}) WHERE length(val) >= 8
+    UNION ALL {_matches_sql("access", ACCESS)}
+    UNION ALL {_matches_sql("hex", HEX)})
+), mixed AS (
+  SELECT r, rank, val, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop FROM ({_matches_sql("mixed", MIXED)}) x
+  WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.start < x.start + x.n AND x.start < b.stop)
+), found AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+live AS (
+  SELECT val FROM found JOIN d USING (r) GROUP BY val
+  HAVING count(DISTINCT split_part(repo, '/', 1)) <= {MAX_OWNERS} AND count(DISTINCT repo) <= {MAX_REPOSITORIES}
+), named AS (
+  SELECT f.*, l.val IS NOT NULL AS is_live,
+    (['assign', 'access', 'hex', 'mixed'])[rank + 1] || ':' || start || ':' || stop AS label
+  FROM found f LEFT JOIN live l USING (val)
+)
+SELECT d.doc_id,
+  count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(label, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(label, ',' ORDER BY start, rank) FILTER (WHERE rank < 3 OR is_live), '') AS spans,
+  count(*) FILTER (WHERE is_live) AS n_live, count(*) FILTER (WHERE rank < 3 AND NOT is_live) AS n_example
+FROM d LEFT JOIN named n ON d.r = n.r GROUP BY d.r, d.doc_id
+"""
