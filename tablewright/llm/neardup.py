@@ -13,9 +13,10 @@ confirmed on the full sets.
 Texts with equal sets are one node from the start. Of a band's texts not all pairs are
 made. First each is paired with the least of them, in a sorted and split table that needs
 no group in one task; what is confirmed joins components. Only bands that still hold
-several components are looked at again: small ones by their pairs of different components,
-large ones are divided by a second and a third band first. What is left after that is
-compared in full, so no link is lost to a limit.
+several components are looked at again: their texts of different components are compared
+register by register within a task, and only pairs that look similar enough leave it. Bands
+of over ``PAIRWISE`` texts are divided by a second band, and by a third, first; what is left
+after that is compared in full, so no link is lost to a limit.
 
 Defined results: a text without words, or null, is empty: no shingles, linked with nothing;
 fewer than five words are one shingle; rows with equal ids are documents of their own that
@@ -26,6 +27,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +46,10 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 3, BUCKETS // 3
 #: an estimate below this is more than five deviations under the limit
 LEAST_ESTIMATE = 0.35
-#: a band with at most so many texts is looked at pair by pair
-PAIRWISE = 64
+#: the texts of a band, up to so many, are compared with each other within a task
+PAIRWISE = 2048
+#: pairs that are compared together
+COMPARED = 200_000
 DEEPEST = 3
 #: ids up to this many are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
@@ -182,7 +186,11 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 at = np.searchsorted(found, _EDGES)
                 filled[row] = np.diff(at, append=len(found)) > 0
                 least[row] = found[np.minimum(at, len(found) - 1)]
-        yield pd.DataFrame({"n_shingles": sizes, "digest": digests, "bands": list(band_keys(registers(least, filled)))})
+        found = registers(least, filled)
+        brief = found[:, : BANDS * ROWS].astype("u1")  # the last eight bits of the registers
+        yield pd.DataFrame(
+            {"n_shingles": sizes, "digest": digests, "bands": list(band_keys(found)), "brief": [b.tobytes() for b in brief]}
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +208,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: ``doc_id``, ``n_shingles``, ``digest`` of its set, ``bands``."""
-    sketch = F.pandas_udf(_sketch, "n_shingles long, digest binary, bands array<long>")
+    sketch = F.pandas_udf(_sketch, "n_shingles long, digest binary, bands array<long>, brief binary")
     return docs.select(F.col(id).alias("doc_id"), sketch(F.col(text).cast("binary")).alias("s")).select("doc_id", "s.*")
 
 
@@ -276,40 +284,57 @@ class Verifier:
         )
 
 
-def _pairs_of_small(members: DataFrame) -> DataFrame:
-    """Pairs of different components in bands of at most ``PAIRWISE`` (key, node, root, n)."""
-    groups = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "root", "n"))).alias("m"))
-    return (
-        groups.select("m", F.explode("m").alias("x"))
-        .select(
-            "x",
-            F.explode(
-                F.filter(
-                    "m",
-                    lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root"))
-                    & (100 * F.least(y["n"], F.col("x.n")) >= PERCENT * F.greatest(y["n"], F.col("x.n"))),
-                )
-            ).alias("y"),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of (key, node, root, n, brief) in order of key: pairs of one key and different roots
+    that may be similar enough by size and by their brief registers."""
+    left: pd.DataFrame | None = None
+    for batch in itertools.chain(rows, [None]):
+        if batch is not None:
+            left = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            keys = left["key"].to_numpy()
+            if not len(keys) or keys[0] == keys[-1]:
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            ready, left = left.iloc[:cut], left.iloc[cut:]
+        elif left is None or not len(left):
+            return
+        else:
+            ready = left
+        keys, nodes, roots, n = (ready[c].to_numpy() for c in ("key", "node", "root", "n"))
+        brief = np.frombuffer(b"".join(ready["brief"]), "u1").reshape(len(ready), -1)
+        later = np.searchsorted(keys, keys, side="right") - 1 - np.arange(len(keys))
+        ends = np.cumsum(later)
+        begin = 0
+        while begin < len(keys):
+            end = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COMPARED)), begin + 1)
+            many = later[begin:end]
+            i = np.repeat(np.arange(begin, end), many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            fits = (roots[i] != roots[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            same = (brief[i] == brief[j]).mean(1)
+            close = (same - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
+            yield pd.DataFrame({"a": np.minimum(nodes[i], nodes[j])[close], "b": np.maximum(nodes[i], nodes[j])[close]})
+            begin = end
 
 
 def _open_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Pairs to look at in bands that hold several components (key, node, root, n)."""
+    """Pairs to look at in bands that hold several components (key, node, root, n, brief)."""
     found = None
     for depth in range(1, DEEPEST + 1):
         facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         mixed = stored(facts.where("lo != hi").select("key", "size"))
         members = stored(members.join(mixed, "key"))
-        small = _pairs_of_small(members.where((F.col("size") <= PAIRWISE) | F.lit(depth == DEEPEST)).drop("size"))
-        found = small if found is None else found.unionByName(small)
+        last = depth == DEEPEST
+        small = members.where((F.col("size") <= PAIRWISE) | F.lit(last)).drop("size")
+        pairs = small.repartition("key").sortWithinPartitions("key").mapInPandas(_compared, "a long, b long")
+        found = pairs if found is None else found.unionByName(pairs)
         large = members.where(F.col("size") > PAIRWISE)
-        if depth == DEEPEST or large.isEmpty():
+        if last or large.isEmpty():
             return found
         bands = nodes.select("node", F.explode("bands").alias("band"))
         members = stored(
-            large.join(bands, "node").select(F.xxhash64("key", "band").alias("key"), "node", "root", "n").distinct()
+            large.join(bands, "node").select(F.xxhash64("key", "band").alias("key"), "node", "root", "n", "brief")
         )
     return found
 
@@ -321,7 +346,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     nodes = stored(
         drawn.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
@@ -338,11 +363,11 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     roots = components(links)
 
     members = stars.select("key", "node").unionByName(stars.select("key", F.col("center").alias("node"))).distinct()
-    sized = nodes.select("node", F.col("n_shingles").alias("n"))
+    sized = nodes.select("node", F.col("n_shingles").alias("n"), "brief")
     members = stored(
         members.join(sized, "node")
         .join(roots, "node", "left")
-        .select("key", "node", F.coalesce("root", "node").alias("root"), "n")
+        .select("key", "node", F.coalesce("root", "node").alias("root"), "n", "brief")
     )
     more = stored(verifier.links(stored(_open_pairs(members, nodes).distinct())))
     if not more.isEmpty():
@@ -354,7 +379,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     named = stored(grouped.join(least, "root").select(F.col("digest").alias("_digest"), "component_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        drawn.drop("bands")
+        drawn.drop("bands", "brief")
         .join(named, F.col("digest") == F.col("_digest"), "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
