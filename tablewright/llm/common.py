@@ -41,9 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, also where ``use`` reads it in a loop."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
