@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.common import remove_at_end
 from tablewright.llm.decontaminate import drop_contaminated
 from tablewright.llm.languages import keep_languages
 from tablewright.llm.mixing import mix_sources
@@ -60,11 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between them is in the shared folder."""
+    """All stages over the documents; what lies between them is in the shared folder until the
+    application ends."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    remove_at_end(spark, folder)
     return docs
