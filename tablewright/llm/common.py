@@ -37,7 +37,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As :func:`kept`, as Parquet: compressed, columns are read singly, and joins may deal
-    its rows out anew (and split hot keys) as nothing is known of their placing."""
+    its rows out anew (and split hot keys) as nothing is known of their placing. The folder
+    is removed when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
