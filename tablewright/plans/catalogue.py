@@ -185,10 +185,15 @@ def models_by_algorithm_and_stage(spark, folder):
     return list_models(models, _stage_log(spark, folder), algorithm="ridge", stage="archived").select("model_id")
 
 
-@query("SELECT printf('model-%010d', user_id) AS model_id, '1.0.0' AS version, 'development' AS stage FROM events GROUP BY user_id")
+@query(
+    _STAGES
+    + """SELECT printf('model-%010d', user_id) AS model_id, '1.0.0' AS version, 'development' AS stage FROM events
+WHERE printf('model-%010d', user_id) NOT IN (SELECT model_id FROM c WHERE stage = 'production') GROUP BY user_id"""
+)
 def first_stages(spark, folder):
-    none = _stage_log(spark, folder).limit(0)
-    return first_versions(none, _model_log(spark, folder)).drop("at")
+    # the log at hand knows only models that have been in production
+    log = _stage_log(spark, folder).where(F.col("stage") == "production")
+    return first_versions(log, _model_log(spark, folder)).drop("at")
 
 
 @query(
