@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import remainder, text_of
 from tablewright.llm.languages import NOT_LETTERS
 
-FIT_ROWS, FIT_BYTES = 2_000, 32_768
+FIT_ROWS, FIT_BYTES = 1_500, 16_384
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, GRAM_DIM = 8, 6, 6
 WORD_PLACES, GRAM_PLACES = 1 << 16, 1 << 17
