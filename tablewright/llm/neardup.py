@@ -47,7 +47,7 @@ ROWS, BANDS = 3, BUCKETS // 3
 #: an estimate below this is more than five deviations under the limit
 LEAST_ESTIMATE = 0.35
 #: the texts of a band, up to so many, are compared with each other within a task
-PAIRWISE = 2048
+PAIRWISE = 8192
 #: pairs that are compared together
 COMPARED = 200_000
 DEEPEST = 3
@@ -300,17 +300,21 @@ def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return
         else:
             ready = left
+        ready = ready.sort_values(["key", "root"], kind="stable")
         keys, nodes, roots, n = (ready[c].to_numpy() for c in ("key", "node", "root", "n"))
         brief = np.frombuffer(b"".join(ready["brief"]), "u1").reshape(len(ready), -1)
-        later = np.searchsorted(keys, keys, side="right") - 1 - np.arange(len(keys))
+        # a text meets those of its key that come after its own component
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])]))
+        own_end = np.append(starts[1:], len(keys))[np.searchsorted(starts, np.arange(len(keys)), side="right") - 1]
+        later = np.searchsorted(keys, keys, side="right") - own_end
         ends = np.cumsum(later)
         begin = 0
         while begin < len(keys):
             end = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COMPARED)), begin + 1)
             many = later[begin:end]
             i = np.repeat(np.arange(begin, end), many)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            fits = (roots[i] != roots[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            j = own_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
             same = (brief[i] == brief[j]).mean(1)
             close = (same - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
