@@ -3,7 +3,7 @@
 The model is a hierarchy of smoothed n-grams, each interpolated with the next lower one by
 absolute discounting, so that probabilities sum to one:
 
-- a word after one of the ``STATES`` most frequent words, which are the automaton's states;
+- a word (or the end) after the word before it, from the counts of all adjacent training words;
 - a word by itself, from the counts of all training tokens, what is taken off all of them
   being the probability of the unknown word;
 - how an unknown word is spelled, byte by byte, each after up to three others: an automaton
@@ -15,10 +15,12 @@ leads to the next shorter history. A text is read once from left to right; the s
 carried along and the log-probabilities are added up, the end of the text being a token.
 
 Every count is one of the whole training corpus, taken by Spark. What a task holds is
-bounded: arcs between states are at most ``STATES`` squared, ``FREQUENT`` words have their
-log-probabilities at hand, and the byte automaton keeps its ``SPELLINGS`` most frequent
-n-grams (rarer ones back off). All other words of a text are looked up by a join with the
-table of all words, so that no word is cut off.
+bounded: arcs between the ``STATES`` most frequent words are at most ``STATES`` squared,
+``FREQUENT`` words have their log-probabilities and backoff weights at hand, and the byte
+automaton keeps its ``SPELLINGS`` most frequent n-grams (rarer ones back off). All other words
+and arcs are rows of tables that grow with the corpus, and those of a text are looked up by
+joins, so that no word and no pair is cut off. An arc's row holds what taking it adds to the
+failure arc's log-probability. Words that are not frequent are named in arcs by 63 bits of hash.
 
 Defined results: a null text is empty and has the end token alone; texts are scored whole;
 rows with equal ids are scored each for itself; a null id is neither held out nor learned
@@ -39,18 +41,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import remainder, stored, text_of
+from tablewright.llm.neardup import AT_ONCE, _long_hashes, _mixed, _word_hashes
 
 STATES, FREQUENT, SPELLINGS = 1024, 200_000, 300_000
 DISCOUNT = 0.75
 LONGEST = 4
 #: distinct words counted in a task before they are handed on
 COUNTED = 1_000_000
+#: pairs of words counted in a task before they are handed on
+PAIRED = 2_000_000
+#: places of frequent words have fewer bits
+PLACE_BITS = 20
 #: bins to a factor of two by which the threshold of frequent words is found
 BINS = 64
 #: a byte string is spelled between these; white space is in no word
 EDGE = b" "
 
 
+def word_codes(raw: bytes) -> np.ndarray:
+    """A negative integer for each word of a lower-cased text, by hash."""
+    found = _long_hashes(raw) if len(raw) > AT_ONCE else _word_hashes(raw)[0]
+    return (found | np.uint64(1 << 63)).view("i8")
+
+
+def arc_keys(history: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """One integer for a pair of words, each a place or a code."""
+    near = (history << PLACE_BITS) | follows
+    mixed = _mixed(history.view("u8") * np.uint64(0x9E3779B97F4A7C15) ^ follows.view("u8")) | np.uint64(1 << 63)
+    return np.where((history >= 0) & (follows >= 0), near, mixed.view("i8"))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): occurrences in training texts; words of other texts with 0."""
     seen: Counter[bytes] = Counter()
@@ -162,14 +182,19 @@ class Model:
         self.single = np.array([self.chance(n) for _, n in words] + [self.chance(self.ends)])
         self.bases = np.array([self.base(n) for _, n in words] + [self.base(self.ends)])
 
-    def with_arcs(self, pairs: np.ndarray, n: np.ndarray) -> None:
+    def with_arcs(self, pairs: np.ndarray, n: np.ndarray, kinds: np.ndarray | None = None) -> None:
         """Arcs between states: ``pairs`` are history times (states + 1) plus what follows, the
-        end of the text following as the last."""
+        end of the text following as the last. ``kinds``: how many different words follow each
+        frequent word; without it the arcs given are taken for all there are."""
         size = self.states + 1
         history, follows = pairs // size, pairs % size
         share = (n - DISCOUNT) / self.counts[history]
-        left = 1 - np.bincount(history, share, self.states)
+        if kinds is None:
+            left = np.append(1 - np.bincount(history, share, self.states), np.ones(len(self.place) - self.states))
+        else:
+            left = DISCOUNT * kinds / self.counts[:-1]
         left = np.maximum(left, 1e-12)
+        self.followers = kinds
         self.failure = np.append(np.log10(left), 0.0)
         single = np.append(self.single[: self.states], self.single[-1])
         table = np.full(self.states * size, np.nan)
@@ -181,58 +206,118 @@ class Model:
         get = self.place.get
         return np.array([*[get(w, -1) for w in words], len(self.single) - 1], "i4")
 
+    def between_states(self, history: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Whether the model itself holds the arc, if there is one."""
+        state = (follows < self.states) | (follows == len(self.place))
+        return (history >= 0) & (history < self.states) & (follows >= 0) & state
+
     def traverse(self, ids: np.ndarray) -> float:
-        """Of the text's frequent words and end, along arcs where there are some; a word that is
-        not frequent only pays the failure arc of the state before it."""
+        """Of the text's frequent words and end, along arcs between states where there are some;
+        other words pay the failure arc of a frequent word before them, and a word that is not
+        frequent only that. What other arcs and words add is in their tables."""
         last = len(self.single) - 1
         state = np.where((ids[:-1] >= 0) & (ids[:-1] < self.states), ids[:-1], self.states)
         state = np.concatenate([[self.states], state])
         follows = np.where(ids == last, self.states, np.where((ids >= 0) & (ids < self.states), ids, -1))
         arc = np.where(follows >= 0, self.arcs[state, follows], np.nan)
-        alone = self.failure[state] + np.where(ids >= 0, self.single[ids], 0.0)
+        before = np.concatenate([[last], np.where(ids[:-1] >= 0, ids[:-1], last)])
+        alone = self.failure[before] + np.where(ids >= 0, self.single[ids], 0.0)
         return float(np.where(np.isnan(arc), alone, arc).sum())
 
 
-def _count_pairs(shared):
+def _counted(history: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs and how often each occurs."""
+    order = np.lexsort((follows, history))
+    history, follows = history[order], follows[order]
+    new = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (follows[1:] != follows[:-1])]))
+    return history[new], follows[new], np.diff(new, append=len(history))
+
+
+def _pairs(raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and what follows them, the end as well, of a lower-cased text: places of
+    frequent words, codes of others."""
+    names = ids.astype("i8")
+    if (ids < 0).any():
+        names[:-1] = np.where(ids[:-1] >= 0, ids[:-1], word_codes(raw))
+    return names[:-1], names[1:]
+
+
+def _count_arcs(shared):
+    """(history, follows, n) of all adjacent words of training texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        size = model.states + 1
-        counts = np.zeros(model.states * size, "i8")
-        last = len(model.single) - 1
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            found = _counted(*(np.concatenate(x) for x in zip(*waiting)))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["history", "follows", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                ids = model.ids(text.as_py().lower().split())
-                ids = np.where(ids == last, model.states, np.where(ids < model.states, ids, -1))
-                pairs = ids[:-1].astype("i8") * size + ids[1:]
-                ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                found, n = np.unique(pairs[ok], return_counts=True)
-                counts[found] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["pair", "n"])
+                raw = text.as_py().lower()
+                ids = model.ids(raw.split())
+                if len(ids) > 1:
+                    waiting.append(_pairs(raw, ids))
+                    size += len(ids) - 1
+                if size >= PAIRED:
+                    yield flush()
+                    size = 0
+        if waiting:
+            yield flush()
 
     return count
 
 
+def _arc_table(shared, arcs: DataFrame, kinds: DataFrame, chances: DataFrame) -> DataFrame:
+    """(key, more): what the arcs that are not between states add to the log-probability of
+    their failure arcs. ``kinds`` (history, kinds) and ``chances`` (follows, chance) are of
+    words that are not frequent."""
+
+    @F.pandas_udf("double")
+    def kinds_at(place: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.followers[place.to_numpy("i8")].astype("f8"))
+
+    @F.pandas_udf("double")
+    def chance_at(place: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.single[place.to_numpy("i8")])
+
+    @F.pandas_udf("long")
+    def key(history: pd.Series, follows: pd.Series) -> pd.Series:
+        return pd.Series(arc_keys(history.to_numpy("i8"), follows.to_numpy("i8")))
+
+    columns = ["history", "follows", "n", "kinds"]
+    each = arcs.where("history >= 0").withColumn("kinds", kinds_at("history")).select(columns)
+    each = each.unionByName(arcs.where("history < 0").join(kinds, "history").select(columns))
+    near = each.where("follows >= 0").withColumn("chance", chance_at("follows")).select(*columns, "chance")
+    each = near.unionByName(each.where("follows < 0").join(chances, "follows").select(*columns, "chance"))
+    more = F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("kinds") * F.pow(F.lit(10.0), F.col("chance"))))
+    return each.select(key("history", "follows").alias("key"), more.alias("more"))
+
+
 def _words_table(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words, counts, kinds = (batch.column(k).to_pylist() for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([n > 0 for n in counts]),
                     pa.array([model.base(n) for n in counts], pa.float64()),
                     pa.array([model.chance(n) for n in counts], pa.float64()),
+                    pa.array([math.log10(DISCOUNT * k / n) if n else 0.0 for n, k in zip(counts, kinds)], pa.float64()),
                     pa.array([0.0 if n else model.spelling.score(w) for w, n in zip(words, counts)], pa.float64()),
                 ],
-                ["word", "known", "base", "chance", "spelling"],
+                ["word", "known", "base", "chance", "failure", "spelling"],
             )
 
     return score
 
 
-PARTIAL = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
+PARTIAL = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, arcs array<long>, taken array<int>"
 
 
 def _traversal(shared):
@@ -242,13 +327,17 @@ def _traversal(shared):
         for texts in batches:
             out = []
             for text in texts:
-                words = text.lower().split()
+                raw = text.lower()
+                words = raw.split()
                 ids = model.ids(words)
+                history, follows = _pairs(raw, ids)
+                far = ~model.between_states(history, follows)
+                arcs, taken = np.unique(arc_keys(history[far], follows[far]), return_counts=True)
                 mine = ids >= 0
                 rare = Counter([w for w, ok in zip(words, mine) if not ok]) if not mine.all() else {}
                 known = int((model.counts[ids[mine]] > 0).sum())
-                out.append((len(ids), known, float(model.bases[ids[mine]].sum()), model.traverse(ids), list(rare), list(rare.values())))
-            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare", "times"])
+                out.append((len(ids), known, float(model.bases[ids[mine]].sum()), model.traverse(ids), list(rare), list(rare.values()), arcs, taken.astype("i4")))
+            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare", "times", "arcs", "taken"])
 
     return traverse
 
@@ -290,10 +379,20 @@ def fit_and_score(docs: DataFrame, learn: str, id: str = "doc_id", text: str = "
         model.with_words(sorted(((bytes(w), int(n)) for w, n in zip(top["word"], top["n"])), key=lambda x: (-x[1], x[0])))
         rest = words.where((F.col("n") == 0) | (bin < least))
     shared = context.broadcast(model)
-    model_pairs = stored(
-        texts.where("learned").select("text").mapInArrow(_count_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    ).toPandas()  # at most STATES squared
-    model.with_arcs(model_pairs["pair"].to_numpy("i8"), model_pairs["n"].to_numpy("i8"))
+    arcs = stored(
+        texts.where("learned").select("text").mapInArrow(_count_arcs(shared), "history long, follows long, n long")
+        .groupBy("history", "follows")
+        .agg(F.sum("n").alias("n"))
+    )
+    within = (F.col("history") >= 0) & (F.col("history") < model.states)
+    within &= ((F.col("follows") >= 0) & (F.col("follows") < model.states)) | (F.col("follows") == len(model.place))
+    dense = arcs.where(within).toPandas()  # at most STATES squared
+    followers = stored(arcs.groupBy("history").agg(F.count(F.lit(1)).alias("kinds")))
+    found = followers.where("history >= 0").toPandas()  # at most FREQUENT
+    kinds = np.zeros(len(model.place), "i8")
+    kinds[found["history"].to_numpy("i8")] = found["kinds"].to_numpy("i8")
+    pairs = dense["history"].to_numpy("i8") * (model.states + 1) + np.minimum(dense["follows"].to_numpy("i8"), model.states)
+    model.with_arcs(pairs, dense["n"].to_numpy("i8"), kinds)
     shared = context.broadcast(model)
 
     partial = stored(
@@ -301,7 +400,26 @@ def fit_and_score(docs: DataFrame, learn: str, id: str = "doc_id", text: str = "
         .select("doc_id", "learned", "p.*")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    table = rest.mapInArrow(_words_table(shared), "word binary, known boolean, base double, chance double, spelling double")
+
+    @F.pandas_udf("long")
+    def code(words: pd.Series) -> pd.Series:
+        return pd.Series(word_codes(b" ".join(words)) if len(words) else np.zeros(0, "i8"))
+
+    rare_kinds = followers.where("history < 0")
+    rest = rest.withColumn("code", code("word"))
+    each = rest.join(rare_kinds, F.col("code") == F.col("history"), "left").select("word", "n", F.coalesce("kinds", F.lit(0)).alias("kinds"), "code")
+    table = each.drop("code").mapInArrow(
+        _words_table(shared), "word binary, known boolean, base double, chance double, failure double, spelling double"
+    )
+    chances = rest.where("n > 0").select(F.col("code").alias("follows"), F.log10((F.col("n") - DISCOUNT) / float(max(tokens, 1))).alias("chance"))
+    far = _arc_table(shared, arcs.where(~within), rare_kinds, chances)
+    along = (
+        partial.select("row", F.explode(F.arrays_zip("arcs", "taken")).alias("a"))
+        .select("row", F.col("a.arcs").alias("key"), F.col("a.taken").alias("taken"))
+        .join(far, "key")
+        .groupBy("row")
+        .agg(F.sum(F.col("taken") * F.col("more")).alias("_more"))
+    )
     looked = (
         partial.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
         .select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
@@ -309,15 +427,16 @@ def fit_and_score(docs: DataFrame, learn: str, id: str = "doc_id", text: str = "
         .groupBy("row")
         .agg(
             F.sum(F.col("times") * F.col("base")).alias("_base"),
-            F.sum(F.col("times") * F.col("chance")).alias("_score"),
+            F.sum(F.col("times") * (F.col("chance") + F.col("failure"))).alias("_score"),
             F.sum(F.col("times") * F.col("spelling")).alias("_spelling"),
             F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("_known"),
         )
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return partial.drop("rare", "times").join(looked, "row", "left").select(
+    known = partial.drop("rare", "times", "arcs", "taken").join(looked, "row", "left").join(along, "row", "left")
+    return known.select(
         "doc_id", "learned", "n_tokens", plus("n_known", "_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        plus("base", "_base").alias("base_score"), plus("score", "_score").alias("score"),
+        plus("base", "_base").alias("base_score"), (plus("score", "_score") + F.coalesce("_more", F.lit(0.0))).alias("score"),
         F.coalesce("_spelling", F.lit(0.0)).alias("spelling"),
     )
 

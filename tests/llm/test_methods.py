@@ -191,6 +191,34 @@ def test_probabilities_sum_to_one():
     assert math.isclose(follow, 1.0, rel_tol=1e-9)
 
 
+def test_all_pairs_of_words_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STATES", 2)
+    monkeypatch.setattr(lm, "FREQUENT", 12)
+    draw = random.Random(6)
+    texts = [" ".join(f"w{min(int(draw.paretovariate(0.7)), 60)}" for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, x, i % 5 > 0) for i, x in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    single, pairs = {}, {}
+    for i, x in enumerate(texts):
+        words = [*x.split(), None]
+        for w in words if i % 5 else []:
+            single[w] = single.get(w, 0) + 1
+        for pair in zip(words, words[1:]) if i % 5 else []:
+            pairs[pair] = pairs.get(pair, 0) + 1
+    total, d = sum(single.values()), lm.DISCOUNT
+    alone = lambda w: (single[w] - d) / total if w in single else d * len(single) / total
+
+    def after(h, w):
+        if h not in single:
+            return alone(w)
+        kinds = sum(a == h for a, _ in pairs)
+        return (max(pairs.get((h, w), 0) - d, 0) + d * kinds * alone(w)) / single[h]
+
+    for r in lm.fit_and_score(docs, "learn").collect():
+        words = [*texts[r.doc_id].split(), None]
+        want = math.log10(alone(words[0])) + sum(math.log10(after(h, w)) for h, w in zip(words, words[1:]))
+        assert math.isclose(r.score, want, rel_tol=1e-9), r.doc_id
+
+
 # -- toxicity -----------------------------------------------------------------------
 
 
