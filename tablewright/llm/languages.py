@@ -206,19 +206,21 @@ def best_paths(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
 def settled(each: np.ndarray, starts: np.ndarray, owner: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
     """The best single language of every text, and whether no switch can better it.
 
-    A stretch in another language pays for the switch only if that language leads by more
-    than the penalty over some stretch; where none does in any language, the best path stays
-    in one. ``each``: scores of all words, text by text.
+    A path with m stretches in other languages than the best has at least m switches, or m - 1
+    if it never is in the best and m is two or more (one stretch alone is a single language,
+    which is no better). So it can be better only if some language leads by more than half the
+    penalty over a stretch, as m stretches of at most that add up to no more than m - 1
+    penalties; all other texts stay in one language. ``each``: scores of all words, text by text.
     """
     best = np.add.reduceat(each, starts, 0).argmax(1)
     own = each[np.arange(len(each)), best[owner]]
     fixed = np.ones(len(starts), bool)
     for lang in range(each.shape[1]):
-        lead = np.clip(each[:, lang] - own, -switch, None)  # a loss of the penalty ends a stretch
+        lead = np.clip(each[:, lang] - own, -switch / 2, None)  # a loss of the limit ends a stretch
         running = np.concatenate([[0.0], np.cumsum(lead, dtype="f8")])
         apart = (2 * np.abs(running).max() + 1) * owner  # sums of each text lie below those before
         before = np.minimum.accumulate(running[:-1] - apart)
-        fixed &= np.maximum.reduceat(running[1:] - apart - before, starts) <= switch
+        fixed &= np.maximum.reduceat(running[1:] - apart - before, starts) <= switch / 2
     return best, fixed
 
 

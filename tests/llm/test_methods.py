@@ -58,6 +58,27 @@ def test_paths_are_the_best_ones():
                 assert math.isclose(own[:, single[k]].sum(), value, rel_tol=1e-5, abs_tol=1e-5)
 
 
+def test_settled_texts_have_no_better_path():
+    each = np.array([[-10, 0, -100], [-10, -100, 0]], "f4")
+    _, fixed = languages.settled(each, np.array([0]), np.zeros(2, int), 12.0)
+    assert not fixed[0]
+    draw = np.random.default_rng(12)
+    settled = 0
+    for langs in (3, 4, 5):
+        for _ in range(150):
+            lengths = draw.integers(1, 6, 4)
+            starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(4), lengths)
+            each = draw.normal(size=(lengths.sum(), langs)).astype("f4") * 6
+            each[:, 0] += draw.choice([0, 2, 4])  # often second best everywhere
+            switch = float(draw.choice([4.0, 8.0, 12.0]))
+            best, fixed = languages.settled(each, starts, owner, switch)
+            for k in np.flatnonzero(fixed):
+                own = each[starts[k] : starts[k] + lengths[k]]
+                assert own[:, best[k]].sum() >= _path_by_trial(own, switch) - 1e-3
+            settled += fixed.sum()
+    assert settled > 100
+
+
 def test_mixed_text_has_spans(spark):
     en, de = "the cat sat with that other cat on the mat and then it went", "der hund und die katze sind nicht auf dem schönen weg"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)]
