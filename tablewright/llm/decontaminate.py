@@ -57,8 +57,13 @@ def plain(word: str) -> str:
     return "".join(c for c in word.lower() if c.isalnum())
 
 
+def parted(text: str) -> list[str]:
+    """The raw words of texts and of items: any Unicode space ends one."""
+    return text.split()
+
+
 def words_of(text: str) -> list[str]:
-    return [p for w in text.split() if (p := plain(w))]
+    return [p for w in parted(text) if (p := plain(w))]
 
 
 def question_words(text: str) -> int:
@@ -142,8 +147,8 @@ class Terms(dict):
         super().__init__()
         self.index = index
 
-    def __missing__(self, raw: bytes) -> int:
-        found = self.index.terms.get(plain(raw.decode("utf-8", "replace")), -1)
+    def __missing__(self, raw: str) -> int:
+        found = self.index.terms.get(plain(raw), -1)
         if len(raw) <= 64:
             self[raw] = found
         return found
@@ -279,7 +284,7 @@ def _search(texts: list[bytes | None], index: Index) -> list[list[dict]]:
     for row, text in enumerate(texts):
         if text is None:
             continue
-        raw = text.lower().split()
+        raw = parted(text.decode("utf-8", "replace").lower())
         if not raw:
             continue
         todo.append((row, np.fromiter(map(terms.__getitem__, raw), "i4", len(raw))))

@@ -300,6 +300,17 @@ def test_search_finds_all_above_the_limit():
     assert all(k in {h["item_id"] for h in hits} for k, hits in enumerate(found))
 
 
+def test_unicode_spaces_part_words(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, item), (2, "uno\u3000dos tres\u00a0cuatro cinco seis siete\u202focho")], "item_id long, text string")
+    texts = [item.replace(" ", space) for space in ("\u00a0", "\u2003", "\u202f", "\u3000", "\u2028", "\x1f", "\x85")]
+    texts += [item.replace("four ", "four\u3000").replace("eight ", "eight\u00a0"), "uno dos tres cuatro cinco seis siete ocho"]
+    docs = spark.createDataFrame([(i, f"before\u00a0{x}\u3000after") for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert found == {(i, 1, 1.0, 1.0) for i in range(8)} | {(8, 2, 1.0, 1.0)}
+    assert decontaminate.drop_contaminated(docs, items).isEmpty()
+
+
 def test_question_and_answer():
     assert decontaminate.question_words("What is it? A cat.") == 3
     assert decontaminate.question_words("One two three. Four five.") == 3
