@@ -15,8 +15,9 @@ made. First each is paired with the least of them, in a sorted and split table t
 no group in one task; what is confirmed joins components. Only bands that still hold
 several components are looked at again: their texts of different components are compared
 register by register within a task, and only pairs that look similar enough leave it. Bands
-of over ``PAIRWISE`` texts are divided by a second band, and by a third, first; what is left
-after that is compared in full, so no link is lost to a limit.
+of over ``PAIRWISE`` texts are cut into blocks, in order of component, and each pair of blocks
+that holds several components is compared for itself, so that no task holds more and no link is
+lost to a limit.
 
 Defined results: a text without words, or null, is empty: no shingles, linked with nothing;
 fewer than five words are one shingle; rows with equal ids are documents of their own that
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,10 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 3, BUCKETS // 3
 #: an estimate below this is more than five deviations under the limit
 LEAST_ESTIMATE = 0.35
-#: the texts of a band, up to so many, are compared with each other within a task
+#: the texts of a band that are compared with each other at once; larger bands are cut into blocks
 PAIRWISE = 8192
 #: pairs that are compared together
 COMPARED = 200_000
-DEEPEST = 3
 #: ids up to this many are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 #: bytes of text that are hashed together
@@ -285,8 +286,9 @@ class Verifier:
 
 
 def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of (key, node, root, n, brief) in order of key: pairs of one key and different roots
-    that may be similar enough by size and by their brief registers."""
+    """Of (key, node, root, n, brief, side) in order of key: pairs of one key and different roots
+    that may be similar enough by size and by their brief registers. Of texts of sides 1 and 2
+    only those of different sides are paired, those of side 0 with each other."""
     left: pd.DataFrame | None = None
     for batch in itertools.chain(rows, [None]):
         if batch is not None:
@@ -301,7 +303,7 @@ def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         else:
             ready = left
         ready = ready.sort_values(["key", "root"], kind="stable")
-        keys, nodes, roots, n = (ready[c].to_numpy() for c in ("key", "node", "root", "n"))
+        keys, nodes, roots, n, side = (ready[c].to_numpy() for c in ("key", "node", "root", "n", "side"))
         brief = np.frombuffer(b"".join(ready["brief"]), "u1").reshape(len(ready), -1)
         # a text meets those of its key that come after its own component
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])]))
@@ -315,6 +317,7 @@ def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             i = np.repeat(np.arange(begin, end), many)
             j = own_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
             fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            fits &= (side[i] == 0) | (side[i] != side[j])
             i, j = i[fits], j[fits]
             same = (brief[i] == brief[j]).mean(1)
             close = (same - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
@@ -322,25 +325,56 @@ def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             begin = end
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame | None:
+MEMBER = "key long, node long, root long, n long, brief binary"
+
+
+def _numbered(size: int):
+    """Rows in order of key and root with the block they fall in: ``size`` rows of a key, or fewer."""
+
+    def number(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, key, held = TaskContext.get().partitionId() << 32, None, 0
+        for batch in rows:
+            keys = batch["key"].to_numpy()
+            if not len(keys):
+                continue
+            first = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+            at = np.arange(len(keys))
+            begin = np.maximum.accumulate(np.where(first, at, -held))
+            place = at - begin
+            ends = first | (place % size == 0)
+            blocks = block + np.cumsum(ends)
+            yield batch.assign(block=blocks)
+            block, key, held = int(blocks[-1]), keys[-1], int(place[-1]) + 1
+
+    return number
+
+
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """The members of large bands, dealt to the pairs of blocks that hold several components."""
+    ordered = large.repartitionByRange("key", "root", "node").sortWithinPartitions("key", "root", "node")
+    blocked = stored(ordered.select("key", "node", "root", "n", "brief").mapInPandas(_numbered(max(PAIRWISE // 2, 1)), f"{MEMBER}, block long"))
+    facts = blocked.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = facts.select("key", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    pairs = stored(
+        facts.join(other, "key")
+        .where("block <= block_b AND NOT (lo = hi AND lo_b = hi_b AND lo = lo_b)")
+        .select("block", "block_b")
+    )
+    one = pairs.select("block", F.xxhash64("block", "block_b").alias("key"), F.when(F.col("block") == F.col("block_b"), 0).otherwise(1).alias("side"))
+    two = pairs.where("block <> block_b").select(F.col("block_b").alias("block"), F.xxhash64("block", "block_b").alias("key"), F.lit(2).alias("side"))
+    return blocked.drop("key").join(one.unionByName(two), "block").select("key", "node", "root", "n", "brief", "side")
+
+
+def _open_pairs(members: DataFrame) -> DataFrame:
     """Pairs to look at in bands that hold several components (key, node, root, n, brief)."""
-    found = None
-    for depth in range(1, DEEPEST + 1):
-        facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        mixed = stored(facts.where("lo != hi").select("key", "size"))
-        members = stored(members.join(mixed, "key"))
-        last = depth == DEEPEST
-        small = members.where((F.col("size") <= PAIRWISE) | F.lit(last)).drop("size")
-        pairs = small.repartition("key").sortWithinPartitions("key").mapInPandas(_compared, "a long, b long")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = members.where(F.col("size") > PAIRWISE)
-        if last or large.isEmpty():
-            return found
-        bands = nodes.select("node", F.explode("bands").alias("band"))
-        members = stored(
-            large.join(bands, "node").select(F.xxhash64("key", "band").alias("key"), "node", "root", "n", "brief")
-        )
-    return found
+    facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = stored(facts.where("lo != hi").select("key", "size"))
+    members = stored(members.join(mixed, "key"))
+    groups = members.where(F.col("size") <= PAIRWISE).drop("size").withColumn("side", F.lit(0))
+    large = members.where(F.col("size") > PAIRWISE)
+    if not large.isEmpty():
+        groups = groups.unionByName(_block_pairs(large))
+    return groups.repartition("key").sortWithinPartitions("key").mapInPandas(_compared, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,7 +407,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         .join(roots, "node", "left")
         .select("key", "node", F.coalesce("root", "node").alias("root"), "n", "brief")
     )
-    more = stored(verifier.links(stored(_open_pairs(members, nodes).distinct())))
+    more = stored(verifier.links(stored(_open_pairs(members).distinct())))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

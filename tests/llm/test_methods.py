@@ -190,6 +190,19 @@ def test_links_of_planted_copies(spark):
     assert [found[i] for i in range(len(texts))] == root
 
 
+def test_large_bands_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRWISE", 16)
+    draw = random.Random(9)
+    rows = [(1, k, 0 if k < 70 else draw.choice([0, 70, 71, 72]), 10, b"same" * 15) for k in range(100)]
+    rows += [(2, k, k % 2, 10, b"same" * 15) for k in range(200, 210)]
+    members = spark.createDataFrame(rows, neardup.MEMBER).repartition(5)
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]}
+    pairs = [(r.a, r.b) for r in neardup._open_pairs(members).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    groups = neardup._block_pairs(members.where("key = 1")).groupBy("key").agg(F.count_distinct("root").alias("roots"), F.count("*").alias("rows"))
+    assert groups.where("rows > 16 OR roots < 2").isEmpty()
+
+
 # -- language model -----------------------------------------------------------------
 
 
