@@ -207,10 +207,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: ``doc_id``, ``n_shingles``, ``digest`` of its set, ``bands``."""
+def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row per document: ``doc_id``, ``n_shingles``, ``digest`` of its set, ``bands``; and the
+    columns ``keep``."""
     sketch = F.pandas_udf(_sketch, "n_shingles long, digest binary, bands array<long>, brief binary")
-    return docs.select(F.col(id).alias("doc_id"), sketch(F.col(text).cast("binary")).alias("s")).select("doc_id", "s.*")
+    own = keep or []
+    return docs.select(F.col(id).alias("doc_id"), *own, sketch(F.col(text).cast("binary")).alias("s")).select("doc_id", *own, "s.*")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str, rows: int, id: str = "doc_id") -> DataFrame:
@@ -381,6 +383,13 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """A row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the least id that links
     reach) and ``kept`` (whether that is its own)."""
     drawn = stored(sketches(docs, id, text))
+    return _decided(docs, drawn, id, text).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+def _decided(docs: DataFrame, drawn: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``drawn`` (and what other columns it has) with their ``component_id``."""
     nodes = stored(
         drawn.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
         .groupBy("digest")
@@ -414,22 +423,34 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     grouped = nodes.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     grouped = stored(grouped)
     least = stored(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = stored(grouped.join(least, "root").select(F.col("digest").alias("_digest"), "component_id"))
+    named = stored(grouped.join(least, "root").select(F.col("digest").alias("_digest"), "component_id", "root"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         drawn.drop("bands", "brief")
         .join(named, F.col("digest") == F.col("_digest"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
+        .withColumn("root", F.when(F.col("doc_id").isNotNull(), F.col("root")))
+        .drop("_digest")
     )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents without those of which a near copy of a smaller id is linked; of rows
-    with equal ids and texts one stays."""
-    groups = stored(similar_groups(docs).select("doc_id", "kept"))
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = among(docs, gone, "left_anti", gone.count())
+    """The documents without those that are linked with another of a smaller id, or of the same
+    id and a smaller hash of the text: each text is decided for itself, whatever ids are shared;
+    of rows with equal ids and texts one stays."""
+    hashed = lambda df: F.xxhash64(df["text"].cast("string"))
+    drawn = stored(sketches(docs.withColumn("_tw_text", hashed(docs)), keep=["_tw_text"]))
+    groups = stored(_decided(docs, drawn, "doc_id", "text").select("doc_id", "_tw_text", "root"))
+    linked = groups.where("root IS NOT NULL")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "_tw_text")).alias("first"))
+    gone = stored(
+        linked.join(first, "root")
+        .where(F.struct("doc_id", "_tw_text") != F.col("first"))
+        .select(F.col("doc_id").alias("_id"), F.col("_tw_text").alias("_hash"))
+        .distinct()
+    )
+    found = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    stay = docs.join(found, (docs["doc_id"] == found["_id"]) & (hashed(docs) == found["_hash"]), "left_anti")
     again = stored(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")))
     repeated = again.count()
     if not repeated:

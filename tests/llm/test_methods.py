@@ -203,6 +203,20 @@ def test_large_bands_are_compared_in_blocks(spark, monkeypatch):
     assert groups.where("rows > 16 OR roots < 2").isEmpty()
 
 
+def test_texts_that_share_an_id_are_decided_singly(spark):
+    draw = random.Random(10)
+    text = lambda: " ".join(f"w{draw.randint(0, 9999)}" for _ in range(60))
+    copied, clean, near = text(), text(), text()
+    rows = [(1, copied), (2, f"{copied} more"), (2, clean), (3, near), (3, f"{near} more"), (4, text()), (4, text()), (5, clean.upper())]
+    rows += [(6, rows[5][1]), (None, copied), (7, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in neardup.drop_near_copies(docs).collect()]
+    one = [r for r in kept if r[0] == 3]
+    assert len(one) == 1 and one[0] in rows
+    want = [rows[k] for k in (0, 2, 5, 6, 9, 10, 11)]
+    assert sorted((r for r in kept if r[0] != 3), key=str) == sorted(want, key=str)
+
+
 # -- language model -----------------------------------------------------------------
 
 
