@@ -98,3 +98,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.toxicity import toxicity_digest
 
     return toxicity_digest(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.simhash import fingerprint_groups
+
+    return fingerprint_groups(read_table(spark, folder, "documents"))
