@@ -76,10 +76,11 @@ def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from tablewright.llm import neardup, secrets, topk
+    from tablewright.llm import collocations, lexical, neardup, secrets, topk
 
     return {
         "op5_secret_scans": secrets.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_minhash_near_dedup": neardup.ORACLE,
+        "op11_phrase_collocations": collocations.ORACLE, "op12_ranked_lexical_search": lexical.ORACLE,
     }
 
 
@@ -105,3 +106,17 @@ def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tablewright.llm.simhash import fingerprint_groups
 
     return fingerprint_groups(read_table(spark, folder, "documents"))
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.lexical import search
+
+    return search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from tablewright.llm.collocations import collocations
+
+    return collocations(read_table(spark, folder, "documents"))
