@@ -1,6 +1,7 @@
-"""Registry tables on shared storage: Parquet folders that are appended to.
+"""Registry tables on shared storage, for several writers at once.
 
-One writer at a time is assumed; readers see whole appends.
+Each table is a log of commits (``commits``): ids are given out by the commit that adds their
+rows, and readers see whole appends.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators import registry
 from tablewright.operators.quality import table_quality
+from tablewright.sources.commits import CommitLog
 from tablewright.sources.fingerprint import dataset_hash, file_hashes
 
 
@@ -25,17 +26,11 @@ class Catalogue:
             "model_log": registry.MODEL_LOG_SCHEMA, "stage_log": registry.STAGE_LOG_SCHEMA,
         }
 
-    def table(self, name: str) -> DataFrame:
-        empty = self.spark.createDataFrame([], self._schemas[name])
-        try:
-            return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return empty  # nothing appended yet
+    def _log(self, name: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.folder}/{name}", self._schemas[name])
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+    def table(self, name: str) -> DataFrame:
+        return self._log(name).table()
 
     def register_dataset(self, path: str, original_filename: str, df: DataFrame | None) -> int:
         """Id of the files' content; a table that could not be read (None) is kept with an
@@ -50,9 +45,8 @@ class Catalogue:
             *((facts["rows"], facts["columns"], facts["missing_cells"], facts["duplicate_rows"]) if facts else (None,) * 4),
             path, None if facts else "the file could not be read",
         )
-        schema = registry.DATASET_SCHEMA.split(", ", 1)[1]
-        fresh = registry.new_datasets(self.table("datasets"), self.spark.createDataFrame([row], schema))
-        self._append("datasets", fresh)
+        incoming = self.spark.createDataFrame([row], registry.DATASET_SCHEMA.split(", ", 1)[1])
+        self._log("datasets").append(lambda known: registry.new_datasets(known, incoming))
         return registry.find_dataset(self.table("datasets"), content).first()["id"]
 
     def log_experiment(
@@ -74,20 +68,19 @@ class Catalogue:
             "timestamp timestamp, dataset_id bigint, algorithm string, hyperparameters map<string, string>, "
             "metrics array<struct<name: string, value: double>>, model_id string, tags array<string>, notes string",
         )
-        fresh = registry.new_experiments(self.table("datasets"), self.table("experiments"), incoming)
-        number = fresh.first()["id"]
-        self._append("experiments", fresh)
-        return number
+        datasets = self.table("datasets")
+        _, added = self._log("experiments").append(lambda known: registry.new_experiments(datasets, known, incoming))
+        return added.first()["id"]
 
     def register_model(self, model_id: str, metadata: Mapping[str, object]) -> None:
         texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in metadata.items()}
         log = registry.registration(self.spark, model_id, texts, dt.datetime.now())
-        stages = registry.first_versions(self.table("stage_log"), log)
-        self._append("stage_log", stages.coalesce(1))
-        self._append("model_log", log)
+        self._log("stage_log").append(lambda known: registry.first_versions(known, log).coalesce(1))
+        self._log("model_log").append(lambda known: log)
 
     def transition(self, model_id: str, stage: str, version: str | None = None) -> None:
-        self._append("stage_log", registry.transition(self.table("stage_log"), model_id, stage, dt.datetime.now(), version))
+        now = dt.datetime.now()
+        self._log("stage_log").append(lambda known: registry.transition(known, model_id, stage, now, version))
 
     def models(self, **filters) -> DataFrame:
         return registry.list_models(registry.current_models(self.table("model_log")), self.table("stage_log"), **filters)
