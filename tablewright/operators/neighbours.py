@@ -1,33 +1,26 @@
-"""k nearest neighbours by Euclidean distance, exact at any size.
+"""k nearest neighbours by Euclidean distance, exact at any size, approximate on request.
 
 A small set of known rows, checked by its bytes, is shared with every task. Beyond that
-the known rows are cut into cells around pivots, and a query meets only the cells that
-the triangle inequality cannot rule out. Cells are cut further into blocks of bounded
-size on both sides, so one crowded spot never lands in one task. Each block yields the
-k best per query; the best of those are the answer. Distances are computed by numpy on
-blocks inside tasks.
+they are put in lists around learned centres (``inverted_file``), and a query meets only
+lists that can hold one of its neighbours, or with ``probes`` only those of its nearest
+centres. Distances are computed by numpy on blocks inside tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tablewright.session import ensure_checkpoint_dir
+from tablewright.operators.inverted_file import FOUND_SCHEMA, InvertedFile, answer, stacked
 
 #: known rows up to this many bytes are sent to every task
 SHARED_BYTES = 64_000_000
-#: rows of one block, on either side
+#: rows of one list
 BLOCK_ROWS = 10_000
-MAX_PIVOTS = 1_000
-
-FOUND_SCHEMA = "query_id bigint, neighbour_id bigint, label double, distance double"
 
 
 def nearest(
@@ -36,18 +29,21 @@ def nearest(
     k: int = 5,
     shared_bytes: int = SHARED_BYTES,
     block_rows: int = BLOCK_ROWS,
+    probes: int | None = None,
 ) -> DataFrame:
     """``query_id, neighbour_id, label, distance`` of the k nearest known rows per query.
 
     ``known`` has ``id bigint, label double, vector array<double>`` and ``queries`` has
-    ``id, vector``. Equal distances go to the smaller neighbour id.
+    ``id, vector``. Equal distances go to the smaller neighbour id. With ``probes`` a table
+    too large to share is searched around that many centres per query only, so that some
+    neighbours may be missed.
     """
     size = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     if not size["n"]:
         raise ValueError("there are no known rows")
     if size["n"] * (size["width"] + 2) * 8 <= shared_bytes:
         return _against_shared(known, queries, k)
-    return _against_cells(known, queries, k, size["n"], block_rows)
+    return InvertedFile(known, k, size["n"], size["width"], block_rows).search(queries, probes)
 
 
 def _workers(df: DataFrame) -> int:
@@ -55,41 +51,6 @@ def _workers(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _best(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query row, places and squared distances of its k nearest vectors, best first."""
-    places, squares = [], []
-    step = max(1, 4_000_000 // max(1, vectors.size))
-    for start in range(0, len(q), step):
-        part = q[start : start + step]
-        d = ((part[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k] if len(ids) <= 4 * k else _top(d, ids, k)
-        places.append(order)
-        squares.append(np.take_along_axis(d, order, axis=1))
-    return np.concatenate(places), np.concatenate(squares)
-
-
-def _top(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-    out = np.empty((len(d), k), dtype=np.int64)
-    for i, row in enumerate(d):
-        near = np.flatnonzero(row <= edge[i])  # k of them, and more only on ties
-        out[i] = near[np.lexsort((ids[near], row[near]))[:k]]
-    return out
-
-
-def _answer(query_ids, q, ids, labels, vectors, k: int) -> pd.DataFrame:
-    places, squares = _best(q, ids, vectors, k)
-    width = places.shape[1]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, width),
-            "neighbour_id": ids[places].ravel(),
-            "label": labels[places].ravel(),
-            "distance": np.sqrt(squares).ravel(),
-        }
-    )
-
-
 def _against_shared(known: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = known.select("id", "label", "vector").toPandas()
     shared = known.sparkSession.sparkContext.broadcast(
@@ -101,104 +62,13 @@ def _against_shared(known: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 part = batch.iloc[start : start + 1000]
-                yield _answer(part["id"].to_numpy(), np.stack(part["vector"].to_numpy()), ids, labels, vectors, k)
+                yield answer(part["id"].to_numpy(), stacked(part["vector"]), ids, labels, vectors, k)
 
     # a query costs as much as all known rows, so queries are spread over all workers
     spread = queries.select("id", "vector").repartition(_workers(known), "id")
     return spread.mapInPandas(search, FOUND_SCHEMA)
 
 
-def _against_cells(known: DataFrame, queries: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
-    count = int(min(MAX_PIVOTS, max(2, math.ceil(n / block_rows), math.isqrt(n) // 4)))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toPandas()
-    pivots = known.sparkSession.sparkContext.broadcast(np.unique(np.stack(chosen["vector"].to_numpy()), axis=0))
-
-    @F.pandas_udf("struct<cell int, reach double>")
-    def home(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy())
-        cells, reach = [], []
-        for d in _distances(x, pivots.value):
-            cells.append(d.argmin(axis=1))
-            reach.append(d.min(axis=1))
-        return pd.DataFrame({"cell": np.concatenate(cells).astype("int32"), "reach": np.concatenate(reach)})
-
-    # read three times below, so written out once
-    ensure_checkpoint_dir(known.sparkSession)
-    placed = known.withColumn("home", home("vector")).select("id", "label", "vector", "home.cell", "home.reach").checkpoint()
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
-    ).toPandas()  # one row per pivot
-    cells = known.sparkSession.sparkContext.broadcast(
-        {c: cells[c].to_numpy() for c in ("cell", "n", "low", "high")}
-    )
-
-    # which cells a query has to meet
-    @F.pandas_udf("array<int>")
-    def candidates(vectors: pd.Series) -> pd.Series:
-        facts = cells.value
-        out = []
-        x = np.stack(vectors.to_numpy())
-        for d in _distances(x, pivots.value):
-            d = d[:, facts["cell"]]
-            farthest = d + facts["high"]
-            order = np.argsort(farthest, axis=1)
-            held = np.cumsum(facts["n"][order], axis=1)
-            enough = (held < k).sum(axis=1).clip(max=d.shape[1] - 1)
-            bound = np.take_along_axis(farthest, np.take_along_axis(order, enough[:, None], 1), 1)
-            bound = bound * (1 + 1e-9) + 1e-12
-            open_cells = (d - facts["high"] <= bound) & (facts["low"] - d <= bound)
-            out += [facts["cell"][row].astype("int32") for row in open_cells]
-        return pd.Series(out)
-
-    visits = queries.select("id", "vector", F.explode(candidates("vector")).alias("cell")).checkpoint()
-    # both sides of a cell are cut into blocks of at most block_rows, by size
-    sides = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(
-        visits.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell"
-    ).select(
-        "cell",
-        F.ceil(F.col("n") / block_rows).cast("int").alias("cuts"),
-        F.ceil(F.col("m") / block_rows).cast("int").alias("shares"),
-    )
-    plan = F.broadcast(sides)  # one row per pivot
-
-    def part(count: str):
-        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-
-    # both sides may stem from one table, so their columns get names of their own
-    known_blocks = placed.join(plan, "cell").select(
-        F.col("cell").alias("k_cell"), part("cuts").alias("k_cut"),
-        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("k_share"),
-        F.col("id").alias("k_id"), F.col("label").alias("k_label"), F.col("vector").alias("k_vector"),
-    )
-    query_blocks = visits.join(plan, "cell").select(
-        F.col("cell").alias("q_cell"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("q_cut"),
-        part("shares").alias("q_share"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector"),
-    )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "label": [], "distance": []})
-        return _answer(
-            left["q_id"].to_numpy(), np.stack(left["q_vector"].to_numpy()), right["k_id"].to_numpy(),
-            right["k_label"].to_numpy(dtype=float), np.stack(right["k_vector"].to_numpy()), k,
-        )
-
-    met = (
-        query_blocks.groupBy("q_cell", "q_cut", "q_share")
-        .cogroup(known_blocks.groupBy("k_cell", "k_cut", "k_share"))
-        .applyInPandas(meet, FOUND_SCHEMA)
-    )
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return met.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).drop("_place")
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-    """Distances of a few rows of x at a time to all of y."""
-    step = max(1, 4_000_000 // max(1, y.size))
-    for start in range(0, len(x), step):
-        yield np.sqrt(((x[start : start + step, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-
-
 def vote(found: DataFrame) -> DataFrame:
     """``query_id, prediction``: most frequent label among the neighbours, ties to the
     smallest."""
