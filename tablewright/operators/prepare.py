@@ -28,16 +28,29 @@ from tablewright.functions.columns import (
     kinds,
     tidy,
 )
+from tablewright.operators.dictionary import (
+    CategoryTable,
+    FeatureVector,
+    category_table,
+    class_dictionary,
+    looked_up,
+    names_of,
+    size_of,
+)
 from tablewright.operators.profile import column_profile
 from tablewright.operators.quantiles import quantiles_and_more
 from tablewright.operators.summary import IN_MEMORY_VALUES
+from tablewright.session import ensure_checkpoint_dir
 
 MINIMUM_ROWS = 10
 HIGH_CARDINALITY = 0.95
 
-#: class labels and one-hot categories are held by the driver and by the model, so
-#: their number is checked and refused above these
-MAX_CATEGORIES = 100_000
+#: classes, and categories in all, up to these numbers are listed in the model; more are
+#: numbered in tables and joined to the rows
+HELD_CLASSES = 10_000
+HELD_CATEGORIES = 10_000
+#: longest text, in bytes, that is listed in the model
+HELD_LENGTH = 1024
 
 LABEL = "_label"
 FEATURES = "_features"
@@ -45,7 +58,11 @@ FEATURES = "_features"
 
 @dataclass
 class Prepared:
-    """Rows with a usable target, their label column, and which columns are features."""
+    """Rows with a usable target, their label column, and which columns are features.
+
+    A classification has either ``classes``, in order of label, or, of too many to list, a
+    ``class_table`` (``class``, ``label``); ``class_count`` is 0 for a regression.
+    """
 
     frame: DataFrame
     target: str
@@ -57,6 +74,8 @@ class Prepared:
     dropped: list[str]
     key: list[str] | None = None
     features: list[str] = field(default_factory=list)
+    class_table: DataFrame | None = None
+    class_count: int = 0
 
 
 def detect_task(kind: str, distinct: int) -> str:
@@ -64,13 +83,14 @@ def detect_task(kind: str, distinct: int) -> str:
 
 
 def prepare(
-    df: DataFrame, target: str, key: Sequence[str] | None = None, distinct: str = "auto"
+    df: DataFrame, target: str, key: Sequence[str] | None = None, distinct: str = "auto", held_classes: int = HELD_CLASSES
 ) -> Prepared:
     """Drop rows without a target and text columns of mostly distinct values, detect the
     task and encode the target.
 
     ``key`` names columns that identify a row; they are used for splitting and are still
-    features unless dropped by the rule above.
+    features unless dropped by the rule above. More than ``held_classes`` classes are
+    numbered in a table.
     """
     df = tidy(df)
     target = target.strip()
@@ -91,15 +111,27 @@ def prepare(
         raise ValueError("no usable feature columns")
     task = detect_task(goal["kind"], goal["distinct"])
     types = {f.name: f.dataType for f in df.schema.fields}
-    classes = None
+    classes, class_table, class_count = None, None, 0
     if task == "classification":
         text = category_text(target, types[target])
-        classes = sorted(r[0] for r in labelled.select(text.alias("c")).distinct().collect())
-        if len(classes) < 2:
+        named = labelled.withColumn("_label_text", text)
+        few = goal["distinct"] <= held_classes
+        if few and goal["distinct"] > 2:  # texts of any length may not be listed
+            few = (named.agg(F.max(F.octet_length("_label_text"))).first()[0] or 0) <= HELD_LENGTH
+        if few:
+            classes = sorted(r[0] for r in named.select("_label_text").distinct().collect())
+            class_count = len(classes)
+            # the label carries its classes, also those that a part of the rows lacks
+            place = StringIndexerModel.from_labels(classes, inputCol="_label_text", outputCol=LABEL, handleInvalid="error")
+            encoded = place.transform(named).drop("_label_text")
+        else:
+            class_table = class_dictionary(named.select("_label_text"))
+            size = size_of(class_table, "class")
+            class_count = size.rows
+            numbers = class_table.withColumnRenamed("label", LABEL)
+            encoded = looked_up(named, numbers, size.small, "_label_text", "class").drop("_label_text")
+        if class_count < 2:
             raise ValueError("classification needs at least 2 target classes")
-        # the label carries its classes, also those that a part of the rows lacks
-        place = StringIndexerModel.from_labels(classes, inputCol="_label_text", outputCol=LABEL, handleInvalid="error")
-        encoded = place.transform(labelled.withColumn("_label_text", text)).drop("_label_text")
     else:
         encoded = labelled.withColumn(LABEL, as_double(target, types[target])).filter(F.col(LABEL).isNotNull())
         if kind_of(types[target]) != NUMERIC:
@@ -118,6 +150,8 @@ def prepare(
         dropped=dropped,
         key=list(key) if key else None,
         features=features,
+        class_table=class_table,
+        class_count=class_count,
     )
 
 
@@ -179,33 +213,40 @@ class CategoryFit:
     categories: list[str]
 
 
-def fit_categories(df: DataFrame, names: Sequence[str], max_categories: int = MAX_CATEGORIES) -> list[CategoryFit]:
-    """Most frequent category (ties to the smallest) and the sorted categories per column."""
-    if not names:
-        return []
+def count_categories(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column`` (place in ``names``), ``category``, ``n``."""
     types = {f.name: f.dataType for f in df.schema.fields}
     texts = df.select(*[category_text(c, types[c]).alias(f"c{i}") for i, c in enumerate(names)])
-    counted = (
+    return (
         texts.unpivot([], texts.columns, "place", "category")
         .filter(F.col("category").isNotNull())
-        .groupBy("place", "category")
+        .groupBy(F.substring("place", 2, 10).cast("int").alias("column"), "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    listed = counted.limit(max_categories + 1).collect()
-    if len(listed) > max_categories:
-        raise ValueError(
-            f"the columns {list(names)} hold over {max_categories} categories together; "
-            "drop or group the widest before training"
-        )
+
+
+def _listed(counted: DataFrame, names: Sequence[str], held: int) -> list[CategoryFit] | None:
+    """Per column with values what was counted; None for more categories than ``held``, or
+    longer ones than can be listed."""
+    short = F.when(F.octet_length("category") <= HELD_LENGTH, F.col("category"))
+    listed = counted.select("column", short.alias("category"), "n").limit(held + 1).collect()
+    if len(listed) > held or any(r["category"] is None for r in listed):
+        return None
     out = []
     for i, name in enumerate(names):
-        mine = [(r["category"], r["n"]) for r in listed if r["place"] == f"c{i}"]
+        mine = [(r["category"], r["n"]) for r in listed if r["column"] == i]
         if mine:
             top = min(mine, key=lambda p: (-p[1], p[0]))[0]
             out.append(CategoryFit(name, top, sorted(c for c, _ in mine)))
     return out
 
 
+def fit_categories(df: DataFrame, names: Sequence[str], held: int = HELD_CATEGORIES) -> list[CategoryFit] | None:
+    """Most frequent category (ties to the smallest) and the sorted categories per column; None
+    where there are too many to list, which ``fit_features`` keeps in a table."""
+    return _listed(count_categories(df, names), names, held) if names else []
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -221,49 +262,83 @@ def _text(value: str) -> str:
 
 @dataclass
 class FeatureMap:
-    """Fitted preparation: stages that turn raw columns into one feature vector."""
+    """Fitted preparation: stages that turn raw columns into one feature vector.
+
+    Categories are listed in ``categorical`` or, where they are too many, numbered in
+    ``table``, whose columns are ``wide``.
+    """
 
     stages: list[Transformer]
-    names: list[str]
     numeric: list[NumericFit]
     categorical: list[CategoryFit]
+    wide: list[str] = field(default_factory=list)
+    table: CategoryTable | None = None
 
     @property
     def model(self) -> PipelineModel:
         return PipelineModel(stages=self.stages)
 
     @property
-    def scaled_columns(self) -> list[str]:
-        return [f"_num_{i}" for i in range(len(self.numeric))]
+    def width(self) -> int:
+        listed = sum(len(f.categories) for f in self.categorical)
+        return len(self.numeric) + listed + (sum(self.table.sizes) if self.table else 0)
 
     @property
-    def encoded_columns(self) -> list[str]:
-        return [f"_hot_{i}" for i in range(len(self.categorical))]
-
-
-def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> FeatureMap:
+    def names(self) -> list[str]:
+        """Names of all features, where categories are listed."""
+        if self.table:
+            raise ValueError("the categories are in a table; ask for the names of single places")
+        listed = [f"categorical__{f.name}_{c}" for f in self.categorical for c in f.categories]
+        return [f"numeric__{f.name}" for f in self.numeric] + listed
+
+    def names_of(self, spark, wanted: Sequence[int]) -> dict[int, str]:
+        """Names of some features by their place."""
+        if self.table is None:
+            names = self.names
+            return {i: names[i] for i in wanted}
+        return names_of(spark, [f.name for f in self.numeric], self.wide, self.table, wanted)
+
+
+def fit_features(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], held: int = HELD_CATEGORIES
+) -> FeatureMap:
     """Median fill and standardising for numbers, most-frequent fill and one-hot for the
     rest; a category not seen in training becomes all zeros.
 
-    Every stage is built in, so the fitted preparation saves, loads and runs inside the
-    JVM.
+    Up to ``held`` categories in all, every stage is built in, so the fitted preparation
+    saves, loads and runs inside the JVM. More are numbered in a table that is joined to the
+    rows and saved with the model.
     """
     numbers = fit_numeric(train, numeric)
-    labels = fit_categories(train, categorical)
+    labels, wide, found = [], [], None
+    if categorical:
+        counted = count_categories(train, categorical)
+        labels = _listed(counted, categorical, held)
+        if labels is None:
+            ensure_checkpoint_dir(train.sparkSession)
+            counted, labels = counted.checkpoint(), []
+            present = sorted(r[0] for r in counted.select("column").distinct().collect())
+            wide = [categorical[i] for i in present]
+            found = category_table(counted, present)
     kind = kinds(train)
     select = ["*"]
     for i, f in enumerate(numbers):
         filled = f"coalesce(nanvl(try_cast({_quoted(f.name)} AS DOUBLE), NULL), {_number(f.median)})"
         select.append(f"({filled} - {_number(f.mean)}) / {_number(f.scale)} AS _num_{i}")
-    for i, f in enumerate(labels):
-        name = _quoted(f.name)
-        text = f"CAST({name} AS STRING)"
-        if kind[f.name] == BOOLEAN:
-            text = f"CASE WHEN {name} THEN 'True' WHEN NOT {name} THEN 'False' END"
-        select.append(f"coalesce({text}, {_text(f.most_frequent)}) AS _cat_{i}")
+    fills = [(f.name, f.most_frequent) for f in labels] or list(zip(wide, found.most_frequent if found else []))
+    for i, (name, fill) in enumerate(fills):
+        quoted = _quoted(name)
+        text = f"CAST({quoted} AS STRING)"
+        if kind[name] == BOOLEAN:
+            text = f"CASE WHEN {quoted} THEN 'True' WHEN NOT {quoted} THEN 'False' END"
+        select.append(f"coalesce({text}, {_text(fill)}) AS _cat_{i}")
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT {', '.join(select)} FROM __THIS__")]
     inputs = [f"_num_{i}" for i in range(len(numbers))]
-    names = [f"numeric__{f.name}" for f in numbers]
+    if found:
+        texts = [f"_cat_{i}" for i in range(len(wide))]
+        sent = [int(small) for small in found.small]
+        stages.append(FeatureVector(inputs, texts, found.sizes, sent, FEATURES, found.dictionary))
+        return FeatureMap(stages, numbers, [], wide, found)
     if labels:
         places = range(len(labels))
         # the index of an unseen category is the last one, which the encoder leaves out
@@ -281,8 +356,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
             shaped = indexer.transform(shaped)
         stages += [*indexers, encoder.fit(shaped)]  # sizes come from the indexers, not from rows
         inputs += [f"_hot_{i}" for i in places]
-        names += [f"categorical__{f.name}_{c}" for f in labels for c in f.categories]
     if not inputs:
         raise ValueError("no usable feature columns")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
-    return FeatureMap(stages, names, numbers, labels)
+    return FeatureMap(stages, numbers, labels)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions.columns import col
+from tablewright.functions.numbering import numbered
 from tablewright.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -18,6 +19,8 @@ IS_TEST = "_is_test"
 
 #: most rows of one class ranked in a window; more are narrowed down by counting first
 RANKED_ROWS = 200_000
+#: classes up to this many have their cuts in an expression; those of more are joined
+LISTED_CLASSES = 1_000
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -67,6 +70,8 @@ def assign_split(
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
+    if label and classes > LISTED_CLASSES:
+        return _assign_by_tables(df, test_size, key, label, seed)
     group = F.coalesce(col(label).cast("int"), F.lit(0)) if label else F.lit(0)
     hashed = df.select(group.alias("class"), row_hash(key, seed).alias("h"))
     sizes = {r["class"]: r["n"] for r in hashed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,6 +85,66 @@ def assign_split(
     return df.withColumn(IS_TEST, row_hash(key, seed) <= cut)
 
 
+def _assign_by_tables(df: DataFrame, test_size: float, key: Sequence[str], label: str, seed: int) -> DataFrame:
+    """As :func:`assign_split` for any number of classes: quotas and cuts are tables with a row
+    per class, and the driver sees sums."""
+    ensure_checkpoint_dir(df.sparkSession)
+    hashed = df.select(F.coalesce(col(label).cast("bigint"), F.lit(0)).alias("class"), row_hash(key, seed).alias("h"))
+    counts = hashed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    quotas = _quota_table(counts, test_size)
+    if quotas is None:
+        return assign_split(df, test_size, key, None, 1, seed)
+    cuts = _cut_table(hashed, quotas)
+    names = cuts.select(F.col("class").alias("_cut_class"), "cut")
+    group = F.coalesce(col(label).cast("bigint"), F.lit(0))
+    cut = F.coalesce("cut", F.lit(-(2**63)))  # below every hash: a class without test rows
+    return df.join(names, group == F.col("_cut_class"), "left").withColumn(IS_TEST, row_hash(key, seed) <= cut).drop("_cut_class", "cut")
+
+
+def _quota_table(counts: DataFrame, test_size: float) -> DataFrame | None:
+    """``class, quota`` of test rows from ``class, n``, by the rule of :func:`test_quotas`; None
+    where a class has a single row, so that classes cannot be kept in proportion."""
+    total, classes, least = counts.agg(F.sum("n"), F.count(F.lit(1)), F.min("n")).first()
+    if least < 2:
+        return None
+    test_rows = math.ceil(total * test_size)
+    train_rows = total - test_rows
+    if min(train_rows, test_rows) < classes:
+        raise ValueError(f"{classes} classes need as many rows in the training and in the test part")
+    ideal = F.col("n") * F.lit(train_rows).cast("double") / F.lit(total).cast("double")
+    shared = counts.select("class", "n", F.floor(ideal).alias("base"), (F.floor(ideal) - ideal).alias("short"))
+    placed = numbered(shared, ["short", "class"]).checkpoint()
+    spare = train_rows - placed.agg(F.sum("base")).first()[0]
+    up = F.when(F.col("place") < spare, 1).otherwise(0)
+    return placed.select("class", (F.col("n") - F.col("base") - up).alias("quota"))
+
+
+def _cut_table(hashed: DataFrame, quotas: DataFrame, bits: int = 8) -> DataFrame:
+    """``class, cut``: the hash of the row at each class's quota in hash order."""
+    left = quotas.filter("quota > 0").select("class", F.col("quota").alias("left")).checkpoint()
+    shift, narrowed = 64 - bits, hashed.join(left.select("class"), "class")
+    while True:
+        counted = narrowed.groupBy("class", F.shiftright("h", shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("class").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+        found = (
+            counted.withColumn("upto", F.sum("n").over(upto)).join(left, "class")
+            .filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
+            .select("class", "prefix", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))
+            .checkpoint()
+        )
+        most = found.agg(F.max("n")).first()[0]
+        if shift == 0 or most is None:
+            return found.select("class", F.col("prefix").alias("cut"))
+        left = found.select("class", "left")
+        places = found.select("class", "prefix")
+        narrowed = hashed.join(places, "class").filter(F.shiftright("h", shift) == F.col("prefix")).drop("prefix")
+        if most <= RANKED_ROWS:
+            break
+        shift = max(0, shift - bits)
+    ranked = narrowed.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("h")))
+    return ranked.join(left, "class").filter(F.col("rank") == F.col("left")).select("class", F.col("h").alias("cut"))
+
+
 def _cut_hashes(hashed: DataFrame, quotas: list[int]) -> list[int]:
     """Per class, the hash of the row at its quota in hash order."""
     bits = max(4, 16 - math.ceil(math.log2(len(quotas))) if len(quotas) > 1 else 16)
