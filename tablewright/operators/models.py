@@ -6,42 +6,33 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark import keyword_only
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.kernel import RandomFourierFeatures, kernel_width
-from tablewright.operators.prepare import FEATURES, LABEL, FeatureMap
+from tablewright.operators.kernel import KernelMachine, fit_machine
+from tablewright.operators.prepare import FEATURES, HELD_CLASSES, LABEL, FeatureMap
+from tablewright.operators.random_trees import fit_random_trees
 
 PREDICTION = "_prediction"
 SEED = 42
 TREES = 120
 FAST_TREES = 40
 DEEPEST = 30  # Spark's limit; a full tree elsewhere
-CUTS_PER_COLUMN = 31
+PROBABILITY = "_probability"
 
 ALGORITHMS = {
     "classification": ["logistic_regression", "random_forest", "extra_trees", "decision_tree", "knn", "svm"],
@@ -50,7 +41,7 @@ ALGORITHMS = {
 
 FIDELITY = {
     "logistic_regression": "exact", "linear_regression": "exact", "ridge": "exact", "lasso": "exact", "knn": "exact",
-    "decision_tree": "binned", "random_forest": "binned", "extra_trees": "approximate", "svm": "approximate",
+    "decision_tree": "binned", "random_forest": "binned", "extra_trees": "exact", "svm": "approximate",
 }
 
 
@@ -72,9 +63,8 @@ class Settings:
     depth: int = DEEPEST
     forest_depth: int = DEEPEST
     iterations: int = 1000
-    cut_draws: int = 4  # forests of extra trees, each over its own cuts
-    components: int = 256  # of a kernel machine
-    kernel_iterations: int = 30
+    components: int = 256  # landmarks of a kernel machine
+    probes: int | None = None  # centres around which neighbours are searched; all that can matter if unset
 
 
 FULL = Settings()
@@ -89,6 +79,16 @@ class Fitted:
     importances: list[float] | None = None
 
 
+def check_classes(algorithm: str, classes: int) -> None:
+    """Families that keep numbers per class are refused before any work where there are too many."""
+    if algorithm != "knn" and classes > HELD_CLASSES:
+        raise ValueError(f"{algorithm} keeps numbers for each class, up to {HELD_CLASSES}, and there are {classes}; knn has no such limit")
+
+
+def fidelity_of(algorithm: str, settings: Settings) -> str:
+    return "approximate" if algorithm == "knn" and settings.probes else FIDELITY[algorithm]
+
+
 def fit_model(
     algorithm: str, task_type: str, train: DataFrame, features: FeatureMap, classes: int, settings: Settings = FULL
 ) -> Fitted:
@@ -100,9 +100,13 @@ def fit_model(
     if name in ("logistic_regression", "linear_regression", "ridge", "lasso"):
         return Fitted([_linear(name, train, common, settings)])
     if name == "svm":
-        return Fitted(_kernel_machine(task_type, train, common, classes, settings))
+        machine = fit_machine(train, FEATURES, LABEL, classes, settings.components, SEED)
+        return Fitted([KernelMachine(FEATURES, PREDICTION, PROBABILITY, classes, machine)])
     if name == "extra_trees":
-        return _random_cut_forest(task_type, train, features, settings)
+        forest, importances = fit_random_trees(
+            train, FEATURES, LABEL, PREDICTION, features.width, classes, settings.trees, settings.forest_depth, SEED
+        )
+        return Fitted([forest], importances)
     growth = _growth()
     if name == "decision_tree":
         family = DecisionTreeClassifier if task_type == "classification" else DecisionTreeRegressor
@@ -134,7 +138,7 @@ def _linear(name: str, train: DataFrame, common: dict, settings: Settings) -> Mo
         # the same objective divided by C n
         return LogisticRegression(
             regParam=1.0 / size["n"], elasticNetParam=0.0, standardization=False, maxIter=settings.iterations,
-            probabilityCol="_probability", rawPredictionCol="_raw", **common,
+            probabilityCol=PROBABILITY, rawPredictionCol="_raw", **common,
         ).fit(train)
     spread = size["spread"] or 1.0
     if name == "linear_regression":
@@ -149,102 +153,13 @@ def _linear(name: str, train: DataFrame, common: dict, settings: Settings) -> Mo
     ).fit(train)
 
 
-def _kernel_machine(task_type: str, train: DataFrame, common: dict, classes: int, settings: Settings) -> list[Transformer]:
-    """RBF machine as a linear one over random Fourier features."""
-    gamma, width = kernel_width(train, FEATURES)
-    mapped = RandomFourierFeatures(
-        inputCol=FEATURES, outputCol="_fourier", gamma=gamma, width=width, components=settings.components, seed=SEED
-    )
-    lifted = mapped.transform(train).select("_fourier", LABEL).persist()
-    try:
-        common = {**common, "featuresCol": "_fourier"}
-        if task_type == "classification":
-            # the default margin column: a reloaded one-vs-rest model looks for no other
-            linear = LinearSVC(
-                regParam=1.0 / max(lifted.count(), 1), maxIter=settings.kernel_iterations, standardization=False, **common
-            )
-            model = linear.fit(lifted) if classes == 2 else OneVsRest(classifier=linear, **common).fit(lifted)
-        else:
-            model = LinearRegression(loss="huber", regParam=1e-4, maxIter=300, **common).fit(lifted)
-    finally:
-        lifted.unpersist()
-    return [mapped, model]
-
-
-class VoteAverage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Mean of several forests' outputs: class shares (ties to the smaller class) or values."""
-
-    parts = Param(Params._dummy(), "parts", "number of forests", TypeConverters.toInt)
-    voting = Param(Params._dummy(), "voting", "whether outputs are class shares", TypeConverters.toBoolean)
-
-    @keyword_only
-    def __init__(self, *, parts=1, voting=True):
-        super().__init__()
-        self._setDefault(parts=1, voting=True)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        parts = range(self.getOrDefault(self.parts))
-        if not self.getOrDefault(self.voting):
-            total = sum((F.col(f"_p{g}") for g in parts), F.lit(0.0))
-            return dataset.withColumn(PREDICTION, total / len(parts))
-        shares = [vector_to_array(F.col(f"_share{g}")) for g in parts]
-        summed = shares[0]
-        for other in shares[1:]:
-            summed = F.zip_with(summed, other, lambda a, b: a + b)
-        return dataset.withColumn("_shares", summed).withColumn(
-            PREDICTION, (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")
-        )
-
-
-def _random_cut_forest(task_type: str, train: DataFrame, features: FeatureMap, settings: Settings) -> Fitted:
-    """Trees that split at random cut points: several forests without row sampling, each
-    over its own draw of cuts per numeric column, averaged."""
-    stages: list[Transformer] = []
-    groups = min(settings.cut_draws, settings.trees)
-    frame = train
-    totals = np.zeros(len(features.names))
-    for g in range(groups):
-        draw = random.Random(SEED + g)
-        inputs, outputs, splits = [], [], []
-        for i, f in enumerate(features.numeric):
-            low, high = (f.low - f.mean) / f.scale, (f.high - f.mean) / f.scale
-            cuts = sorted({draw.uniform(low, high) for _ in range(CUTS_PER_COLUMN)}) if high > low else [low]
-            inputs.append(f"_num_{i}")
-            outputs.append(f"_cut{g}_{i}")
-            splits.append([-math.inf, *cuts, math.inf])
-        own: list[Transformer] = []
-        if inputs:
-            own.append(Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep"))
-        own.append(VectorAssembler(inputCols=outputs + features.encoded_columns, outputCol=f"_cutfeatures{g}"))
-        for stage in own:
-            frame = stage.transform(frame)
-        trees = settings.trees // groups + (g < settings.trees % groups)
-        shared = {
-            "featuresCol": f"_cutfeatures{g}", "labelCol": LABEL, "predictionCol": f"_p{g}", "numTrees": trees,
-            "maxDepth": settings.forest_depth, "bootstrap": False, "seed": SEED + g, **_growth(),
-            "maxBins": CUTS_PER_COLUMN + 2,
-        }
-        if task_type == "classification":
-            learner = RandomForestClassifier(
-                featureSubsetStrategy="sqrt", probabilityCol=f"_share{g}", rawPredictionCol=f"_raw{g}", **shared
-            )
-        else:
-            learner = RandomForestRegressor(featureSubsetStrategy="all", **shared)
-        model = learner.fit(frame.select(f"_cutfeatures{g}", LABEL))
-        totals += model.featureImportances.toArray() * trees
-        stages += [*own, model]
-    stages.append(VoteAverage(parts=groups, voting=task_type == "classification"))
-    return Fitted(stages, [float(v) for v in totals / settings.trees])
-
-
-def importance_frame(spark, names: Sequence[str], importances: Sequence[float] | None, top: int = 12) -> DataFrame:
+def importance_frame(spark, features: FeatureMap, importances: Sequence[float] | None, top: int = 12) -> DataFrame:
     """``rank, feature, importance`` of the most important features; none for families
     without importances."""
-    pairs = list(zip(names, importances)) if importances is not None else []
-    best = sorted(((round(v, 4), -i, n) for i, (n, v) in enumerate(pairs)), reverse=True)[:top]
+    best = sorted(((round(v, 4), -i) for i, v in enumerate(importances or [])), reverse=True)[:top]
+    names = features.names_of(spark, [-i for _, i in best])
     return spark.createDataFrame(
-        [(r + 1, n, v) for r, (v, _, n) in enumerate(best)], "rank int, feature string, importance double"
+        [(r + 1, names[-i], v) for r, (v, i) in enumerate(best)], "rank int, feature string, importance double"
     )
 
 

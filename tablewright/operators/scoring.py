@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from tablewright.functions.columns import category_text, col, kind_of, tidy
 from tablewright.operators.metrics import confusion_counts, evaluate_predictions
 from tablewright.operators.models import PREDICTION
 from tablewright.operators.split import ROW_ID, with_row_id
-from tablewright.operators.training import DECODED, TrainedModel, predict_neighbours
+from tablewright.operators.training import DECODED, TrainedModel, named_classes, predict_neighbours
 from tablewright.operators.prepare import FEATURES
 
 
@@ -30,15 +29,15 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
     columns = [col(c) for c in df.columns if c != model.prediction_column]
     if model.known is None:
         out = model.pipeline.transform(df)
-        guess = F.col(DECODED) if model.classes else F.col(PREDICTION)
+        guess = F.col(DECODED) if model.task_type == "classification" else F.col(PREDICTION)
         return out.select(*columns, guess.alias(model.prediction_column))
     numbered = with_row_id(df)
     shaped = model.pipeline.transform(numbered)
     queries = shaped.select(F.col(ROW_ID).alias("id"), vector_to_array(FEATURES).alias("vector"))
-    guesses = predict_neighbours(model.known, queries, model.task_type)
+    guesses = predict_neighbours(model.known, queries, model.task_type, probes=model.settings.probes)
     guess = F.col("prediction")
-    if model.classes:
-        guesses = IndexToString(inputCol="prediction", outputCol="_named", labels=model.classes).transform(guesses)
+    if model.task_type == "classification":
+        guesses = named_classes(guesses, "prediction", "_named", model.classes, model.class_table)
         guess = F.col("_named")
     return (
         numbered.join(guesses.withColumnRenamed("query_id", ROW_ID), ROW_ID, "left")

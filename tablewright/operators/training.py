@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
 from tablewright.functions.layout import spread, working_copy
+from tablewright.operators.blocks import check_width
 from tablewright.operators.metrics import (
     classification_metrics,
     confusion_counts,
@@ -27,10 +30,13 @@ from tablewright.operators.models import (
     PREDICTION,
     Settings,
     check_algorithm,
+    check_classes,
     feature_pipeline,
+    fidelity_of,
     fit_model,
     importance_frame,
 )
+from tablewright.operators.dictionary import looked_up, size_of
 from tablewright.operators.neighbours import average, nearest, vote
 from tablewright.operators.prepare import FEATURES, LABEL, FeatureMap, Prepared, fit_features, prepare
 from tablewright.operators.split import (
@@ -71,6 +77,7 @@ class TrainedModel:
     known: DataFrame | None = None  # rows of a nearest-neighbour model
     metrics: dict = field(default_factory=dict)
     settings: Settings = FULL
+    class_table: DataFrame | None = None  # ``class, label`` of classes too many to list
 
     @property
     def prediction_column(self) -> str:
@@ -81,7 +88,7 @@ class TrainedModel:
             "model_id": self.model_id, "algorithm": self.algorithm, "task_type": self.task_type,
             "target_column": self.target, "features_used": self.features, "numeric_features": self.numeric,
             "categorical_features": self.categorical, "classes": self.classes, "test_size": self.test_size,
-            "fidelity": FIDELITY[self.algorithm], "metrics": self.metrics, "settings": asdict(self.settings),
+            "fidelity": fidelity_of(self.algorithm, self.settings), "metrics": self.metrics, "settings": asdict(self.settings),
         }
 
 
@@ -125,8 +132,8 @@ def _fixed_rows(prepared: Prepared, number: bool = False) -> Iterator[None]:
 
 
 def _split(prepared: Prepared, test_size: float) -> tuple[DataFrame, DataFrame]:
-    label = LABEL if prepared.classes else None
-    marked = assign_split(prepared.frame, test_size, prepared.key, label, len(prepared.classes or [0]))
+    label = LABEL if prepared.class_count else None
+    marked = assign_split(prepared.frame, test_size, prepared.key, label, max(prepared.class_count, 1))
     return marked.filter(~F.col(IS_TEST)).drop(IS_TEST), marked.filter(F.col(IS_TEST)).drop(IS_TEST)
 
 
@@ -137,8 +144,10 @@ def _vectors(features: FeatureMap, frame: DataFrame, label: bool) -> DataFrame:
     return shaped.select(*columns, *([F.col(LABEL).alias("label")] if label else []))
 
 
-def predict_neighbours(known: DataFrame, queries: DataFrame, task_type: str, k: int = NEIGHBOURS) -> DataFrame:
-    found = nearest(known, queries, k)
+def predict_neighbours(
+    known: DataFrame, queries: DataFrame, task_type: str, k: int = NEIGHBOURS, probes: int | None = None
+) -> DataFrame:
+    found = nearest(known, queries, k, probes=probes)
     return vote(found) if task_type == "classification" else average(found)
 
 
@@ -160,21 +169,22 @@ def train(
         raise ValueError("test_size must lie between 0 and 1")
     prepared = prepare(df, target, key, distinct)
     name = check_algorithm(prepared.task_type, algorithm)
+    check_classes(name, prepared.class_count)
     with _fixed_rows(prepared, number=name == "knn"):
         train_part, test_part = _split(prepared, test_size)
         features = fit_features(train_part, prepared.numeric, prepared.categorical)
-        classes = len(prepared.classes) if prepared.classes else 0
         known, importances = None, None
         if name == "knn":
+            check_width(features.width, "a nearest-neighbour model")
             known = _vectors(features, train_part, True)
             pipeline = features.model
-            guesses = predict_neighbours(known, _vectors(features, test_part, False), prepared.task_type)
+            guesses = predict_neighbours(known, _vectors(features, test_part, False), prepared.task_type, probes=settings.probes)
             scored = test_part.select(F.col(ROW_ID).alias("query_id"), LABEL).join(guesses, "query_id")
             scored = scored.withColumnRenamed("prediction", PREDICTION)
         else:
             ensure_checkpoint_dir(df.sparkSession)
             shaped = features.model.transform(train_part)
-            fitted = fit_model(name, prepared.task_type, shaped, features, classes, settings)
+            fitted = fit_model(name, prepared.task_type, shaped, features, prepared.class_count, settings)
             importances = fitted.importances
             decode = []
             if prepared.classes:
@@ -191,14 +201,14 @@ def train(
         model_id=new_model_id(name, prepared.target), algorithm=name, task_type=prepared.task_type,
         target=prepared.target, features=prepared.features, numeric=prepared.numeric,
         categorical=prepared.categorical, classes=prepared.classes, test_size=test_size, pipeline=pipeline,
-        known=known, metrics=row, settings=settings,
+        known=known, metrics=row, settings=settings, class_table=prepared.class_table,
     )
     warnings = ["The data set is small; metrics may be unreliable."] if prepared.rows < SMALL_ROWS else []
     spark = df.sparkSession
     return TrainingResult(
         model=model, rows=prepared.rows, train_rows=prepared.rows - test_rows, test_rows=test_rows,
         dropped=prepared.dropped, metrics=metrics, confusion=confusion,
-        importance=importance_frame(spark, features.names, importances),
+        importance=importance_frame(spark, features, importances),
         recommendation=recommend_model(
             spark, prepared.task_type, prepared.rows, bool(prepared.numeric), bool(prepared.categorical)
         ),
@@ -207,18 +217,25 @@ def train(
     )
 
 
+def named_classes(df: DataFrame, label: str, name: str, classes: list[str] | None, class_table: DataFrame | None) -> DataFrame:
+    """``df`` with the class of each label as column ``name``."""
+    if classes is not None:
+        return IndexToString(inputCol=label, outputCol=name, labels=classes).transform(df)
+    names = class_table.select(F.col("label").alias("_class_label"), F.col("class").alias(name))
+    return looked_up(df, names, size_of(class_table, "class").small, label, "_class_label")
+
+
 def _measure(scored: DataFrame, prepared: Prepared) -> tuple[DataFrame, DataFrame | None, dict]:
     """Metrics as a frame detached from the scoring, the confusion counts (of the pairs that
     occur), and the values."""
     spark = scored.sparkSession
-    if prepared.classes:
+    if prepared.class_count:
         ensure_checkpoint_dir(spark)
         counts = confusion_counts(scored, LABEL, PREDICTION).checkpoint()
         metrics = classification_metrics(counts)
         decoded = counts
         for side in ("actual", "predicted"):
-            decode = IndexToString(inputCol=side, outputCol=f"_{side}", labels=prepared.classes)
-            decoded = decode.transform(decoded)
+            decoded = named_classes(decoded, side, f"_{side}", prepared.classes, prepared.class_table)
         confusion = decoded.select(F.col("_actual").alias("actual"), F.col("_predicted").alias("predicted"), "n")
     else:
         metrics, confusion = regression_metrics(scored, LABEL, PREDICTION), None
@@ -250,30 +267,32 @@ def compare_models(
 def _compare(prepared: Prepared, test_size: float, max_rows: int | None, settings: Settings) -> DataFrame:
     spark = prepared.frame.sparkSession
     train_part, test_part = _split(prepared, test_size)
-    if max_rows is not None and prepared.classes and prepared.rows > max_rows:
+    if max_rows is not None and prepared.class_count and prepared.rows > max_rows:
         train_part = sample_rows(train_part, max_rows, prepared.key)
     features = fit_features(train_part, prepared.numeric, prepared.categorical)
-    classes = len(prepared.classes) if prepared.classes else 0
     ensure_checkpoint_dir(spark)
     # one shaped copy serves every model
-    shaped = features.model.transform(train_part).select(
-        LABEL, FEATURES, *features.scaled_columns, *features.encoded_columns
-    ).persist()
-    test_shaped = features.model.transform(test_part).select(
-        LABEL, FEATURES, *features.scaled_columns, *features.encoded_columns
-    ).persist()
+    shaped, test_shaped = (features.model.transform(part).select(LABEL, FEATURES).persist() for part in (train_part, test_part))
     measure = RANKING[prepared.task_type]
-    rows = []
+
+    def compared(name: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            check_classes(name, prepared.class_count)
+            fitted = fit_model(name, prepared.task_type, shaped, features, prepared.class_count, settings)
+            scored = PipelineModel(stages=fitted.stages).transform(test_shaped).select(LABEL, PREDICTION)
+            _, _, values = _measure(scored, prepared)
+            return values[measure], FIDELITY[name], None, values
+        except Exception as error:  # one failed family does not end the comparison
+            return None, FIDELITY[name], str(error)[:500], {}
+
+    names = LIGHT_ALGORITHMS[prepared.task_type]
     try:
         sizes = (shaped.count(), test_shaped.count())
-        for place, name in enumerate(LIGHT_ALGORITHMS[prepared.task_type]):
-            try:
-                fitted = fit_model(name, prepared.task_type, shaped, features, classes, settings)
-                scored = PipelineModel(stages=fitted.stages).transform(test_shaped).select(LABEL, PREDICTION)
-                _, _, values = _measure(scored, prepared)
-                rows.append((place, name, values[measure], FIDELITY[name], None, values))
-            except Exception as error:  # one failed family does not end the comparison
-                rows.append((place, name, None, FIDELITY[name], str(error)[:500], {}))
+        # families share the cluster: while one waits for a step's result, others have tasks to run
+        with ThreadPoolExecutor(len(names)) as pool:
+            futures = [pool.submit(inheritable_thread_target(spark)(compared), name) for name in names]
+            rows = [(place, name, *future.result()) for place, (name, future) in enumerate(zip(names, futures))]
     finally:
         shaped.unpersist()
         test_shaped.unpersist()
