@@ -278,11 +278,12 @@ def parse_aware_classes(df: DataFrame) -> DataFrame:
     """
     df = tidy(df)
     aggregates = [F.count(F.lit(1)).alias("rows")]
+    texts = [f.name for f in df.schema.fields if kind_of(f.dataType) == STRING]
     for i, f in enumerate(df.schema.fields):
         aggregates.append(F.count(col(f.name)).alias(f"n{i}"))
-        if kind_of(f.dataType) == STRING:
+        if f.name in texts:
             aggregates.append(F.count(parsed_date(f.name)).alias(f"p{i}"))
-            aggregates.append(F.count_distinct(col(f.name)).alias(f"d{i}"))
+    # parsed texts are counted where they lie; distinct ones by digests, in a pass of their own
     rows = F.greatest(F.col("rows"), F.lit(1))
     structs = []
     for i, f in enumerate(df.schema.fields):
@@ -292,11 +293,7 @@ def parse_aware_classes(df: DataFrame) -> DataFrame:
         elif kind == DATETIME:
             found = F.lit("datetime")
         elif kind == STRING:
-            found = (
-                F.when(F.col(f"p{i}") / rows > DATE_SHARE, "datetime")
-                .when(F.col(f"d{i}") / rows < CATEGORY_DISTINCT_SHARE, "categorical")
-                .otherwise("text")
-            )
+            found = F.when(F.col(f"p{i}") / rows > DATE_SHARE, "datetime").otherwise("text")
         else:
             found = F.lit("nested")
         structs.append(
@@ -305,6 +302,15 @@ def parse_aware_classes(df: DataFrame) -> DataFrame:
                 F.lit(i).alias("position"),
                 found.alias("column_class"),
                 (F.col("rows") - F.col(f"n{i}")).alias("missing"),
+                rows.alias("rows"),
             )
         )
-    return unfold(df.agg(*aggregates), structs)
+    base = unfold(df.agg(*aggregates), structs)
+    if texts:
+        counts = F.broadcast(distinct_counts(df.select(*map(col, texts))).select("column", "distinct"))  # one row per column
+        base = base.join(counts, "column", "left")
+    else:
+        base = base.withColumn("distinct", F.lit(None).cast("bigint"))
+    few = (F.col("column_class") == "text") & (F.col("distinct") / F.col("rows") < CATEGORY_DISTINCT_SHARE)
+    found = F.when(few, "categorical").otherwise(F.col("column_class"))
+    return base.select("column", "position", found.alias("column_class"), "missing")
