@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators.leakage import (
+    IDENTIFIER_WORDS,
+    OUTCOME_NAME_WORDS,
     formula_matches,
     leakage_findings,
     leakage_report,
@@ -66,9 +68,9 @@ def target_rejections(spark, folder):
 
 @query(
     _advice_sql("part", "business")
-    + """SELECT 0::INTEGER AS position, 'Best target: ''' || "column" || ''', score ' || score || ' of 100.' AS statement FROM best WHERE "rank" = 1
-UNION ALL SELECT 1, 'Suggested task: ' || task_type || '.' FROM best WHERE "rank" = 1
-UNION ALL SELECT 2, 'Look at the rejected columns before training.' FROM best WHERE "rank" = 1"""
+    + """SELECT 0::INTEGER AS position, 'target=' || "column" AS statement FROM best WHERE "rank" = 1
+UNION ALL SELECT 1, 'score=' || score || '/100' FROM best WHERE "rank" = 1
+UNION ALL SELECT 2, 'task=' || task_type FROM best WHERE "rank" = 1"""
 )
 def target_statements(spark, folder):
     return target_summary(recommend_targets(table(spark, folder, "part"), "business"))
@@ -108,7 +110,7 @@ def leakage_evidence(spark, folder):
     return target_evidence(_items(spark, folder), "gross")
 
 
-def _formula_sql(columns: list[str], target: str, source: str) -> str:
+def _formula_sql(columns: list[str], target: str) -> str:
     parts = []
     pair = 0
     for i, a in enumerate(columns):
@@ -122,56 +124,72 @@ def _formula_sql(columns: list[str], target: str, source: str) -> str:
                     f"FROM (SELECT {target} AS t, {expr} AS v FROM src)"
                 )
             pair += 1
-    return f"WITH src AS {source} " + " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
 
 
-@query(_formula_sql(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "copy_of_gross"], "gross", _ITEMS))
+_ITEM_FORMULAS = _formula_sql(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "copy_of_gross"], "gross")
+
+
+@query(f"WITH src AS {_ITEMS} {_ITEM_FORMULAS}")
 def leakage_formulas(spark, folder):
     found = formula_matches(_items(spark, folder), "gross")
     return found.withColumn("match_share", F.round("match_share", 4))
 
 
-_FINDINGS = f"""WITH src AS {_ITEMS},
-ev AS ({_EVIDENCE}),
-planted AS (SELECT count_if(abs(gross - l_quantity * l_extendedprice) / greatest(abs(gross), 1) < 0.01) / count(*) AS share FROM src),
-found AS (SELECT 'l_linestatus' AS feature, 'target_like_feature_name' AS type, 'High' AS severity
-UNION ALL SELECT "column", 'identifier_feature', 'Medium' FROM ev WHERE "column" = 'gross_text' AND
-(SELECT count(DISTINCT gross_text) / count(*) FROM src) > 0.95
-UNION ALL SELECT "column", 'duplicate_target', 'Critical' FROM ev WHERE same
-UNION ALL SELECT "column", 'high_correlation', 'High' FROM ev WHERE abs(correlation) >= 0.95
-UNION ALL SELECT 'l_quantity * l_extendedprice', 'arithmetic_leakage', 'High' FROM planted WHERE share >= 0.85
-UNION ALL SELECT f || ' copy_of_gross', 'arithmetic_leakage', 'High' FROM (
-  SELECT unnest(['l_discount +', 'l_tax +']) AS f)
-UNION ALL SELECT 'copy_of_gross - ' || f, 'arithmetic_leakage', 'High' FROM (
-  SELECT unnest(['l_discount', 'l_tax']) AS f)
-UNION ALL SELECT 'l_quantity + copy_of_gross', 'arithmetic_leakage', 'High' FROM (SELECT avg((abs(gross - (l_quantity + copy_of_gross)) / greatest(abs(gross), 1) < 0.01)::INT) AS s FROM src) WHERE s >= 0.85
-UNION ALL SELECT 'copy_of_gross - l_quantity', 'arithmetic_leakage', 'High' FROM (SELECT avg((abs(gross - (copy_of_gross - l_quantity)) / greatest(abs(gross), 1) < 0.01)::INT) AS s FROM src) WHERE s >= 0.85)
+def _findings_sql(source: str, columns: list[str], texts: list[str], evidence: str, formulas: str | None) -> str:
+    """Findings by the rules, from the data: ``feature, type, severity, evidence``."""
+    identifier, outcome = "|".join(IDENTIFIER_WORDS), "|".join(OUTCOME_NAME_WORDS)
+    distinct = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS dist, count(*) AS n, {str(c in texts).lower()} AS is_text FROM src" for c in columns
+    )
+    matches = "" if formulas is None else """
+UNION ALL SELECT formula, 'arithmetic_leakage', 'High', printf('%.2f%% of rows match within 1%%', share * 100)
+FROM (SELECT formula, valid, matched / valid AS share FROM fm WHERE valid >= 10) WHERE share >= 0.85"""
+    return f"""WITH src AS {source}, ev AS ({evidence}), dc AS ({distinct}){f", fm AS ({formulas})" if formulas else ""},
+found AS (SELECT "column" AS feature, 'identifier_feature' AS type, 'Medium' AS severity, dist || ' distinct values in ' || n || ' rows' AS evidence
+FROM dc WHERE regexp_matches(lower("column"), '{identifier}') OR (is_text AND dist / n > 0.95)
+UNION ALL SELECT "column", 'target_like_feature_name', 'High', 'the name speaks of an outcome' FROM dc WHERE regexp_matches(lower("column"), '{outcome}')
+UNION ALL SELECT "column", 'duplicate_target', 'Critical', 'all values equal the target''s' FROM ev WHERE same
+UNION ALL SELECT "column", 'high_correlation', 'High', 'correlation ' || correlation FROM ev WHERE abs(correlation) >= 0.95{matches}),
+scored AS (SELECT count(*) AS findings,
+least(100, coalesce(sum(CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 ELSE 5 END), 0))::BIGINT AS risk_score FROM found),
+risk AS (SELECT *, CASE WHEN risk_score >= 70 THEN 'Critical' WHEN risk_score >= 40 THEN 'High' WHEN risk_score >= 20 THEN 'Medium' ELSE 'Low' END AS risk_level FROM scored)
 """
 
 
+_FINDINGS = _findings_sql(
+    _ITEMS, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "copy_of_gross", "gross_text"],
+    ["l_returnflag", "l_linestatus", "gross_text"], _EVIDENCE, _ITEM_FORMULAS,
+)
+
+
 @query(_FINDINGS + "SELECT * FROM found")
 def leakage_checks(spark, folder):
-    return leakage_findings(_items(spark, folder), "gross").select("feature", "type", "severity")
+    return leakage_findings(_items(spark, folder), "gross").select("feature", "type", "severity", "evidence")
 
 
-@query(
-    _FINDINGS
-    + """, scored AS (SELECT count(*) AS findings,
-least(100, sum(CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 ELSE 5 END))::BIGINT AS risk_score FROM found)
-SELECT findings, risk_score, CASE WHEN risk_score >= 70 THEN 'Critical' WHEN risk_score >= 40 THEN 'High'
-WHEN risk_score >= 20 THEN 'Medium' ELSE 'Low' END AS risk_level FROM scored"""
-)
+@query(_FINDINGS + "SELECT findings, risk_score, risk_level FROM risk")
 def leakage_score(spark, folder):
     return leakage_risk(leakage_findings(_items(spark, folder), "gross", distinct="sketch"))
 
 
+_LABEL_COLUMNS = ["doc_id", "lang", "source", "n_chars", "toxic", "is_toxic"]
+_LABEL_EVIDENCE = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {f'bool_and({c} IS NOT DISTINCT FROM quality)' if c == 'toxic' else 'false'} AS same, {corr} AS correlation FROM src"
+    for c, corr in [
+        ("doc_id", "round(corr(doc_id, quality), 4)"), ("lang", "NULL::DOUBLE"), ("source", "NULL::DOUBLE"),
+        ("n_chars", "round(corr(n_chars, quality), 4)"), ("toxic", "round(corr(toxic, quality), 4)"), ("is_toxic", "round(corr(is_toxic::INT, quality), 4)"),
+    ]
+)
+
+
 @query(
-    f"""WITH src AS {LABELLED}, s AS (SELECT count(*) AS n, abs(corr(doc_id, quality)) AS c1, abs(corr(n_chars, quality)) AS c2,
-abs(corr(toxic, quality)) AS c3 FROM src),
-f AS (SELECT n, 1 + (c1 >= 0.95)::INT + (c2 >= 0.95)::INT + 2 * (c3 >= 0.95)::INT AS k FROM s)
-SELECT 'quality' AS target, n AS rows_checked, 7::INTEGER AS columns_checked,
-least(100, 10 + 25 * (k - 1))::BIGINT AS risk_score, k::BIGINT AS findings FROM f"""
+    _findings_sql(LABELLED, _LABEL_COLUMNS, ["lang", "source"], _LABEL_EVIDENCE, _formula_sql(["doc_id", "n_chars", "toxic"], "quality"))
+    + """SELECT 'quality' AS target, (SELECT count(*) FROM src) AS rows_checked, 7::INTEGER AS columns_checked, risk_score, risk_level, findings,
+'level=' || risk_level || ' score=' || risk_score || '/100 findings=' || findings || ' trust='
+|| CASE WHEN risk_score >= 40 THEN 'low' WHEN risk_score >= 20 THEN 'after review' ELSE 'as measured' END AS summary,
+CASE WHEN (SELECT count(*) FROM src) < 20 THEN 'rows<20' ELSE '' END AS warnings FROM risk"""
 )
 def leakage_overview(spark, folder):
     report = leakage_report(labelled_documents(spark, folder), "quality")
-    return report.select("target", "rows_checked", "columns_checked", "risk_score", "findings")
+    return report.withColumn("summary", F.array_join("summary", " ")).withColumn("warnings", F.array_join("warnings", " "))

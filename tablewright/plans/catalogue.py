@@ -16,6 +16,7 @@ from tablewright.operators.registry import (
     dataset_ids,
     experiments_of_model,
     first_versions,
+    get_dataset,
     latest_versions,
     lineage,
     list_experiments,
@@ -26,8 +27,10 @@ from tablewright.operators.registry import (
     production_models,
 )
 from tablewright.operators.report import report_tables
+from tablewright.operators.scoring import external_metrics, preview, score
 from tablewright.operators.summary import categorical_summary, numeric_summary
 from tablewright.operators.targets import recommend_targets
+from tablewright.operators.training import compare_models, train
 from tablewright.plans.registry import query, table
 
 
@@ -224,11 +227,28 @@ def runs_of_model(spark, folder):
 
 @query()
 def report_frame(spark, folder):
+    """All sections: facts, advice, a trained model, a comparison, leakage, scores and their metrics."""
     part = table(spark, folder, "part")
     quality, classes = table_quality(part), column_classes(part)
     numeric, categorical = numeric_summary(part), categorical_summary(part)
     findings = leakage_findings(part, "p_retailprice")
+    trained = train(part, "p_retailprice", "ridge", key=["p_partkey"])
+    scored = score(trained.model, part)
     return report_tables(
         quality, classes, dataset_facts(quality, classes), domain_insights("business", numeric, categorical, quality),
-        recommend_targets(part), leakage=leakage_report(part, "p_retailprice", findings), findings=findings,
+        recommend_targets(part), training=trained, leaderboard=compare_models(part, "p_retailprice", key=["p_partkey"]),
+        leakage=leakage_report(part, "p_retailprice", findings), findings=findings,
+        scored_preview=preview(scored, ["p_partkey"]), external=external_metrics(trained.model, scored), preview_order=["p_partkey"],
     )
+
+
+@query(
+    """WITH u AS (SELECT sha256("text") AS content_hash, doc_id FROM documents),
+f AS (SELECT content_hash, min(doc_id) AS doc_id FROM u GROUP BY content_hash),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id, content_hash) AS id FROM f)
+SELECT id, content_hash, printf('doc-%010d', doc_id) AS original_filename FROM r WHERE id = 3"""
+)
+def registered_dataset(spark, folder):
+    """One dataset by its id."""
+    known = spark.createDataFrame([], DATASET_SCHEMA)
+    return get_dataset(new_datasets(known, _uploads(spark, folder)), 3).select("id", "content_hash", "original_filename")

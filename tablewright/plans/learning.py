@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,18 +14,19 @@ from tablewright.operators.metrics import (
     evaluate_predictions,
     regression_metrics,
 )
-from tablewright.operators.models import LIGHT, fit_model
+from tablewright.operators.models import fit_model
 from tablewright.operators.neighbours import average, nearest, vote
 from tablewright.operators.prepare import (
+    FEATURES,
     LABEL,
     fit_categories,
     fit_features,
     fit_numeric,
     prepare,
 )
-from tablewright.operators.scoring import external_metrics, preview, score
+from tablewright.operators.scoring import external_confusion, external_metrics, preview, score
 from tablewright.operators.split import IS_TEST, assign_split
-from tablewright.operators.training import compare_models, explain_model, recommend_model, train
+from tablewright.operators.training import compare_models, comparison_result, explain_model, recommend_model, train
 from tablewright.plans.registry import LABELLED, facts_sql, labelled_documents, query, table
 from tablewright.session import shared_folder
 from tablewright.sources.models import load_model, save_model
@@ -272,84 +275,241 @@ def neighbour_average(spark, folder):
     return average(nearest(rows, rows.drop("label"))).select("query_id", F.round("prediction", 4).alias("prediction"))
 
 
-# -- training, comparison, scoring (rows only: no SQL twin) -------------------------------
+@query(
+    """SELECT 'approximate' AS fidelity, count(*) AS queries, 5 * count(*) AS neighbours, true AS nine_tenths_found FROM embeddings"""
+)
+def neighbour_recall(spark, folder):
+    """Neighbours searched around two thirds of the centres, against the exact ones: these vectors
+    hardly form groups, so that fewer centres miss over a tenth."""
+    rows = _embedded(spark, folder)
+    probes = 2 * math.isqrt(rows.count()) // 3
+    exact = nearest(rows, rows.drop("label")).select("query_id", "neighbour_id")
+    found = nearest(rows, rows.drop("label"), shared_bytes=0, block_rows=100, probes=probes).select("query_id", "neighbour_id")
+    both = exact.withColumn("wanted", F.lit(1)).join(found.withColumn("got", F.lit(1)), ["query_id", "neighbour_id"], "full")
+    return both.agg(
+        F.lit("approximate").alias("fidelity"), F.count_distinct("query_id").alias("queries"), F.count("got").alias("neighbours"),
+        (F.count_if(F.col("wanted").isNotNull() & F.col("got").isNotNull()) >= 0.9 * F.count("wanted")).alias("nine_tenths_found"),
+    )
+
+
+# -- dictionaries too large to list ---------------------------------------------------
+
+
+def _order_texts(spark, folder):
+    return table(spark, folder, "lineitem").select("l_quantity", F.concat(F.lit("order "), "l_orderkey").alias("order"), "l_returnflag")
+
+
+@query(
+    """WITH k AS (SELECT 'order ' || l_orderkey AS o, l_returnflag AS f FROM lineitem),
+o AS (SELECT o, row_number() OVER (ORDER BY o) AS p FROM (SELECT DISTINCT o FROM k)),
+f AS (SELECT f, row_number() OVER (ORDER BY f) AS p FROM (SELECT DISTINCT f FROM k))
+SELECT o AS "order", 1 + o.p - 1 AS order_place, 1 + (SELECT count(*) FROM o) + f.p - 1 AS flag_place, count(*) AS n
+FROM k JOIN o USING (o) JOIN f USING (f) GROUP BY ALL"""
+)
+def wide_categories(spark, folder):
+    """One-hot places of a column with a category per order, numbered and looked up in a table."""
+    items = _order_texts(spark, folder)
+    fitted = fit_features(items, ["l_quantity"], ["order", "l_returnflag"], held=100)
+    # of the sparse vectors the places alone: the number's, the order's and the flag's
+    shaped = fitted.model.transform(items).select("order", F.from_json(F.to_json(F.struct(FEATURES)), f"`{FEATURES}` struct<indices: array<bigint>>")[FEATURES]["indices"].alias("at"))
+    return shaped.select("order", F.get("at", F.lit(1)).alias("order_place"), F.get("at", F.lit(2)).alias("flag_place")).groupBy(
+        "order", "order_place", "flag_place"
+    ).agg(F.count("*").alias("n"))
+
+
+_ITEM_KEY = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+def _many_classes(spark, folder):
+    items = table(spark, folder, "lineitem").select(*_ITEM_KEY, F.concat(F.lit("part "), "l_partkey").alias("part"))
+    return prepare(items, "part", _ITEM_KEY, held_classes=50)
+
+
+@query(_QUOTAS.format(label="'part ' || l_partkey", table="lineitem"))
+def many_class_split(spark, folder):
+    """As ``stratified_split``, with a class per part."""
+    done = _many_classes(spark, folder)
+    marked = assign_split(done.frame, 0.2, _ITEM_KEY, LABEL, done.class_count)
+    return marked.groupBy(F.col("part").alias("class")).agg(F.count("*").alias("rows"), F.count_if(F.col(IS_TEST)).alias("test_rows"))
+
+
+@query(
+    """SELECT 'part ' || l_partkey AS class, (dense_rank() OVER (ORDER BY 'part ' || l_partkey) - 1)::DOUBLE AS code, count(*) AS n
+FROM lineitem GROUP BY 1, l_partkey"""
+)
+def many_class_codes(spark, folder):
+    """A target with a class per part, numbered in a table."""
+    done = _many_classes(spark, folder)
+    return done.frame.groupBy(F.col("part").alias("class"), F.col(LABEL).alias("code")).agg(F.count("*").alias("n"))
+
+
+# -- training, comparison, scoring ----------------------------------------------------
+# twins state the sizes of the split and that a model beats the best constant guess
+
+
+def _measured(result, df, target):
+    """``algorithm, fidelity, train_rows, test_rows, beats_constant``."""
+    spark = df.sparkSession
+    row = result.metrics.first()
+    if result.model.task_type == "classification":
+        # the most frequent class is right as often as it occurs
+        most = df.filter(F.col(target).isNotNull()).groupBy(target).count().agg(F.max("count"), F.sum("count")).first()
+        better = row["accuracy"] > most[0] / most[1]
+    else:
+        better = row["r2_score"] > 0.0
+    about = result.model.metadata()
+    return spark.createDataFrame(
+        [(about["algorithm"], about["fidelity"], result.train_rows, result.test_rows, bool(better))],
+        "algorithm string, fidelity string, train_rows bigint, test_rows bigint, beats_constant boolean",
+    )
+
+
+def _trained_sql(algorithm, fidelity, source):
+    return f"""SELECT '{algorithm}' AS algorithm, '{fidelity}' AS fidelity, (n - ceil(n * 0.2))::BIGINT AS train_rows,
+ceil(n * 0.2)::BIGINT AS test_rows, true AS beats_constant FROM (SELECT count(*) AS n FROM {source})"""
 
 
 def _documents(spark, folder):
     return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").drop("toxic")
 
 
-def _trained(df, target, algorithm, key):
-    result = train(df, target, algorithm, key=key, settings=LIGHT)
-    about = df.sparkSession.createDataFrame([(algorithm, result.train_rows, result.test_rows)], "algorithm string, train_rows bigint, test_rows bigint")
-    return about.withColumn("_one", F.lit(1)).join(F.broadcast(result.metrics.withColumn("_one", F.lit(1))), "_one").drop("_one")
+_LABELLED_ROWS = "documents JOIN labels USING (doc_id)"
+
+
+def _long_documents(spark, folder):
+    """Labelled documents with a class that their length decides."""
+    return _documents(spark, folder).withColumn("size_class", F.when(F.col("n_chars") > 1500, "long").otherwise("short")).drop("quality")
+
 
+def _sized_parts(spark, folder):
+    """Parts with a class that holds on a middle range of sizes: no straight line finds it."""
+    part = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    return part.withColumn("middle", F.when(F.col("p_size").between(14, 37), "yes").otherwise("no"))
 
-@query()
+
+def _curved_parts(spark, folder):
+    """Parts with a number that rises and falls with their size."""
+    part = table(spark, folder, "part").select("p_partkey", "p_size", "p_brand")
+    return part.withColumn("bend", (F.col("p_size") - 25) * (F.col("p_size") - 25) / 100.0)
+
+
+@query(_trained_sql("logistic_regression", "exact", _LABELLED_ROWS))
 def trained_logistic(spark, folder):
-    return _trained(_documents(spark, folder), "quality", "logistic_regression", ["doc_id"])
+    frame = _long_documents(spark, folder)
+    return _measured(train(frame, "size_class", "logistic_regression", key=["doc_id"]), frame, "size_class")
 
 
-@query()
+@query(_trained_sql("decision_tree", "binned", "part"))
 def trained_tree(spark, folder):
-    return _trained(table(spark, folder, "part"), "p_retailprice", "decision_tree", ["p_partkey"])
+    frame = _curved_parts(spark, folder)
+    return _measured(train(frame, "bend", "decision_tree", key=["p_partkey"]), frame, "bend")
 
 
-@query()
+@query(_trained_sql("random_forest", "binned", "part"))
 def trained_forest(spark, folder):
-    return _trained(table(spark, folder, "part"), "p_retailprice", "random_forest", ["p_partkey"])
+    """All 120 trees, as deep as they go."""
+    frame = _curved_parts(spark, folder)
+    return _measured(train(frame, "bend", "random_forest", key=["p_partkey"]), frame, "bend")
 
 
-@query()
+@query(_trained_sql("extra_trees", "exact", "part"))
 def trained_extra_trees(spark, folder):
-    return _trained(_documents(spark, folder), "quality", "extra_trees", ["doc_id"])
+    frame = _sized_parts(spark, folder)
+    return _measured(train(frame, "middle", "extra_trees", key=["p_partkey"]), frame, "middle")
 
 
-@query()
+@query(_trained_sql("svm", "approximate", "part"))
 def trained_kernel_machine(spark, folder):
-    return _trained(_documents(spark, folder), "quality", "svm", ["doc_id"])
+    frame = _sized_parts(spark, folder)
+    return _measured(train(frame, "middle", "svm", key=["p_partkey"]), frame, "middle")
 
 
-@query()
+@query(_trained_sql("svm", "approximate", "part"))
 def trained_kernel_regression(spark, folder):
-    return _trained(table(spark, folder, "part"), "p_retailprice", "svm", ["p_partkey"])
+    frame = _curved_parts(spark, folder)
+    return _measured(train(frame, "bend", "svm", key=["p_partkey"]), frame, "bend")
 
 
-@query()
+@query(_trained_sql("knn", "exact", _LABELLED_ROWS))
 def trained_neighbours(spark, folder):
-    return _trained(_documents(spark, folder), "quality", "knn", ["doc_id"])
+    frame = _long_documents(spark, folder)
+    return _measured(train(frame, "size_class", "knn", key=["doc_id"]), frame, "size_class")
 
 
-@query()
+@query(_trained_sql("ridge", "exact", "lineitem"))
 def trained_ridge(spark, folder):
-    return _trained(table(spark, folder, "lineitem").drop("l_shipdate"), "l_extendedprice", "ridge", None)
+    """All columns, the ship date's days as categories among them."""
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) + 10 * F.col("l_quantity")
+    frame = table(spark, folder, "lineitem").withColumn("charge", charge)
+    return _measured(train(frame, "charge", "ridge"), frame, "charge")
 
 
-@query()
+@query("SELECT 'numeric__p_size' AS feature, true AS first, true AS adds_up")
 def forest_importance(spark, folder):
-    return train(_documents(spark, folder), "quality", "random_forest", key=["doc_id"], settings=LIGHT).importance
+    found = train(_sized_parts(spark, folder), "middle", "random_forest", key=["p_partkey"]).importance
+    return found.agg(
+        F.max_by("feature", "importance").alias("feature"), (F.min_by("rank", -F.col("importance")) == 1).alias("first"),
+        F.sum("importance").between(0.9, 1.01).alias("adds_up"),
+    )
+
+
+def _board_sql(names, source):
+    listed = ", ".join(f"('{name}', '{fidelity}')" for name, fidelity in names)
+    return f"""SELECT name AS algorithm, kind AS fidelity, NULL::VARCHAR AS error, n AS "rows", (n - ceil(n * 0.2))::BIGINT AS train_rows,
+ceil(n * 0.2)::BIGINT AS test_rows FROM (VALUES {listed}) AS t(name, kind) CROSS JOIN (SELECT count(*) AS n FROM {source})"""
 
 
-@query()
+_FAMILIES = [("decision_tree", "binned"), ("random_forest", "binned"), ("extra_trees", "exact")]
+
+
+@query(_board_sql([("logistic_regression", "exact"), *_FAMILIES], _LABELLED_ROWS))
 def model_leaderboard(spark, folder):
-    return compare_models(_documents(spark, folder), "quality", key=["doc_id"], max_rows=None).drop("metrics")
+    return compare_models(_documents(spark, folder), "quality", key=["doc_id"]).drop("metrics", "rank", "score")
 
 
-@query()
+@query(_board_sql([("linear_regression", "exact"), ("ridge", "exact"), *_FAMILIES], "part"))
 def regression_leaderboard(spark, folder):
-    return compare_models(table(spark, folder, "part"), "p_retailprice", key=["p_partkey"], max_rows=None).drop("metrics")
+    return compare_models(table(spark, folder, "part"), "p_retailprice", key=["p_partkey"]).drop("metrics", "rank", "score")
+
+
+@query("SELECT true AS best_is_a_tree, 'r2_score' AS ranked_by, true AS well_fitted, CASE WHEN count(*) < 100 THEN 1 ELSE 0 END AS warnings FROM part")
+def comparison_summary(spark, folder):
+    """A target that only trees can follow."""
+    board = compare_models(_curved_parts(spark, folder), "bend", key=["p_partkey"])
+    return comparison_result(board, "regression").select(
+        F.col("best").isin([name for name, _ in _FAMILIES]).alias("best_is_a_tree"), "ranked_by",
+        (F.col("score") > 0.9).alias("well_fitted"), F.size("warnings").alias("warnings"),
+    )
 
 
-@query()
+@query("SELECT doc_id, true AS scored, true AS right_if_clear FROM documents")
 def batch_scores(spark, folder):
-    """Train on labelled documents, save, load, score all documents."""
-    result = train(_documents(spark, folder).drop("text"), "quality", "logistic_regression", key=["doc_id"])
+    """Train on labelled documents, save, load, score all documents; those far from the limit are
+    to be right."""
+    result = train(_long_documents(spark, folder), "size_class", "logistic_regression", key=["doc_id"])
     path = save_model(spark, result.model, f"{shared_folder(spark)}/models")
-    return score(load_model(spark, path), table(spark, folder, "documents").drop("text"))
+    scored = score(load_model(spark, path), table(spark, folder, "documents"))
+    guess = F.col("predicted_size_class")
+    clear = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") > 6000, "long").otherwise(guess)
+    return scored.select("doc_id", guess.isin("long", "short").alias("scored"), (guess == clear).alias("right_if_clear"))
+
 
+def _tree_scores(spark, folder):
+    frame = _sized_parts(spark, folder)
+    result = train(frame, "middle", "decision_tree", key=["p_partkey"])
+    return result.model, score(result.model, frame)
 
-@query()
+
+@query("SELECT count(*) AS \"rows\", 0::BIGINT AS skipped, true AS well_fitted FROM part")
 def scored_metrics(spark, folder):
-    frame = _documents(spark, folder).drop("text")
-    result = train(frame, "quality", "decision_tree", key=["doc_id"], settings=LIGHT)
-    return external_metrics(result.model, score(result.model, frame))
+    found = external_metrics(*_tree_scores(spark, folder))
+    return found.select("rows", "skipped", (F.least("accuracy", "f1_weighted") > 0.9).alias("well_fitted"))
+
+
+@query(
+    """SELECT CASE WHEN p_size BETWEEN 14 AND 37 THEN 'yes' ELSE 'no' END AS actual, count(*) AS n, true AS mostly_right FROM part GROUP BY 1"""
+)
+def external_confusion_rows(spark, folder):
+    counts = external_confusion(*_tree_scores(spark, folder))
+    right = F.coalesce(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))), F.lit(0))
+    return counts.groupBy("actual").agg(F.sum("n").alias("n"), (right > 0.9 * F.sum("n")).alias("mostly_right"))
