@@ -56,7 +56,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix", mixing_stage),
 ]
 
-#: language scores, search and tilts are not for SQL; tests hold the stages against plain loops
+#: language scores, search and tilts are not for SQL; tests hold near copies, redactions, best paths,
+#: the search and what the mix takes against plain loops
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +58,12 @@ def pair_correlations(values: DataFrame, pairs: Iterable[tuple[str, str]]) -> di
     constant = [seen[f"lo{i}"] is None or seen[f"lo{i}"] == seen[f"hi{i}"] for i in range(len(names))]
     wanted = np.unique([sorted((index[a], index[b])) for a, b in pairs], axis=0)
     folded = values.select(*[col(n).alias(f"v{i}") for i, n in enumerate(names)]).mapInPandas(
-        _fold(means, wanted), "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)
+        _fold(means, wanted), "part int, i int, j int, " + ", ".join(f"{c} double" for c in SUMS)
     )
-    sums = {(r["i"], r["j"]): r for r in folded.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()}
+    # first what a share of the tasks found of a pair, then those: no task meets all tasks' rows
+    for key in (["part", "i", "j"], ["i", "j"]):
+        folded = folded.groupBy(*key).agg(*[F.sum(c).alias(c) for c in SUMS])
+    sums = {(r["i"], r["j"]): r for r in folded.collect()}
     out = {}
     for a, b in pairs:
         i, j = index[a], index[b]
@@ -68,6 +72,8 @@ def pair_correlations(values: DataFrame, pairs: Iterable[tuple[str, str]]) -> di
     return out
 
 
+#: shares of the tasks whose sums are added up first
+PARTS = 32
 SUMS = ["n", "unbounded", "x", "y", "xx", "yy", "xy"]
 
 
@@ -94,7 +100,7 @@ def _fold(means: np.ndarray, wanted: np.ndarray):
             i, j = wanted[:, 0], wanted[:, 1]
             yield pd.DataFrame(
                 {
-                    "i": i, "j": j, "n": total["n"][i, j], "unbounded": total["unbounded"][i, j],
+                    "part": TaskContext.get().partitionId() % PARTS, "i": i, "j": j, "n": total["n"][i, j], "unbounded": total["unbounded"][i, j],
                     "x": total["x"][i, j], "y": total["x"][j, i], "xx": total["xx"][i, j], "yy": total["xx"][j, i],
                     "xy": total["xy"][i, j],
                 }
