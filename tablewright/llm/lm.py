@@ -1,444 +1,411 @@
 """Log-probabilities of texts from a weighted backoff automaton.
 
 The model is a hierarchy of smoothed n-grams, each interpolated with the next lower one by
-absolute discounting, so that probabilities sum to one:
-
-- a word (or the end) after the word before it, from the counts of all adjacent training words;
-- a word by itself, from the counts of all training tokens, what is taken off all of them
-  being the probability of the unknown word;
-- how an unknown word is spelled, byte by byte, each after up to three others: an automaton
-  over bytes, learned from every distinct training word. It is given beside the score.
-
-Counted n-grams are arcs that hold their interpolated log-probability. Where a state has no
-arc for what comes next its failure arc is taken, which costs the state's backoff weight and
-leads to the next shorter history. A text is read once from left to right; the state is
-carried along and the log-probabilities are added up, the end of the text being a token.
-
-Every count is one of the whole training corpus, taken by Spark. What a task holds is
-bounded: arcs between the ``STATES`` most frequent words are at most ``STATES`` squared,
-``FREQUENT`` words have their log-probabilities and backoff weights at hand, and the byte
-automaton keeps its ``SPELLINGS`` most frequent n-grams (rarer ones back off). All other words
-and arcs are rows of tables that grow with the corpus, and those of a text are looked up by
-joins, so that no word and no pair is cut off. An arc's row holds what taking it adds to the
-failure arc's log-probability. Words that are not frequent are named in arcs by 63 bits of hash.
+absolute discounting, so that probabilities sum to one: a word (or the end) after the word
+before it, and a word by itself, what is taken off all words being the probability of the
+unknown word. A state is the word before; every counted pair is an arc that holds its
+interpolated log-probability, and where a state has no arc for what comes next its failure
+arc is taken, which costs the state's backoff weight and leads to the empty history. A text
+is read once from left to right, its end being a token; log-probabilities are added up.
+
+Every word and every pair of adjacent words of the training texts is counted, however rare.
+Texts are read once into chunks, as numbers of the chunk's own words. A chunk asks for the
+counts it needs: it deals its distinct words and pairs, with its own counts of them, by hash
+into ranges, as sorted packed arrays. The arrays of a range are merged, which counts its
+words, pairs and what follows each word, and each chunk is sent the totals of what it asked
+for, in the same order. With these the chunk builds the part of the automaton that its texts
+can reach, and scores them. So the corpus is shuffled once as words and pairs, already
+counted per chunk, and once as chunks; no task holds more than a chunk or a range.
+
+Pairs go to the range of their first word, so that what follows a word is counted in one
+place; first words of more than a ``HOT``-th of all tokens are dealt by the whole pair and
+their few counts are added up apart. Words are told apart by 64 bits of hash, words after
+one and the same word by 48 bits.
 
 Defined results: a null text is empty and has the end token alone; texts are scored whole;
 rows with equal ids are scored each for itself; a null id is neither held out nor learned
-from; without training rows every count is zero; other columns are ignored; an empty table
-gives an empty result.
+from; without training rows every count is zero and every score 0; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import remainder, stored, text_of
-from tablewright.llm.neardup import AT_ONCE, _long_hashes, _mixed, _word_hashes
 
-STATES, FREQUENT, SPELLINGS = 1024, 200_000, 300_000
 DISCOUNT = 0.75
-LONGEST = 4
-#: distinct words counted in a task before they are handed on
-COUNTED = 1_000_000
-#: pairs of words counted in a task before they are handed on
-PAIRED = 2_000_000
-#: places of frequent words have fewer bits
-PLACE_BITS = 20
-#: bins to a factor of two by which the threshold of frequent words is found
-BINS = 64
-#: a byte string is spelled between these; white space is in no word
-EDGE = b" "
-
-
-def word_codes(raw: bytes) -> np.ndarray:
-    """A negative integer for each word of a lower-cased text, by hash."""
-    found = _long_hashes(raw) if len(raw) > AT_ONCE else _word_hashes(raw)[0]
-    return (found | np.uint64(1 << 63)).view("i8")
-
-
-def arc_keys(history: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """One integer for a pair of words, each a place or a code."""
-    near = (history << PLACE_BITS) | follows
-    mixed = _mixed(history.view("u8") * np.uint64(0x9E3779B97F4A7C15) ^ follows.view("u8")) | np.uint64(1 << 63)
-    return np.where((history >= 0) & (follows >= 0), near, mixed.view("i8"))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): occurrences in training texts; words of other texts with 0."""
-    seen: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        words = pa.array(list(seen), pa.binary())
-        counts = pa.array(list(seen.values()), pa.int64())
-        seen.clear()
-        return pa.RecordBatch.from_arrays([words, counts], ["word", "n"])
-
-    for batch in batches:
-        for text, learn in zip(batch.column(0), batch.column(1)):
-            words = text.as_py().lower().split()
-            if learn.as_py():
-                seen.update(words)
-            else:
-                for word in words:
-                    if word not in seen:
-                        seen[word] = 0
-            if len(seen) > COUNTED:
-                yield flush()
-    if seen:
-        yield flush()
-
-
-def _count_spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(size, gram, n): n-grams of up to ``LONGEST`` bytes of the words, each framed by edges.
-    A gram is one integer; an edge may begin it but is not counted as what comes next first."""
-    for batch in batches:
-        framed = EDGE + (EDGE + EDGE).join(w.as_py() for w in batch.column(0)) + EDGE
-        raw = np.frombuffer(framed, "u1").astype("i8")
-        begins = np.zeros(len(raw), bool)
-        begins[0] = True
-        double = np.flatnonzero((raw[1:] == 32) & (raw[:-1] == 32)) + 1
-        begins[double] = True
-        since = np.arange(len(raw)) - np.maximum.accumulate(np.where(begins, np.arange(len(raw)), 0))
-        sizes, grams, counts = [], [], []
-        value = np.zeros(len(raw), "i8")
-        for size in range(1, LONGEST + 1):
-            value[size - 1 :] |= raw[: len(raw) - size + 1] << (8 * (size - 1))
-            # ends after the beginning edge, and starts at it or later
-            ok = (since >= 1) & (since >= size - 1)
-            found, n = np.unique(value[ok], return_counts=True)
-            sizes.append(np.full(len(found), size))
-            grams.append(found)
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x), pa.int64()) for x in (sizes, grams, counts)], ["size", "gram", "n"]
-        )
+#: tokens of a chunk, tokens of the corpus per range, bytes of a text read together
+CHUNK, RANGE, AT_ONCE = 1 << 20, 1 << 19, 1 << 22
+#: first words with a larger share of all tokens than one in so many have their pairs dealt out
+HOT = 2000
+#: most frequent words of a chunk among which hot ones are looked for
+LOOKED = 256
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hash(word: bytes) -> int:
+    """The end of a text is the empty word."""
+    return xxhash.xxh3_64_intdigest(word)
 
 
-class Spelling:
-    """Backoff automaton over bytes: ``arcs`` by history and byte, ``failure`` by history."""
-
-    def __init__(self, counts: dict[bytes, int]):
-        uniform = 1 / 256
-        totals: Counter[bytes] = Counter()
-        followers: Counter[bytes] = Counter()
-        for gram, n in counts.items():
-            totals[gram[:-1]] += n
-            followers[gram[:-1]] += 1
-        weight = {h: DISCOUNT * followers[h] / totals[h] for h in totals}
-        chance: dict[bytes, float] = {}
-        for byte in range(256):
-            one = bytes([byte])
-            own = max(counts.get(one, 0) - DISCOUNT, 0) / totals[b""] if totals[b""] else 0.0
-            chance[one] = own + weight.get(b"", 1.0) * uniform
-        for gram in sorted((g for g in counts if len(g) > 1), key=len):
-            lower, factor = gram[1:], weight[gram[:-1]]
-            while lower not in chance:
-                factor *= weight.get(lower[:-1], 1.0)
-                lower = lower[1:]
-            chance[gram] = (counts[gram] - DISCOUNT) / totals[gram[:-1]] + factor * chance[lower]
-        self.arcs = {g: math.log10(p) for g, p in chance.items()}
-        self.failure = {h: math.log10(w) for h, w in weight.items() if h}
-
-    def score(self, word: bytes) -> float:
-        state, total = EDGE, 0.0
-        arcs, failure = self.arcs, self.failure
-        for k in range(len(word) + 1):
-            gram = state + (word[k : k + 1] or EDGE)
-            while gram not in arcs:
-                total += failure.get(gram[:-1], 0.0)
-                gram = gram[1:]
-            total += arcs[gram]
-            state = gram[1 - LONGEST :]
-        return total
-
-
-class Model:
-    """Totals, frequent words and arcs; ``chance`` is a word's log-probability by itself."""
-
-    def __init__(self, tokens: int, kinds: int, ends: int, spelling: Spelling):
-        self.tokens, self.kinds, self.ends, self.spelling = tokens, kinds, ends, spelling
-        self.lower = math.log10(DISCOUNT * kinds / tokens) if tokens else 0.0
-
-    def base(self, count: int) -> float:
-        return math.log10((count + 1) / (self.tokens + self.kinds + 1))
-
-    def chance(self, count: int) -> float:
-        """Of a word by itself; what is taken off the counts is the unknown word's."""
-        return math.log10((count - DISCOUNT) / self.tokens) if count else self.lower
-
-    def with_words(self, words: list[tuple[bytes, int]]) -> None:
-        """The frequent words, most frequent first; the first are states."""
-        self.place = {w: i for i, (w, _) in enumerate(words)}
-        self.states = min(STATES, len(words))
-        self.counts = np.array([n for _, n in words] + [self.ends], "i8")
-        self.single = np.array([self.chance(n) for _, n in words] + [self.chance(self.ends)])
-        self.bases = np.array([self.base(n) for _, n in words] + [self.base(self.ends)])
-
-    def with_arcs(self, pairs: np.ndarray, n: np.ndarray, kinds: np.ndarray | None = None) -> None:
-        """Arcs between states: ``pairs`` are history times (states + 1) plus what follows, the
-        end of the text following as the last. ``kinds``: how many different words follow each
-        frequent word; without it the arcs given are taken for all there are."""
-        size = self.states + 1
-        history, follows = pairs // size, pairs % size
-        share = (n - DISCOUNT) / self.counts[history]
-        if kinds is None:
-            left = np.append(1 - np.bincount(history, share, self.states), np.ones(len(self.place) - self.states))
-        else:
-            left = DISCOUNT * kinds / self.counts[:-1]
-        left = np.maximum(left, 1e-12)
-        self.followers = kinds
-        self.failure = np.append(np.log10(left), 0.0)
-        single = np.append(self.single[: self.states], self.single[-1])
-        table = np.full(self.states * size, np.nan)
-        table[pairs] = np.log10(share + left[history] * 10 ** single[follows])
-        self.arcs = np.append(table.reshape(-1, size), np.full((1, size), np.nan), 0)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word and of the end; -1 for words that are not frequent."""
-        get = self.place.get
-        return np.array([*[get(w, -1) for w in words], len(self.single) - 1], "i4")
-
-    def between_states(self, history: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """Whether the model itself holds the arc, if there is one."""
-        state = (follows < self.states) | (follows == len(self.place))
-        return (history >= 0) & (history < self.states) & (follows >= 0) & state
-
-    def traverse(self, ids: np.ndarray) -> float:
-        """Of the text's frequent words and end, along arcs between states where there are some;
-        other words pay the failure arc of a frequent word before them, and a word that is not
-        frequent only that. What other arcs and words add is in their tables."""
-        last = len(self.single) - 1
-        state = np.where((ids[:-1] >= 0) & (ids[:-1] < self.states), ids[:-1], self.states)
-        state = np.concatenate([[self.states], state])
-        follows = np.where(ids == last, self.states, np.where((ids >= 0) & (ids < self.states), ids, -1))
-        arc = np.where(follows >= 0, self.arcs[state, follows], np.nan)
-        before = np.concatenate([[last], np.where(ids[:-1] >= 0, ids[:-1], last)])
-        alone = self.failure[before] + np.where(ids >= 0, self.single[ids], 0.0)
-        return float(np.where(np.isnan(arc), alone, arc).sum())
-
-
-def _counted(history: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs and how often each occurs."""
-    order = np.lexsort((follows, history))
-    history, follows = history[order], follows[order]
-    new = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (follows[1:] != follows[:-1])]))
-    return history[new], follows[new], np.diff(new, append=len(history))
-
-
-def _pairs(raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Histories and what follows them, the end as well, of a lower-cased text: places of
-    frequent words, codes of others."""
-    names = ids.astype("i8")
-    if (ids < 0).any():
-        names[:-1] = np.where(ids[:-1] >= 0, ids[:-1], word_codes(raw))
-    return names[:-1], names[1:]
-
-
-def _count_arcs(shared):
-    """(history, follows, n) of all adjacent words of training texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            found = _counted(*(np.concatenate(x) for x in zip(*waiting)))
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["history", "follows", "n"])
+# -- packed numbers -------------------------------------------------------------------
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts, mostly small: a byte each, 255 standing for one of the larger at the end."""
+    over = x[x >= 255].astype("<i8")
+    return np.array([len(x), len(over)], "<i8").tobytes() + np.minimum(x, 255).astype("u1").tobytes() + over.tobytes()
+
+
+class _Reader:
+    def __init__(self, data: bytes):
+        self.raw, self.at = np.frombuffer(data, "u1"), 0
+
+    def take(self, kind: str, many: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize * many
+        self.at += size
+        return self.raw[self.at - size : self.at].view(kind)
+
+    def small(self) -> np.ndarray:
+        many, over = self.take("<i8", 2).tolist()
+        out = self.take("u1", many).astype("i8")
+        out[out == 255] = self.take("<i8", over)
+        return out
+
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Numbers of words: two bytes each, 65,535 standing for one of the larger at the end."""
+    over = codes[codes >= 65535].astype("<u4")
+    return np.array([len(codes), len(over)], "<i8").tobytes() + np.minimum(codes, 65535).astype("<u2").tobytes() + over.tobytes()
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    reader = _Reader(data)
+    many, over = reader.take("<i8", 2).tolist()
+    out = reader.take("<u2", many).astype("i8")
+    out[out == 65535] = reader.take("<u4", over)
+    return out
+
+
+# -- chunks ---------------------------------------------------------------------------
+
+
+class _Texts:
+    """Texts of a chunk as numbers of words, and whether they are learned from."""
+
+    def __init__(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.numbers[b""]
+        self.parts: list[np.ndarray] = []
+        self.ids: list = []
+        self.learned: list[bool] = []
+        self.lengths: list[int] = []
+        self.size = 0
+
+    def add(self, name, learned: bool, text: bytes) -> None:
+        begin, number, size, text = 0, self.numbers, 1, text.lower()
+        while begin < len(text):
+            cut = _BLANK.search(text, begin + AT_ONCE)
+            end = cut.start() if cut else len(text)
+            self.parts.append(np.array([number[w] for w in text[begin:end].split()], "i4"))
+            size += len(self.parts[-1])
+            begin = end
+        self.parts.append(np.zeros(1, "i4"))
+        self.ids.append(name)
+        self.learned.append(learned)
+        self.lengths.append(size)
+        self.size += size
+
+    def row(self) -> list:
+        """Words are numbered anew, the most frequent first."""
+        codes = np.concatenate(self.parts)
+        times = np.bincount(codes, minlength=len(self.numbers))
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
+        hashes = np.fromiter(map(word_hash, self.numbers), "u8", len(order))[order]
+        top = min(LOOKED, len(order))
+        return [
+            [x or 0 for x in self.ids], [x is None for x in self.ids], self.learned, self.lengths, hashes.tobytes(), _pack_codes(place[codes]),
+            hashes[:top].view("i8").tolist(), times[order[:top]].tolist(), len(codes),
+        ]
+
+
+CHUNKS = pa.schema(
+    [
+        ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("unnamed", pa.list_(pa.bool_())), ("learned", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
+        ("hashes", pa.binary()), ("codes", pa.binary()), ("top", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("size", pa.int64()),
+    ]
+)
+
+
+def _chunks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, _Texts()
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([number, *held.row()], CHUNKS.types)], schema=CHUNKS)
 
         for batch in batches:
-            for text in batch.column(0):
-                raw = text.as_py().lower()
-                ids = model.ids(raw.split())
-                if len(ids) > 1:
-                    waiting.append(_pairs(raw, ids))
-                    size += len(ids) - 1
-                if size >= PAIRED:
-                    yield flush()
-                    size = 0
-        if waiting:
-            yield flush()
-
-    return count
-
-
-def _arc_table(shared, arcs: DataFrame, kinds: DataFrame, chances: DataFrame) -> DataFrame:
-    """(key, more): what the arcs that are not between states add to the log-probability of
-    their failure arcs. ``kinds`` (history, kinds) and ``chances`` (follows, chance) are of
-    words that are not frequent."""
-
-    @F.pandas_udf("double")
-    def kinds_at(place: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.followers[place.to_numpy("i8")].astype("f8"))
-
-    @F.pandas_udf("double")
-    def chance_at(place: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.single[place.to_numpy("i8")])
-
-    @F.pandas_udf("long")
-    def key(history: pd.Series, follows: pd.Series) -> pd.Series:
-        return pd.Series(arc_keys(history.to_numpy("i8"), follows.to_numpy("i8")))
-
-    columns = ["history", "follows", "n", "kinds"]
-    each = arcs.where("history >= 0").withColumn("kinds", kinds_at("history")).select(columns)
-    each = each.unionByName(arcs.where("history < 0").join(kinds, "history").select(columns))
-    near = each.where("follows >= 0").withColumn("chance", chance_at("follows")).select(*columns, "chance")
-    each = near.unionByName(each.where("follows < 0").join(chances, "follows").select(*columns, "chance"))
-    more = F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("kinds") * F.pow(F.lit(10.0), F.col("chance"))))
-    return each.select(key("history", "follows").alias("key"), more.alias("more"))
-
-
-def _words_table(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            words, counts, kinds = (batch.column(k).to_pylist() for k in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([n > 0 for n in counts]),
-                    pa.array([model.base(n) for n in counts], pa.float64()),
-                    pa.array([model.chance(n) for n in counts], pa.float64()),
-                    pa.array([math.log10(DISCOUNT * k / n) if n else 0.0 for n, k in zip(counts, kinds)], pa.float64()),
-                    pa.array([0.0 if n else model.spelling.score(w) for w, n in zip(words, counts)], pa.float64()),
-                ],
-                ["word", "known", "base", "chance", "failure", "spelling"],
-            )
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for name, learned, text in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    held.add(name, learned, text)
+                    if held.size >= size:
+                        yield given()
+                        number, held = number + 1, _Texts()
+        if held.ids:
+            yield given()
+
+    return run
+
+
+class _Asked:
+    """What a chunk asks for: its words and pairs, each with the range it goes to, in order of
+    range, first word's hash and following word's hash."""
+
+    def __init__(self, lengths: np.ndarray, learned: np.ndarray, hashes: np.ndarray, codes: np.ndarray, bits: int, hot: np.ndarray):
+        words = len(hashes)
+        self.codes = codes
+        ends = np.cumsum(lengths) - 1
+        self.learns = np.repeat(learned, lengths)
+        inner = np.ones(len(codes), bool)
+        inner[ends] = False
+        self.after = np.flatnonzero(inner)  # tokens that another follows
+        key = (codes[self.after].astype("u8") << np.uint64(32)) | codes[self.after + 1].astype("u8")
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "i8")
+        #: distinct pairs, their training counts, and of each token that another follows its pair
+        left, right = (key[first] >> np.uint64(32)).astype("i8"), (key[first] & np.uint64(0xFFFFFFFF)).astype("i8")
+        taught = self.learns[self.after][order].astype("i8")
+        counts = np.add.reduceat(taught, first) if len(first) else first
+        pair = np.empty(len(key), "i8")
+        pair[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
+
+        shift = np.uint64(64 - bits) if bits else None
+        ranged = lambda x: (x >> shift).astype("i8") if bits else np.zeros(len(x), "i8")
+        home = ranged(hashes)
+        is_hot = np.isin(hashes, hot)
+        mixed = (hashes[left] ^ (hashes[right] * _ODD)) * _ODD
+        where = np.where(is_hot[left], ranged(mixed ^ (mixed >> np.uint64(29))), home[left])
+        place = np.lexsort((hashes[right], hashes[left], where))
+        where, left, right, self.counts = where[place], left[place], right[place], counts[place]
+        self.pair = np.empty(len(place), "i8")
+        self.pair[place] = np.arange(len(place))
+        self.pair = self.pair[pair]
+        self.left, self.right = left, right
+
+        # heads: a chunk's words at home, and hot first words wherever their pairs go
+        new = np.concatenate([[True], (where[1:] != where[:-1]) | (left[1:] != left[:-1])]) if len(where) else np.zeros(0, bool)
+        head_range = np.concatenate([home, where[new]])
+        head_word = np.concatenate([np.arange(words), left[new]])
+        many = np.concatenate([np.zeros(words, "i8"), np.diff(np.flatnonzero(new), append=len(where))])
+        order = np.lexsort((many, hashes[head_word], head_range))
+        head_range, head_word, many = head_range[order], head_word[order], many[order]
+        same = np.concatenate([[False], (head_range[1:] == head_range[:-1]) & (head_word[1:] == head_word[:-1])])
+        keep = np.append(~same[1:], True)  # of a word that stands twice the one with its pairs
+        self.head_range, self.head_word, self.many = head_range[keep], head_word[keep], many[keep]
+        own = np.bincount(codes[self.learns], minlength=words)
+        self.own = np.where(self.head_range == home[self.head_word], own[self.head_word], 0)
+        self.head_hash, self.follow = hashes[self.head_word], hashes[right] >> np.uint64(16)
+        cuts = np.flatnonzero(np.diff(self.head_range, prepend=-1))
+        self.ranges = self.head_range[cuts].tolist()
+        self.cuts = np.append(cuts, len(self.head_range)).tolist()
+        self.pair_cuts = np.concatenate([[0], np.cumsum(self.many)])[self.cuts].tolist()
+
+    def data(self, k: int) -> bytes:
+        """What goes to the k-th of the chunk's ranges."""
+        a, b, p, q = self.cuts[k], self.cuts[k + 1], self.pair_cuts[k], self.pair_cuts[k + 1]
+        follow = self.follow[p:q].astype("<u8").view("u1").reshape(-1, 8)[:, :6]
+        return b"".join(
+            [
+                np.array([b - a, q - p], "<i8").tobytes(), self.head_hash[a:b].astype("<u8").tobytes(), np.ascontiguousarray(follow).tobytes(),
+                _small(self.own[a:b]), _small(self.many[a:b]), _small(self.counts[p:q]),
+            ]
+        )
 
-    return score
 
+def _asked(row, bits: int, hot: np.ndarray) -> _Asked:
+    return _Asked(np.array(row.lengths, "i8"), np.array(row.learned, bool), np.frombuffer(row.hashes, "u8"), _unpack_codes(row.codes), bits, hot)
 
-PARTIAL = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, arcs array<long>, taken array<int>"
 
+def _questions(bits: int, hot: np.ndarray):
+    """(range, chunk, data) of each chunk."""
 
-def _traversal(shared):
-    @F.pandas_udf(PARTIAL)
-    def traverse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for texts in batches:
-            out = []
-            for text in texts:
-                raw = text.lower()
-                words = raw.split()
-                ids = model.ids(words)
-                history, follows = _pairs(raw, ids)
-                far = ~model.between_states(history, follows)
-                arcs, taken = np.unique(arc_keys(history[far], follows[far]), return_counts=True)
-                mine = ids >= 0
-                rare = Counter([w for w, ok in zip(words, mine) if not ok]) if not mine.all() else {}
-                known = int((model.counts[ids[mine]] > 0).sum())
-                out.append((len(ids), known, float(model.bases[ids[mine]].sum()), model.traverse(ids), list(rare), list(rare.values()), arcs, taken.astype("i4")))
-            yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare", "times", "arcs", "taken"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                asked = _asked(row, bits, hot)
+                yield pd.DataFrame({"range": asked.ranges, "chunk": row.chunk, "data": [asked.data(k) for k in range(len(asked.ranges))]})
+
+    return run
+
+
+# -- ranges ---------------------------------------------------------------------------
+
+
+def _answers(bits: int, hot: np.ndarray):
+    """The questions of one range: per chunk the totals of what it asked for; without a chunk the
+    range's tokens and distinct words, and how many words follow each hot one here."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        number = int(group["range"].iloc[0])
+        heads, follows, owns, manies, counts = [], [], [], [], []
+        for data in group["data"]:
+            reader = _Reader(data)
+            many, pairs = reader.take("<i8", 2).tolist()
+            heads.append(reader.take("<u8", many))
+            six = np.zeros((pairs, 8), "u1")
+            six[:, :6] = reader.take("u1", 6 * pairs).reshape(-1, 6)
+            follows.append(six.view("<u8").ravel())
+            owns.append(reader.small())
+            manies.append(reader.small())
+            counts.append(reader.small())
+        head, follow, own, many, count = (np.concatenate(x) for x in (heads, follows, owns, manies, counts))
+        words, place = np.unique(head, return_inverse=True)
+        n = np.bincount(place, own, len(words)).astype("i8")
+        first = np.repeat(place, many)
+        order = np.lexsort((follow, first))
+        a, b = first[order], follow[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        total = np.add.reduceat(count[order], start) if len(start) else start
+        kinds = np.bincount(a[start][total > 0], minlength=len(words))
+        of_pair = np.empty(len(a), "i8")
+        of_pair[order] = np.cumsum(new) - 1
+        rows, h, p = [], 0, 0
+        for chunk, one, pairs in zip(group["chunk"], heads, follows):
+            mine = place[h : h + len(one)]
+            rows.append((number, chunk, _small(n[mine]) + _small(kinds[mine]) + _small(total[of_pair[p : p + len(pairs)]]), None, None, None, None))
+            h, p = h + len(one), p + len(pairs)
+        home = (words >> np.uint64(64 - bits)) == number if bits else np.ones(len(words), bool)
+        shared = np.isin(words, hot)
+        rows.append((number, None, None, int(n[home].sum()), int((n[home] > 0).sum()), words[shared].view("i8").tolist(), kinds[shared].tolist()))
+        out = pd.DataFrame(rows, columns=["range", "chunk", "data", "tokens", "distinct", "hot", "kinds"])
+        return out.astype({"chunk": "Int64", "tokens": "Int64", "distinct": "Int64"})
+
+    return run
+
+
+ANSWER = "range long, chunk long, data binary, tokens long, distinct long, hot array<long>, kinds array<long>"
+
+
+# -- the automaton --------------------------------------------------------------------
+
+
+class Automaton:
+    """The states and arcs that some texts can reach.
+
+    ``n``: training count of each word, ``kinds``: how many different words follow it, ``left``,
+    ``right``, ``pairs``: the words of each arc and its count (0: no arc).
+    """
+
+    def __init__(self, tokens: int, distinct: int, n: np.ndarray, kinds: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray):
+        self.known = n > 0
+        if not tokens:
+            self.base = self.single = np.zeros(len(n))
+            self.arc = np.zeros(len(left))
+            return
+        self.base = np.log10((n + 1) / (tokens + distinct + 1))
+        self.single = np.log10(np.where(self.known, n - DISCOUNT, DISCOUNT * distinct) / tokens)
+        # what is taken off a word's arcs; nothing is known to follow an unknown word
+        weight = np.where(self.known, DISCOUNT * kinds / np.maximum(n, 1), 1.0)
+        lower = weight[left] * 10 ** self.single[right]
+        own = np.where(pairs > 0, (pairs - DISCOUNT) / np.maximum(n[left], 1), 0.0)
+        # with an arc its interpolated probability, without one the failure arc and what follows
+        self.arc = np.log10(np.maximum(own + lower, 1e-300))
+
+    def steps(self, codes: np.ndarray, after: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Log-probability of each token: the first of a text by itself, others by an arc of the
+        token before (``after``: tokens that another follows, ``pair``: the arc taken)."""
+        out = self.single[codes]
+        out[after + 1] = self.arc[pair]
+        return out
+
+
+def _scores(bits: int, shared):
+    def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        tokens, distinct, hot, hot_kinds = shared.value
+        said = dict(zip(answers["range"], answers["data"]))
+        out = []
+        for row in chunk.itertuples():
+            asked = _asked(row, bits, hot)
+            read = [_Reader(said[r]) for r in asked.ranges]
+            parts = [(r.small(), r.small(), r.small()) for r in read]
+            n_head, kinds_head, pairs = (np.concatenate(x) for x in zip(*parts))
+            words = len(np.frombuffer(row.hashes, "u8"))
+            n, kinds = np.zeros(words, "i8"), np.zeros(words, "i8")
+            # a hot word has heads in several ranges: its count is at home, its kinds are added up
+            np.maximum.at(n, asked.head_word, n_head)
+            np.maximum.at(kinds, asked.head_word, kinds_head)
+            hashes = np.frombuffer(row.hashes, "u8")
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+                kinds = np.where(hot[at] == hashes, hot_kinds[at], kinds)
+            model = Automaton(tokens, distinct, n, kinds, asked.left, asked.right, pairs)
+            codes, lengths = asked.codes, np.array(row.lengths, "i8")
+            first = np.cumsum(lengths) - lengths
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": pd.Series(np.array(row.ids, "i8"), dtype="Int64").mask(np.array(row.unnamed, bool)), "learned": np.array(row.learned, bool), "n_tokens": lengths,
+                        "n_known": np.add.reduceat(model.known[codes].astype("i8"), first),
+                        "base_score": np.add.reduceat(model.base[codes], first),
+                        "score": np.add.reduceat(model.steps(codes, asked.after, asked.pair), first),
+                    }
+                )
+            )
+        return pd.concat(out)
 
-    return traverse
+    return run
 
 
-def fit_and_score(docs: DataFrame, learn: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def fit_and_score(docs: DataFrame, learn: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Learns from the rows whose column ``learn`` is true and scores all of them: ``doc_id``,
-    ``learned``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one counts),
+    ``learned``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one counts) and
     ``score`` (the automaton's log10 probability, all unknown words being one token, as in the
-    base) and ``spelling`` (log10 probability of how the unknown words are spelled)."""
+    base)."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(learn).alias("learned"), text_of(text).cast("binary").alias("text"))
-    words = stored(
-        texts.select("text", "learned").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    )
-    ends = texts.where("learned").count()
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tokens, kinds = total + ends, kinds + (ends > 0)
-
-    grams = words.where("n > 0").select("word").mapInArrow(_count_spellings, "size long, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    grams = stored(grams)
-    short = grams.where("size <= 2")
-    long = grams.where("size > 2").orderBy(F.desc("n"), "gram").limit(SPELLINGS)
-    counts = {int(g).to_bytes(int(s), "big"): int(n) for s, g, n in short.unionByName(long).toPandas().itertuples(index=False)}
-    model = Model(tokens, kinds, ends, Spelling(counts))
-
-    bin = F.floor(F.log2("n") * BINS)
-    sizes = words.where("n > 0").groupBy(bin.alias("bin")).count().orderBy(F.desc("bin")).collect()  # few bins
-    least, held = None, 0
-    for row in sizes:
-        held += row["count"]
-        if held > FREQUENT:
-            break
-        least = row["bin"]
-    if least is None:
-        model.with_words([])
-        rest = words
-    else:
-        top = words.where((F.col("n") > 0) & (bin >= least)).toPandas()
-        model.with_words(sorted(((bytes(w), int(n)) for w, n in zip(top["word"], top["n"])), key=lambda x: (-x[1], x[0])))
-        rest = words.where((F.col("n") == 0) | (bin < least))
-    shared = context.broadcast(model)
-    arcs = stored(
-        texts.where("learned").select("text").mapInArrow(_count_arcs(shared), "history long, follows long, n long")
-        .groupBy("history", "follows")
-        .agg(F.sum("n").alias("n"))
-    )
-    within = (F.col("history") >= 0) & (F.col("history") < model.states)
-    within &= ((F.col("follows") >= 0) & (F.col("follows") < model.states)) | (F.col("follows") == len(model.place))
-    dense = arcs.where(within).toPandas()  # at most STATES squared
-    followers = stored(arcs.groupBy("history").agg(F.count(F.lit(1)).alias("kinds")))
-    found = followers.where("history >= 0").toPandas()  # at most FREQUENT
-    kinds = np.zeros(len(model.place), "i8")
-    kinds[found["history"].to_numpy("i8")] = found["kinds"].to_numpy("i8")
-    pairs = dense["history"].to_numpy("i8") * (model.states + 1) + np.minimum(dense["follows"].to_numpy("i8"), model.states)
-    model.with_arcs(pairs, dense["n"].to_numpy("i8"), kinds)
-    shared = context.broadcast(model)
-
-    partial = stored(
-        texts.select("doc_id", "learned", _traversal(shared)("text").alias("p"))
-        .select("doc_id", "learned", "p.*")
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-
-    @F.pandas_udf("long")
-    def code(words: pd.Series) -> pd.Series:
-        return pd.Series(word_codes(b" ".join(words)) if len(words) else np.zeros(0, "i8"))
-
-    rare_kinds = followers.where("history < 0")
-    rest = rest.withColumn("code", code("word"))
-    each = rest.join(rare_kinds, F.col("code") == F.col("history"), "left").select("word", "n", F.coalesce("kinds", F.lit(0)).alias("kinds"), "code")
-    table = each.drop("code").mapInArrow(
-        _words_table(shared), "word binary, known boolean, base double, chance double, failure double, spelling double"
-    )
-    chances = rest.where("n > 0").select(F.col("code").alias("follows"), F.log10((F.col("n") - DISCOUNT) / float(max(tokens, 1))).alias("chance"))
-    far = _arc_table(shared, arcs.where(~within), rare_kinds, chances)
-    along = (
-        partial.select("row", F.explode(F.arrays_zip("arcs", "taken")).alias("a"))
-        .select("row", F.col("a.arcs").alias("key"), F.col("a.taken").alias("taken"))
-        .join(far, "key")
-        .groupBy("row")
-        .agg(F.sum(F.col("taken") * F.col("more")).alias("_more"))
-    )
-    looked = (
-        partial.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-        .select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-        .join(table, "word")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.col("base")).alias("_base"),
-            F.sum(F.col("times") * (F.col("chance") + F.col("failure"))).alias("_score"),
-            F.sum(F.col("times") * F.col("spelling")).alias("_spelling"),
-            F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("_known"),
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(learn).alias("learned"), text_of(text).cast("binary").alias("text"))
+    chunks = stored(
+        texts.mapInArrow(
+            _chunks(chunk),
+            "chunk long, ids array<long>, unnamed array<boolean>, learned array<boolean>, lengths array<int>, hashes binary, codes binary, top array<long>, times array<long>, size long",
         )
     )
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    known = partial.drop("rare", "times", "arcs", "taken").join(looked, "row", "left").join(along, "row", "left")
-    return known.select(
-        "doc_id", "learned", "n_tokens", plus("n_known", "_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        plus("base", "_base").alias("base_score"), (plus("score", "_score") + F.coalesce("_more", F.lit(0.0))).alias("score"),
-        F.coalesce("_spelling", F.lit(0.0)).alias("spelling"),
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = max(-(-size // RANGE) - 1, 0).bit_length()
+    most = chunks.select(F.explode(F.arrays_zip("top", "times")).alias("t")).groupBy("t.top").agg(F.sum("t.times").alias("n"))
+    hot = np.sort(np.array([r["top"] for r in most.where(F.col("n") > size / HOT).collect()], "i8").view("u8"))  # HOT at most
+
+    held = chunks.select("chunk", "ids", "unnamed", "learned", "lengths", "hashes", "codes")
+    sent = held.mapInPandas(_questions(bits, hot), "range long, chunk long, data binary")
+    answers = stored(sent.groupBy("range").applyInPandas(_answers(bits, hot), ANSWER))
+    facts = answers.where("chunk IS NULL")
+    tokens, distinct = facts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    found = facts.select(F.explode(F.arrays_zip("hot", "kinds")).alias("h")).groupBy("h.hot").agg(F.sum("h.kinds").alias("kinds"))
+    kinds = {r["hot"]: r["kinds"] for r in found.collect()}  # HOT at most
+    shared = context.broadcast((tokens, distinct, hot, np.array([kinds.get(h, 0) for h in hot.view("i8").tolist()], "i8")))
+    said = answers.where("chunk IS NOT NULL").select(F.col("chunk").alias("owner"), "range", "data")
+    scored = held.groupBy("chunk").cogroup(said.groupBy("owner")).applyInPandas(
+        _scores(bits, shared), "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
     )
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
 def lm_digest(docs: DataFrame) -> DataFrame:
@@ -446,6 +413,4 @@ def lm_digest(docs: DataFrame) -> DataFrame:
     fold = remainder(7)
     marked = docs.select("doc_id", "text", ((fold != 2) & (fold >= 0)).alias("learn"))
     scored = fit_and_score(marked, "learn")
-    return scored.select(
-        "doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelling"
-    )
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -221,27 +221,38 @@ def test_texts_that_share_an_id_are_decided_singly(spark):
 
 
 def test_probabilities_sum_to_one():
-    words = [(b"a", 9), (b"bb", 4), (b"c", 1)]
-    ends, total = 5, 19
-    model = lm.Model(total, 4, ends, lm.Spelling({b"a": 3, b"b": 2, b" ": 4, b" a": 3, b"a ": 3}))
-    model.with_words(words)
-    assert math.isclose(sum(10 ** x for x in model.single) + 10**model.lower, 1.0)
-    pairs = np.array([0 * 4 + 1, 0 * 4 + 3, 1 * 4 + 0])
-    model.with_arcs(pairs, np.array([4, 5, 3]))
-    for state in range(3):
-        known = [10 ** (model.arcs[state, k] if not np.isnan(model.arcs[state, k]) else model.failure[state] + s) for k, s in enumerate(model.single)]
-        assert math.isclose(sum(known) + 10 ** (model.failure[state] + model.lower), 1.0, rel_tol=1e-9)
-    text = [b"a", b"bb", b"zz", b"a"]
-    want = model.single[0] + model.arcs[0, 1] + model.failure[1] + model.single[0] + model.arcs[0, 3]
-    assert math.isclose(model.traverse(model.ids(text)), want)  # zz's own part comes from the table
-    spelled = model.spelling
-    follow = sum(10 ** spelled.arcs[bytes([b])] for b in range(256))
-    assert math.isclose(follow, 1.0, rel_tol=1e-9)
-
-
-def test_all_pairs_of_words_count(spark, monkeypatch):
-    monkeypatch.setattr(lm, "STATES", 2)
-    monkeypatch.setattr(lm, "FREQUENT", 12)
+    """Over all words and the unknown one, after every word."""
+    counts = {("a", "a"): 4, ("a", "b"): 1, ("a", "."): 2, ("b", "a"): 3, ("b", "c"): 1, ("c", "."): 2}
+    words = ["a", "b", "c", ".", "?"]  # the last is unknown
+    n = np.array([7, 4, 2, 5, 0])
+    kinds = np.array([3, 2, 1, 0, 0])
+    left, right = (x.ravel() for x in np.meshgrid(range(5), range(5), indexing="ij"))
+    pairs = np.array([counts.get((words[i], words[j]), 0) for i, j in zip(left, right)])
+    model = lm.Automaton(18, 4, n, kinds, left, right, pairs)
+    assert math.isclose((10**model.single).sum(), 1.0)
+    after = (10**model.arc).reshape(5, 5).sum(1)
+    assert np.allclose(after[[0, 1, 2, 4]], 1.0)  # nothing follows the end
+    codes = np.array([0, 1, 4, 0, 3])  # a b ? a .
+    arcs = model.arc.reshape(5, 5)
+    steps = model.steps(codes, np.arange(4), codes[:4] * 5 + codes[1:])
+    assert np.allclose(steps, [model.single[0], arcs[0, 1], arcs[1, 4], arcs[4, 0], arcs[0, 3]])
+    assert math.isclose(arcs[4, 0], model.single[0]) and arcs[0, 1] > model.single[1] + math.log10(0.75 * 3 / 7)
+
+
+def test_packed_numbers():
+    draw = random.Random(8)
+    for _ in range(50):
+        x = np.array([draw.choice([0, 1, 254, 255, 256, 65534, 65535, 65536, 10**9]) for _ in range(draw.randint(0, 40))], "i8")
+        assert (lm._unpack_codes(lm._pack_codes(x)) == x).all()
+        reader = lm._Reader(lm._small(x * 1000) + lm._small(x))
+        assert (reader.small() == x * 1000).all() and (reader.small() == x).all()
+
+
+@pytest.mark.parametrize("chunk,size,hot", [(1 << 21, 1 << 19, 2000), (100, 64, 20), (1, 16, 3)])
+def test_all_pairs_of_words_count(spark, monkeypatch, chunk, size, hot):
+    """In one chunk and range; in many, with words whose pairs are dealt out."""
+    monkeypatch.setattr(lm, "RANGE", size)
+    monkeypatch.setattr(lm, "HOT", hot)
     draw = random.Random(6)
     texts = [" ".join(f"w{min(int(draw.paretovariate(0.7)), 60)}" for _ in range(draw.randint(0, 40))) for _ in range(60)]
     docs = spark.createDataFrame([(i, x, i % 5 > 0) for i, x in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
@@ -261,8 +272,12 @@ def test_all_pairs_of_words_count(spark, monkeypatch):
         kinds = sum(a == h for a, _ in pairs)
         return (max(pairs.get((h, w), 0) - d, 0) + d * kinds * alone(w)) / single[h]
 
-    for r in lm.fit_and_score(docs, "learn").collect():
+    rows = lm.fit_and_score(docs, "learn", chunk=chunk).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         words = [*texts[r.doc_id].split(), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in single for w in words), total)
+        assert math.isclose(r.base_score, sum(math.log10((single.get(w, 0) + 1) / (total + len(single) + 1)) for w in words), rel_tol=1e-9)
         want = math.log10(alone(words[0])) + sum(math.log10(after(h, w)) for h, w in zip(words, words[1:]))
         assert math.isclose(r.score, want, rel_tol=1e-9), r.doc_id
 
