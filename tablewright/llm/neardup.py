@@ -13,8 +13,11 @@ confirmed on the full sets.
 Texts with equal sets are one node from the start. Of a band's texts not all pairs are
 made. First each is paired with the least of them, in a sorted and split table that needs
 no group in one task; what is confirmed joins components. Only bands that still hold
-several components are looked at again: their texts of different components are compared
-register by register within a task, and only pairs that look similar enough leave it. Bands
+several components are looked at again. Their texts of different components are compared
+register by register within a task, a pair in the first band in which it agrees, and a text
+that looks similar enough to another leaves the task, once, whatever the number of pairs. The
+sets of these texts are brought together by band, where pairs are confirmed on the sets and
+join components at once, so that a task sends out fewer links than it holds texts. Bands
 of over ``PAIRWISE`` texts are cut into blocks, in order of component, and each pair of blocks
 that holds several components is compared for itself, so that no task holds more and no link is
 lost to a limit.
@@ -28,7 +31,6 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +49,13 @@ BUCKET_BITS, MANTISSA_BITS = 6, 10
 BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 3, BUCKETS // 3
 #: an estimate below this is more than five deviations under the limit
-LEAST_ESTIMATE = 0.35
+LEAST_ESTIMATE = 0.45
 #: the texts of a band that are compared with each other at once; larger bands are cut into blocks
 PAIRWISE = 8192
 #: pairs that are compared together
 COMPARED = 200_000
+#: hashes of sets that a task holds unpacked
+HELD_HASHES = 4_000_000
 #: ids up to this many are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 #: bytes of text that are hashed together
@@ -188,7 +192,7 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 filled[row] = np.diff(at, append=len(found)) > 0
                 least[row] = found[np.minimum(at, len(found) - 1)]
         found = registers(least, filled)
-        brief = found[:, : BANDS * ROWS].astype("u1")  # the last eight bits of the registers
+        brief = found[:, : BANDS * ROWS].astype("<u2")
         yield pd.DataFrame(
             {"n_shingles": sizes, "digest": digests, "bands": list(band_keys(found)), "brief": [b.tobytes() for b in brief]}
         )
@@ -249,6 +253,14 @@ class Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame, id: str, text: str):
         self.docs, self.nodes, self.id, self.text = docs, nodes, id, text
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, hashes``: the full sets of ``wanted`` nodes."""
+        needed = stored(wanted.join(self.nodes.select("node", "doc_id", "digest"), "node"))
+        ids = needed.select(F.col("doc_id").alias("_id"))
+        chosen = among(self.docs.select(self.id, self.text), ids, "left_semi", needed.count(), self.id)
+        sets = chosen.select(F.col(self.text).cast("binary")).mapInArrow(_sets, "digest binary, hashes array<long>")
+        return needed.select("node", "digest").join(sets, "digest").select("node", "hashes").dropDuplicates(["node"])
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b) those whose sets are similar enough."""
         facts = self.nodes.select("node", F.col("n_shingles").alias("n"), "bands")
@@ -271,12 +283,7 @@ class Verifier:
             .where(estimate("ka", "kb", "na", "nb") >= LEAST_ESTIMATE)
             .select("a", "b", "na", "nb")
         )
-        needed = stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id", "digest"), "node"))
-        rows = needed.count()
-        ids = needed.select(F.col("doc_id").alias("_id"))
-        chosen = among(self.docs.select(self.id, self.text), ids, "left_semi", rows, self.id)
-        sets = chosen.select(F.col(self.text).cast("binary")).mapInArrow(_sets, "digest binary, hashes array<long>")
-        sets = stored(needed.select("node", "digest").join(sets, "digest").select("node", "hashes").dropDuplicates(["node"]))
+        sets = stored(self.sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         shared = F.size(F.array_intersect("ha", "hb"))
         return (
             likely.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -287,47 +294,127 @@ class Verifier:
         )
 
 
-def _compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of (key, node, root, n, brief, side) in order of key: pairs of one key and different roots
-    that may be similar enough by size and by their brief registers. Of texts of sides 1 and 2
-    only those of different sides are paired, those of side 0 with each other."""
+def _groups(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of key, some whole keys at a time."""
     left: pd.DataFrame | None = None
-    for batch in itertools.chain(rows, [None]):
-        if batch is not None:
-            left = batch if left is None else pd.concat([left, batch], ignore_index=True)
-            keys = left["key"].to_numpy()
-            if not len(keys) or keys[0] == keys[-1]:
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            ready, left = left.iloc[:cut], left.iloc[cut:]
-        elif left is None or not len(left):
-            return
-        else:
-            ready = left
-        ready = ready.sort_values(["key", "root"], kind="stable")
-        keys, nodes, roots, n, side = (ready[c].to_numpy() for c in ("key", "node", "root", "n", "side"))
-        brief = np.frombuffer(b"".join(ready["brief"]), "u1").reshape(len(ready), -1)
-        # a text meets those of its key that come after its own component
-        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])]))
-        own_end = np.append(starts[1:], len(keys))[np.searchsorted(starts, np.arange(len(keys)), side="right") - 1]
-        later = np.searchsorted(keys, keys, side="right") - own_end
-        ends = np.cumsum(later)
-        begin = 0
-        while begin < len(keys):
-            end = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COMPARED)), begin + 1)
-            many = later[begin:end]
-            i = np.repeat(np.arange(begin, end), many)
-            j = own_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
-            fits &= (side[i] == 0) | (side[i] != side[j])
-            i, j = i[fits], j[fits]
-            same = (brief[i] == brief[j]).mean(1)
-            close = (same - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
-            yield pd.DataFrame({"a": np.minimum(nodes[i], nodes[j])[close], "b": np.maximum(nodes[i], nodes[j])[close]})
-            begin = end
-
-
-MEMBER = "key long, node long, root long, n long, brief binary"
+    for batch in rows:
+        left = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        keys = left["key"].to_numpy()
+        if not len(keys) or keys[0] == keys[-1]:
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        yield left.iloc[:cut]
+        left = left.iloc[cut:]
+    if left is not None and len(left):
+        yield left
+
+
+def _likely(ready: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of members in order of key and root: places of pairs of one key and different roots that are
+    similar enough by size and by their registers and agree in no band before the key's, and
+    their estimates. Of texts of sides 1 and 2 only those of different sides are paired, those
+    of side 0 with each other."""
+    keys, roots, n, side, band = (ready[c].to_numpy() for c in ("key", "root", "n", "side", "band"))
+    brief = np.frombuffer(b"".join(ready["brief"]), "<u2").reshape(len(ready), -1)
+    # a text meets those of its key that come after its own component
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])]))
+    own_end = np.append(starts[1:], len(keys))[np.searchsorted(starts, np.arange(len(keys)), side="right") - 1]
+    later = np.searchsorted(keys, keys, side="right") - own_end
+    ends = np.cumsum(later)
+    begin = 0
+    while begin < len(keys):
+        end = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COMPARED)), begin + 1)
+        many = later[begin:end]
+        i = np.repeat(np.arange(begin, end), many)
+        j = own_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+        fits &= (side[i] == 0) | (side[i] != side[j])
+        i, j = i[fits], j[fits]
+        equal = brief[i] == brief[j]
+        chance = accidental(n[i], n[j])
+        close = (equal.mean(1) - chance) / (1 - chance)
+        good = (close >= LEAST_ESTIMATE) & (equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i])
+        yield i[good], j[good], close[good]
+        begin = end
+
+
+def _in_order(ready: pd.DataFrame) -> pd.DataFrame:
+    return ready.sort_values(["key", "root", "node"], kind="stable", ignore_index=True)
+
+
+def _active(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of members in order of key: those that look similar enough to one of another component."""
+    for ready in _groups(rows):
+        ready = _in_order(ready)
+        met = np.zeros(len(ready), bool)
+        for i, j, _ in _likely(ready):
+            met[i] = met[j] = True
+        yield ready[met]
+
+
+def _narrow(hashes: np.ndarray) -> bytes:
+    """A set as the first six bytes of its sorted hashes."""
+    kept = (hashes >> np.uint64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6]
+    return np.ascontiguousarray(kept).tobytes()
+
+
+def _narrowed(sets: pd.Series) -> pd.Series:
+    return pd.Series([_narrow(np.asarray(x, "i8").view("u8")) for x in sets], dtype="object")
+
+
+def _widened(data: bytes) -> np.ndarray:
+    six = np.frombuffer(data, "u1").reshape(-1, 6)
+    out = np.zeros((len(six), 8), "u1")
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
+def _confirmed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of active members with their sets, in order of key: links (a, b) that join components, as
+    many as it takes. The likeliest pairs of a key come first; a pair that others have joined
+    already is not looked at."""
+    for ready in _groups(rows):
+        ready = _in_order(ready)
+        nodes, sets, held = ready["node"].to_numpy(), {}, [0]
+        # components within a key, by the place of their first member
+        same = (ready["key"].to_numpy()[1:] == ready["key"].to_numpy()[:-1]) & (ready["root"].to_numpy()[1:] == ready["root"].to_numpy()[:-1])
+        first = np.concatenate([[True], ~same])
+        up = np.flatnonzero(first)[np.cumsum(first) - 1].tolist()
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def hashes(x: int) -> np.ndarray:
+            if x not in sets:
+                if held[0] > HELD_HASHES:
+                    sets.clear()
+                    held[0] = 0
+                sets[x] = _widened(ready["hashes"].iat[x])
+                held[0] += len(sets[x])
+            return sets[x]
+
+        found = []
+        for i, j, close in _likely(ready):
+            for k in np.argsort(-close, kind="stable").tolist():
+                a, b = int(i[k]), int(j[k])
+                if top(a) == top(b):
+                    continue
+                x, y = hashes(a), hashes(b)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                if (100 + PERCENT) * shared >= PERCENT * (len(x) + len(y)):
+                    up[max(top(a), top(b))] = min(top(a), top(b))
+                    found.append((nodes[a], nodes[b]))
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+
+MEMBER = "key long, node long, root long, n long, brief binary, band int"
 
 
 def _numbered(size: int):
@@ -354,7 +441,7 @@ def _numbered(size: int):
 def _block_pairs(large: DataFrame) -> DataFrame:
     """The members of large bands, dealt to the pairs of blocks that hold several components."""
     ordered = large.repartitionByRange("key", "root", "node").sortWithinPartitions("key", "root", "node")
-    blocked = stored(ordered.select("key", "node", "root", "n", "brief").mapInPandas(_numbered(max(PAIRWISE // 2, 1)), f"{MEMBER}, block long"))
+    blocked = stored(ordered.select("key", "node", "root", "n", "brief", "band").mapInPandas(_numbered(max(PAIRWISE // 2, 1)), f"{MEMBER}, block long"))
     facts = blocked.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     other = facts.select("key", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     pairs = stored(
@@ -364,19 +451,28 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     )
     one = pairs.select("block", F.xxhash64("block", "block_b").alias("key"), F.when(F.col("block") == F.col("block_b"), 0).otherwise(1).alias("side"))
     two = pairs.where("block <> block_b").select(F.col("block_b").alias("block"), F.xxhash64("block", "block_b").alias("key"), F.lit(2).alias("side"))
-    return blocked.drop("key").join(one.unionByName(two), "block").select("key", "node", "root", "n", "brief", "side")
+    return blocked.drop("key").join(one.unionByName(two), "block").select("key", "node", "root", "n", "brief", "band", "side")
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs to look at in bands that hold several components (key, node, root, n, brief)."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """The members (key, node, root, n, brief) of bands that hold several components, in order of
+    key: a band, or a pair of blocks of a large one."""
     facts = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = stored(facts.where("lo != hi").select("key", "size"))
-    members = stored(members.join(mixed, "key"))
+    members = stored(members.join(mixed, "key").withColumn("band", F.shiftright("key", 48).cast("int")))
     groups = members.where(F.col("size") <= PAIRWISE).drop("size").withColumn("side", F.lit(0))
     large = members.where(F.col("size") > PAIRWISE)
     if not large.isEmpty():
         groups = groups.unionByName(_block_pairs(large))
-    return groups.repartition("key").sortWithinPartitions("key").mapInPandas(_compared, "a long, b long")
+    return groups.select("key", "node", "root", "n", "brief", "band", "side").repartition("key").sortWithinPartitions("key")
+
+
+def _open_links(members: DataFrame, verifier: Verifier) -> DataFrame:
+    """Links that join components within bands that hold several."""
+    active = stored(_dealt(members).mapInPandas(_active, f"{MEMBER}, side int"))
+    narrow = F.pandas_udf(_narrowed, "binary")
+    sets = verifier.sets(active.select("node").distinct()).select("node", narrow("hashes").alias("hashes"))
+    return active.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInPandas(_confirmed, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,7 +512,7 @@ def _decided(docs: DataFrame, drawn: DataFrame, id: str, text: str) -> DataFrame
         .join(roots, "node", "left")
         .select("key", "node", F.coalesce("root", "node").alias("root"), "n", "brief")
     )
-    more = stored(verifier.links(stored(_open_pairs(members).distinct())))
+    more = stored(_open_links(members, verifier))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

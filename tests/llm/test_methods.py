@@ -165,7 +165,10 @@ def test_max_score_is_exact():
 # -- near copies --------------------------------------------------------------------
 
 
-def test_links_of_planted_copies(spark):
+@pytest.mark.parametrize("pairwise", [8192, 12])
+def test_links_of_planted_copies(spark, monkeypatch, pairwise):
+    """In whole bands, and in pairs of blocks."""
+    monkeypatch.setattr(neardup, "PAIRWISE", pairwise)
     draw = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
     shared = " ".join(draw.choice(words) for _ in range(60))
@@ -178,6 +181,13 @@ def test_links_of_planted_copies(spark):
                 copy[draw.randrange(len(copy))] = draw.choice(words)
             texts.append(" ".join(copy))
     texts += [f"{shared} {' '.join(draw.choice(words) for _ in range(150))}" for _ in range(80)]
+    # a crowd of which most are near, but not near enough, to each other
+    crowd = [draw.choice(words) for _ in range(120)]
+    for _ in range(60):
+        copy = list(crowd)
+        for _ in range(draw.randint(2, 5)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        texts.append(" ".join(copy))
     texts += [texts[0]] * 40
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     found = {r.doc_id: r.component_id for r in neardup.similar_groups(docs).collect()}
@@ -193,13 +203,17 @@ def test_links_of_planted_copies(spark):
 def test_large_bands_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PAIRWISE", 16)
     draw = random.Random(9)
-    rows = [(1, k, 0 if k < 70 else draw.choice([0, 70, 71, 72]), 10, b"same" * 15) for k in range(100)]
-    rows += [(2, k, k % 2, 10, b"same" * 15) for k in range(200, 210)]
-    members = spark.createDataFrame(rows, neardup.MEMBER).repartition(5)
+    rows = [(1, k, 0 if k < 70 else draw.choice([0, 70, 71, 72]), 10, b"same" * 31 + b"xx", 0) for k in range(100)]
+    rows += [(2, k, k % 2, 10, b"same" * 31 + b"xx", 0) for k in range(200, 210)]
+    members = spark.createDataFrame(rows, neardup.MEMBER).drop("band").repartition(5)
     want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]}
-    pairs = [(r.a, r.b) for r in neardup._open_pairs(members).collect()]
-    assert len(pairs) == len(want) and set(pairs) == want
-    groups = neardup._block_pairs(members.where("key = 1")).groupBy("key").agg(F.count_distinct("root").alias("roots"), F.count("*").alias("rows"))
+    pairs, dealt = [], neardup._dealt(members).toPandas()
+    for _, group in dealt.groupby("key"):
+        group = neardup._in_order(group)
+        node = group["node"].to_numpy()
+        pairs += [tuple(sorted(p)) for i, j, _ in neardup._likely(group) for p in zip(node[i].tolist(), node[j].tolist())]
+    assert len(pairs) == len(want) and set(pairs) == want  # each pair once
+    groups = neardup._block_pairs(members.where("key = 1").withColumn("band", F.lit(0))).groupBy("key").agg(F.count_distinct("root").alias("roots"), F.count("*").alias("rows"))
     assert groups.where("rows > 16 OR roots < 2").isEmpty()
 
 
