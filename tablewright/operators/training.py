@@ -47,6 +47,7 @@ from tablewright.operators.split import (
     with_row_id,
 )
 from tablewright.session import ensure_checkpoint_dir
+from tablewright.sources.tables import require_rows
 
 SMALL_ROWS = 100
 BASELINE_ROWS = 200
@@ -167,7 +168,7 @@ def train(
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    prepared = prepare(df, target, key, distinct)
+    prepared = prepare(require_rows(df), target, key, distinct)
     name = check_algorithm(prepared.task_type, algorithm)
     check_classes(name, prepared.class_count)
     with _fixed_rows(prepared, number=name == "knn"):
@@ -259,7 +260,7 @@ def compare_models(
     All rows are compared on. ``max_rows`` bounds the rows that classifiers are fitted on, a
     sample of the training part by key hash; every test row is scored in any case.
     """
-    prepared = prepare(df, target, key, distinct)
+    prepared = prepare(require_rows(df), target, key, distinct)
     with _fixed_rows(prepared):
         return _compare(prepared, test_size, max_rows, settings)
 

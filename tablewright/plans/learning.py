@@ -28,7 +28,7 @@ from tablewright.operators.scoring import external_confusion, external_metrics,
 from tablewright.operators.split import IS_TEST, assign_split
 from tablewright.operators.training import compare_models, comparison_result, explain_model, recommend_model, train
 from tablewright.plans.registry import LABELLED, facts_sql, labelled_documents, query, table
-from tablewright.session import shared_folder
+from tablewright.session import remove_at_end, shared_folder
 from tablewright.sources.models import load_model, save_model
 
 # -- preparation --------------------------------------------------------------------
@@ -488,6 +488,7 @@ def batch_scores(spark, folder):
     to be right."""
     result = train(_long_documents(spark, folder), "size_class", "logistic_regression", key=["doc_id"])
     path = save_model(spark, result.model, f"{shared_folder(spark)}/models")
+    remove_at_end(spark, path)
     scored = score(load_model(spark, path), table(spark, folder, "documents"))
     guess = F.col("predicted_size_class")
     clear = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") > 6000, "long").otherwise(guess)

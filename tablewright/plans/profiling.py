@@ -35,7 +35,7 @@ from tablewright.plans.registry import (
     query,
     table,
 )
-from tablewright.session import shared_folder
+from tablewright.session import remove_at_end, shared_folder
 from tablewright.sources.fingerprint import file_hashes
 from tablewright.sources.tables import column_types, read_csv, write_table
 
@@ -64,6 +64,7 @@ def csv_types(spark, folder):
     orders = table(spark, folder, "orders")
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_table(orders, path, "csv")
+    remove_at_end(spark, path)
     back = read_csv(spark, path)
     counts = distinct_counts(back).select("column", "position", F.col("distinct").alias("dist"))
     rows = missing_counts(back).select("column", "missing")

@@ -48,3 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """A table that only serves this application goes with it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

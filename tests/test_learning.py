@@ -80,6 +80,10 @@ def test_guards(spark):
         prepare(gone, "y")
     with pytest.raises(ValueError, match="test_size"):
         train(few, "y", "ridge", test_size=1.0)
+    with pytest.raises(ValueError, match="no rows"):
+        train(few.limit(0), "y", "ridge")
+    with pytest.raises(ValueError, match="no rows"):
+        compare_models(few.limit(0), "y")
 
 
 def test_share_of_distinct_values_right_at_the_limit(spark):
