@@ -79,7 +79,7 @@ def drawn(seed):
     return [*docs, ("en", None), (None, ""), ("fr", " . "), docs[0], docs[0], ("es", "once only")]
 
 
-@pytest.mark.parametrize("chunk,size,top", [(1 << 21, 1 << 19, 2000), (300, 64, 2000), (50, 16, 7)])
+@pytest.mark.parametrize("chunk,size,top", [(1 << 21, 1 << 19, 2000), (100, 32, 7)])
 def test_phrases_are_the_plain_ones(spark, monkeypatch, chunk, size, top):
     """In one chunk and range, and in many."""
     monkeypatch.setattr(c, "RANGE", size)
