@@ -43,7 +43,12 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    return np.floor(SCALE * out)
+    return out
+
+
+def _whole(x: float) -> int:
+    """``floor(1024 * x)``, also where the product has no double; so large an x is whole itself."""
+    return int(x) * SCALE if abs(x) > EXACT else math.floor(SCALE * x)
 
 
 def max_score(query: np.ndarray, columns: np.ndarray, high: np.ndarray, low: np.ndarray, ids: np.ndarray, k: int, skip: int):
@@ -58,7 +63,7 @@ def max_score(query: np.ndarray, columns: np.ndarray, high: np.ndarray, low: np.
         free = int(np.searchsorted(running, limit, side="left"))  # these alone stay under the limit
         essential, rest = order[free:], order[:free][::-1]
         score = query[essential] @ columns[essential, part]
-        left = running[free - 1] if free else 0.0
+        left = running[free - 1] if free else 0
         at = np.flatnonzero(score + left >= limit) + begin
         score = score[at - begin]
         for term in rest:
@@ -88,9 +93,13 @@ def _search(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
     shard = shard.sort_values(["vec_id", "row"])
     rows, ids = shard["row"].to_numpy(), shard["vec_id"].to_numpy()
     asked, columns = _matrix(queries["v"], width), np.ascontiguousarray(_matrix(shard["v"], width).T)
-    if width * np.abs(asked).max(initial=0) * np.abs(columns).max(initial=0) >= EXACT:
-        whole = np.vectorize(int, otypes=[object])
+    with np.errstate(over="ignore"):
+        most = (width * SCALE * SCALE) * (np.abs(asked).max(initial=0) * np.abs(columns).max(initial=0))
+    if most >= EXACT:
+        whole = np.vectorize(_whole, otypes=[object])
         asked, columns = whole(asked), whole(columns)
+    else:
+        asked, columns = np.floor(SCALE * asked), np.floor(SCALE * columns)
     zero = np.zeros(1, columns.dtype)[0]
     high, low = np.maximum(columns.max(1), zero), np.minimum(columns.min(1), zero)
     place = {row: i for i, row in enumerate(rows.tolist())}
