@@ -9,8 +9,9 @@ recurrent layer reads the window forwards, one backwards; attention weighs the s
 a logistic unit scores their weighted sum. Words and grams have places in tables of fixed
 size by hash, so the model's size does not depend on the corpus.
 
-The network is trained in numpy, on the driver, on a bounded sample: at most ``FIT_ROWS``
-labelled texts of each class, taken by hash, of at most ``FIT_BYTES`` each. Labels belong to
+The network is trained in numpy, on the driver, on a bounded sample: about ``FIT_ROWS``
+labelled texts of each class, taken by hash, of at most ``FIT_BYTES`` each, and never over
+twice as many, whatever rows share an id. Labels belong to
 texts, not windows, so each pass trains on the windows that score highest in their text.
 The input's part of the recurrent layers is computed once per distinct word and remembered.
 
@@ -351,13 +352,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ne
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") == 1, rows / max(counts.get(1, 0), 1)).otherwise(rows / max(counts.get(0, 0), 1))
     chosen = known.where(uniform < rate)
-    sample = (
+    found = (
         docs.join(F.broadcast(chosen), "doc_id")  # about twice FIT_ROWS ids
         .where(F.octet_length(text_of()) <= FIT_BYTES)
         .select("doc_id", text_of().alias("text"), "toxic")
-        .toPandas()
-        .sort_values(["doc_id", "text"])
     )
+    # an id may be on any number of rows: of each class at most so many come to the driver
+    drawn = [found.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", "text")).limit(2 * rows) for k in (0, 1)]
+    sample = drawn[0].unionByName(drawn[1]).toPandas().sort_values(["doc_id", "text"])
     return train(sample["text"].tolist(), sample["toxic"].tolist())
 
 
