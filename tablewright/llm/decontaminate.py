@@ -28,6 +28,7 @@ each for itself; other columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored
@@ -337,24 +338,27 @@ def _searching(shared):
     return search
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks") -> DataFrame:
-    """``docs`` with a column ``name``: an array of the items that are verified in each text."""
-    found = []
+def leaks_by_part(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterator[Column]:
+    """For each part of the items' index a column of the part's items that are verified in each
+    text. A part is broadcast when it is asked for, so that a scan holds one."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found.append(_searching(shared)(F.col(text).cast("binary")))
-    if not found:
-        return docs.withColumn(name, F.array().cast(HIT))
-    return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
+        yield _searching(docs.sparkSession.sparkContext.broadcast(index))(F.col(text).cast("binary"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it holds: ``doc_id``, ``item_id``, ``score`` (of the best
     passage, as a share of the item's own), ``question_overlap``, ``answer_overlap``, ``first_word``."""
-    leaks = with_leaks(docs.select("doc_id", "text"), benchmark)
-    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    found = [docs.select("doc_id", leaks.alias("leaks")) for leaks in leaks_by_part(docs, benchmark)]
+    if not found:
+        found = [docs.limit(0).select("doc_id", F.array().cast(HIT).alias("leaks"))]
+    return functools.reduce(DataFrame.unionByName, found).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a test item."""
-    return with_leaks(docs, benchmark, name="_tw_leaks").where(F.size("_tw_leaks") == 0).select(*docs.columns)
+    left, before = docs, 0
+    for leaks in leaks_by_part(docs, benchmark):
+        left = stored(left) if before else left  # a scan per part
+        left = left.withColumn("_tw_leaks", leaks).where(F.size("_tw_leaks") == 0).select(*docs.columns)
+        before += 1
+    return left

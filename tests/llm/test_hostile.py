@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, extra columns and empty tables."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,40 @@ def test_stages_keep_columns(spark, docs, benchmark, tmp_path):
     assert 4 not in kept and neardup.drop_near_copies(docs).where("doc_id = 3").count() == 1
     text = secrets.redact_secrets(docs).where(F.col("doc_id") == 7).first()
     assert text.text == '<secret>"' and text.n_chars == len(text.text)
+
+
+def test_vectors_of_any_finite_size(spark):
+    """Products beyond a double and scores beyond a long."""
+    rows = [(0, [1e308, 1.0]), (1, [1e308, 2.0]), (2, [-1e308, 3.0]), (3, [0.5, 1.7e308]), (4, [0.25, 1.0])]
+    found = topk.topk_digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    limits = 2**63 - 1, -(2**63)
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(1, limits[0]), (3, limits[0]), (4, limits[0]), (2, limits[1])]
+
+
+def test_a_repeated_id_does_not_fill_the_driver(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS doc_id", "cast(if(id < 2500, 1, id % 2) AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((len(texts), sum(toxic))) or 0.0)
+    toxicity.fit_toxicity(docs, labels, rows=5000)
+    toxicity.fit_toxicity(docs, labels, rows=40)
+    assert seen[0] == (3000, 2750) and seen[1][0] <= 160 and seen[1][1] <= 80
+
+
+def test_an_index_in_parts_finds_the_same(spark, monkeypatch):
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(draw.choices(words, k=draw.randint(8, 30)))) for i in range(40)]
+    texts = [" ".join(draw.choices(words, k=80) + (draw.choice(items)[1].split() if i % 3 else []) + draw.choices(words, k=50)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
+        rows = decontaminate.find_leaks(docs, bench).withColumn("score", F.round("score", 9)).collect()
+        return sorted(map(tuple, rows)), kept
+
+    one = found()
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 200)
+    assert len(list(decontaminate.indexes(bench))) > 2 and found() == one
+    assert one[1] == set(range(60)) - {r[0] for r in one[0]} and len(one[0]) >= 40
