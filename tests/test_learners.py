@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tablewright.operators import kernel, random_trees
+from tablewright.operators import inverted_file, kernel, random_trees
 from tablewright.operators.blocks import added, gather, packed
 from tablewright.operators.inverted_file import InvertedFile, best
 from tablewright.operators.models import LIGHT, Settings
@@ -242,6 +242,23 @@ def test_inverted_file_is_exact_and_prunes(spark):
     assert first.count() + rest.count() < 0.5 * single.count() * many
 
 
+def test_blocks_of_queries_meet_packs_of_lists(spark, monkeypatch):
+    """No copy of a query is dealt out per list, and many small packs and blocks give the same."""
+    monkeypatch.setattr(inverted_file, "PACK_BYTES", 8 * 6 * 50)
+    k, q, want = spread(spark, 11, 600, 90)
+    lists = InvertedFile(k, 5, 800, 6, 20)
+    assert lists.packs.count() > 4
+    search = lists.search(q)
+    plan = search._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    found = {}
+    for r in search.orderBy("query_id", "distance", "neighbour_id").collect():
+        found.setdefault(r["query_id"], []).append(r["neighbour_id"])
+    assert [found[i] for i in range(len(want))] == want
+    missing = k.limit(3).select(F.lit(None).cast("long").alias("id"), "vector").unionByName(q)
+    assert lists.search(missing).filter("query_id IS NULL").count() == 5
+
+
 def test_probes_bound_the_work_and_keep_the_recall(spark):
     k, q, want = spread(spark, 10, 3000, 300)
     found = nearest(k, q, 5, shared_bytes=0, block_rows=60, probes=6).collect()
