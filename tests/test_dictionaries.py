@@ -95,6 +95,18 @@ def test_split_by_tables_is_the_listed_one(spark, monkeypatch, ranked_rows):
         assign_split(few.unionByName(few.withColumn("id", F.col("id") + 10_000)), 0.05, ["id"], LABEL, classes)
 
 
+def test_small_classes_are_ranked_at_once(spark, monkeypatch):
+    """Without counting hash prefixes first, from hashes that the look-up of classes brings along."""
+    monkeypatch.setattr(split, "_cut_table", None)
+    df = spark.range(4000).selectExpr("id AS k", "concat('c', id % 40) AS y")
+    tabled = prepare(df, "y", ["k"], held_classes=5)
+    monkeypatch.setattr(split, "LISTED_CLASSES", 1)
+    marked = assign_split(tabled.frame, 0.2, ["k"], LABEL, 40)
+    monkeypatch.setattr(split, "LISTED_CLASSES", 1000)
+    listed = assign_split(prepare(df, "y", ["k"]).frame, 0.2, ["k"], LABEL, 40)
+    assert {r["k"] for r in marked.filter(IS_TEST).collect()} == {r["k"] for r in listed.filter(IS_TEST).collect()}
+
+
 def test_a_class_of_one_row_by_tables(spark, monkeypatch):
     monkeypatch.setattr(split, "LISTED_CLASSES", 1)
     df = spark.range(50).selectExpr("id", "cast(if(id = 7, 1, 0) as double) as _label")
