@@ -98,6 +98,18 @@ def test_trees_are_the_plain_ones(spark, monkeypatch, classes, level_bytes):
     assert len(set(cuts[split != 4])) == (split != 4).sum()
 
 
+def test_ranges_of_whole_rows_are_those_of_single_features(monkeypatch):
+    draw = np.random.default_rng(6)
+    x, y = draw.normal(size=(300, 6)), draw.normal(size=300)
+    tree = random_trees.Tree(np.array([2, -1, -1]), np.array([0.1, 0.0, 0.0]), np.array([1, -1, -1]), np.zeros((3, 1)))
+    place, tried = random_trees._place([2], 3), np.array([[4, 0, 5]])
+    for share in (0, 3):
+        monkeypatch.setattr(random_trees, "WHOLE_ROWS", share)
+        low, high = random_trees._ranges([tree], [place], [tried])(x, y)
+        rows = x[x[:, 2] > 0.1][:, [4, 0, 5]]
+        assert (low[0] == rows.min(0)).all() and (high[0] == rows.max(0)).all()
+
+
 def test_forest_learns_a_disc_and_keeps_when_saved(spark, tmp_path):
     draw = np.random.default_rng(3)
     a, b = draw.uniform(-1, 1, (2, 1500))
