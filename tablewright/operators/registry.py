@@ -245,6 +245,9 @@ def lineage(models: DataFrame, experiments: DataFrame, datasets: DataFrame) -> D
     without = noted_models.join(runs.select("model_id").distinct(), "model_id", "left_anti").select(
         "model_id", F.lit(None).cast("bigint").alias("experiment_id"), F.col("noted").alias("dataset_id")
     )
+    # dealt out anew: frames that are both laid out by id are united task by task, and a task
+    # would hold the sorted rows of both joins
+    without = without.hint("rebalance")
     return with_runs.unionByName(without).join(named, "dataset_id", "left").select(
         "model_id", "experiment_id", "dataset_id", "filename"
     )

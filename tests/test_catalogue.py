@@ -88,3 +88,24 @@ def test_odd_versions_rank_lowest(spark):
     rows = [("m", v, "staging", dt.datetime(2024, 1, 1)) for v in ("beta", "0.0.1", "0.10", "0.9.9")]
     log = spark.createDataFrame(rows, registry.STAGE_LOG_SCHEMA)
     assert registry.latest_versions(log).first()["version"] == "0.10"
+
+
+def test_lineage_holds_one_join_in_a_task(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from tablewright.operators.registry import lineage
+
+    models = spark.createDataFrame(
+        [("a", "1"), ("a", "2"), ("b", "2"), ("b", None), (None, "1"), ("c", "x")], "model_id string, dataset string"
+    ).select("model_id", F.create_map(F.lit("dataset_id"), F.col("dataset")).alias("metadata"))
+    runs = spark.createDataFrame([(1, "a", 2), (2, "a", None), (3, None, 1), (4, "z", 1)], "id bigint, model_id string, dataset_id bigint")
+    datasets = spark.createDataFrame([(1, "one"), (2, "two")], "id bigint, original_filename string")
+    found = lineage(models, runs, datasets)
+    rows = sorted(map(tuple, found.collect()), key=str)
+    assert rows == sorted(
+        [("a", 1, 2, "two"), ("a", 1, 2, "two"), ("a", 2, 1, "one"), ("a", 2, 2, "two"), ("b", None, 2, "two"),
+         ("b", None, None, None), ("c", None, None, None), (None, None, 1, "one")], key=str,
+    )
+    # models without runs are dealt out anew, apart from those with runs
+    found.explain("extended")
+    assert "RebalancePartitions" in capsys.readouterr().out
